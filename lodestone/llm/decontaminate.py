@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.llm.common import open_fs, shared_dir, table, words_of, write_once
 
@@ -138,7 +139,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, passthrough: bool = False) -> Da
                 bad = [x[-1] for x in judge(batch.column(at).to_pylist())]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bad, pa.bool_())], [*batch.schema.names, "__contaminated"])
 
-        schema = docs.schema.add("__contaminated", "boolean")
+        schema = T.StructType([*docs.schema.fields, T.StructField("__contaminated", T.BooleanType())])
         return docs.mapInArrow(mark, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -124,7 +124,7 @@ def _banded(a: np.ndarray, b: np.ndarray, band: int) -> int:
     steps = np.arange(width, dtype=np.int64)
     row = np.where(steps >= band, steps - band, far)
     row[band + m + 1 :] = far
-    padded = np.r_[np.zeros(band + 1, dtype=np.uint64), b, np.zeros(band + 1, dtype=np.uint64)]
+    padded = np.r_[np.zeros(band + 1, dtype=np.uint64), b, np.zeros(width + band, dtype=np.uint64)]
     for i in range(1, len(a) + 1):
         # column j = i - band + step; the word before it is b[j - 1] = padded[j + band]
         swap = row + (padded[i : i + width] != a[i - 1])
