@@ -1,0 +1,10 @@
+"""Schemas of the entities; nothing is inferred."""
+
+CHUNKS = "id string, knowledge_base_id string, document_id string, document_version bigint, chunk_index int, content string, content_length int, embedding array<float>, embedding_dimension int, is_published boolean, document_name string, page_number int, section_title string, created_at timestamp"
+KNOWLEDGE_BASES = "id string, name string, description string, embedding_model_id string, chunk_size int, chunk_overlap int, is_active boolean, created_by string, created_at timestamp, updated_at timestamp"
+DOCUMENTS = "id string, knowledge_base_id string, file_name string, file_type string, file_size int, storage_path string, status string, error_message string, chunk_count int, version bigint, lease_expires_at timestamp, created_by string, created_at timestamp, updated_at timestamp"
+MESSAGES = "id string, conversation_id string, role string, content string, tool_calls string, tool_call_id string, token_count int, created_at timestamp"
+CITATIONS = "message_id string, ref string, knowledge_base_id string, document_id string, document_name string, chunk_id string, chunk_index int, quote string, score decimal(5,4), created_at timestamp"
+SPANS = "id string, trace_id string, parent_span_id string, conversation_id string, kind string, name string, status string, input string, output string, error_message string, attrs string, started_at timestamp, finished_at timestamp"
+STEPS = "id string, type string, config string, next string, next_if_true string, next_if_false string"
+EVAL_CASES = "name string, agent_id string, prompt string, turns array<string>, rubric string, expected_document_ids array<string>, expected_facts array<string>, forbidden_facts array<string>, require_citation boolean"
