@@ -45,8 +45,9 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     cache = _word_hash
     if len(cache) > 500_000:
         cache.clear()
-    for w in set(words) - cache.keys():
-        cache[w] = xxhash.xxh3_64_intdigest(w)
+    for w in words:
+        if w not in cache:
+            cache[w] = xxhash.xxh3_64_intdigest(w)
     return np.array([cache[w] for w in words], dtype=np.uint64)
 
 

@@ -107,7 +107,7 @@ class UnitEncoder:
         need: set[str] = set()
         for _, units in split:
             need.update(units[1:])
-        lacking = need - self.new.keys()
+        lacking = {u for u in need if u not in self.new}
         if len(self.new) + len(lacking) > CACHE_UNITS:
             self.old, self.new, self.pieces, lacking = self.new, {}, {}, need
         self._learn(lacking)
