@@ -6,11 +6,13 @@ k-mers and keeps them in text order; documents that agree in one of these share
 A candidate pair is linked if the Jaccard similarity of its shingle sets is at least 0.8 and
 a banded alignment finds a word edit similarity of at least 0.8.
 
-Steps: documents of equal words are reduced to one representative (partial minimum).  In each
-bucket every representative is compared with the bucket's leader, for two choices of leader;
-linked ones become one class by minimum-label propagation.  Then all pairs of a bucket that
-are still in different classes are compared, so that no pair of a bucket is left out except
-within a class that is known already.  Buckets hold ids only; texts are joined to pairs.
+Steps: documents of equal words are reduced to one representative (partial minimum).  In
+ROUNDS rounds every representative is compared with the leader of each of its buckets, another
+leader each time; linked ones become one class by minimum-label propagation, so a round
+looks only at pairs across classes and makes at most one pair per bucket row.  Then all pairs
+across classes are compared in buckets of at most SMALL rows.  In larger buckets a pair whose
+documents fail against all leaders of their common buckets is not seen: comparing all pairs
+there grows with the square of the bucket.  Buckets hold ids only; texts are joined to pairs.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import shared_dir, stored, table, words_of
 
 K, ELL, SKETCHES, SIMILARITY = 5, 4, 24, 0.8
+ROUNDS, SMALL = 4, 64
 _SEEDS = np.random.RandomState(20).randint(1, 2**62, size=(2, 256), dtype=np.int64).astype(np.uint64)
 
 
@@ -144,11 +147,11 @@ def _banded(a: np.ndarray, b: np.ndarray, band: int) -> int:
     return int(row[at]) if 0 <= at < width else int(far)
 
 
-def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
-    """Whether two word-hash sequences are near duplicates: shingle Jaccard, then banded alignment."""
+def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY, grams: np.ndarray | None = None) -> bool:
+    """Whether two word-hash sequences are near duplicates: shingle Jaccard, then banded alignment.  grams: a's distinct shingles, if known."""
     if not len(a) or not len(b):
         return False
-    x, y = np.unique(shingles(a)), np.unique(shingles(b))
+    x, y = np.unique(shingles(a)) if grams is None else grams, np.unique(shingles(b))
     both = len(np.intersect1d(x, y, assume_unique=True))
     if both < least * (len(x) + len(y) - both) - 1e-9:
         return False
@@ -177,13 +180,14 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs ``a, b`` that are near duplicates, given ``id, text`` of every id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, left = None, None
+        last, left, grams = None, None, None
         for batch in batches:
             keep = []
             for a, x, y in zip(*(batch.column(c).to_pylist() for c in (0, 2, 3)), strict=True):
                 if a != last:
                     last, left = a, word_hashes(words_of(x))
-                keep.append(similar(left, word_hashes(words_of(y))))
+                    grams = np.unique(shingles(left))
+                keep.append(similar(left, word_hashes(words_of(y)), grams=grams))
             chosen = batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
             yield chosen
 
@@ -234,14 +238,14 @@ def classes(docs: DataFrame) -> DataFrame:
     texts = docs.withColumnRenamed("doc_id", "id").join(wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
     texts = stored(texts, f"{out}/texts")  # the one shuffle of texts: of documents that share a bucket
     labels, links, tried = spark.createDataFrame([], "id long, class_id long"), None, None
-    for turn in range(3):
+    for turn in range(ROUNDS + 1):
         now = _labelled_buckets(buckets, labels)
-        if turn < 2:  # every member against one leader; another leader the second time
+        if turn < ROUNDS:  # every member against the leader of this turn
             rank = F.struct(F.xxhash64("id", "bucket", F.lit(turn)), "id")
             leaders = now.groupBy("bucket").agg(F.min_by(F.struct("id", "class_id"), rank).alias("lead"))
             pairs = now.join(leaders, "bucket").where("class_id <> lead.class_id").select(F.least("id", F.col("lead.id")).alias("a"), F.greatest("id", F.col("lead.id")).alias("b"))
-        else:  # all that a bucket still holds in different classes
-            mixed = now.groupBy("bucket").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high")).where("low <> high").select("bucket")
+        else:  # all that a small bucket still holds in different classes
+            mixed = now.groupBy("bucket").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high"), F.count("*").alias("n")).where(F.col("n") <= SMALL).where("low <> high").select("bucket")
             now = now.join(mixed, "bucket")
             other = now.select("bucket", F.col("id").alias("b"), F.col("class_id").alias("other"))
             pairs = now.withColumnRenamed("id", "a").join(other, "bucket").where("a < b and class_id <> other").select("a", "b")
