@@ -6,13 +6,16 @@ k-mers and keeps them in text order; documents that agree in one of these share
 A candidate pair is linked if the Jaccard similarity of its shingle sets is at least 0.8 and
 a banded alignment finds a word edit similarity of at least 0.8.
 
-Steps: documents of equal words are reduced to one representative (partial minimum).  In
-ROUNDS rounds every representative is compared with the leader of each of its buckets, another
-leader each time; linked ones become one class by minimum-label propagation, so a round
-looks only at pairs across classes and makes at most one pair per bucket row.  Then all pairs
-across classes are compared in buckets of at most SMALL rows.  In larger buckets a pair whose
-documents fail against all leaders of their common buckets is not seen: comparing all pairs
-there grows with the square of the bucket.  Buckets hold ids only; texts are joined to pairs.
+Steps: documents of equal words are reduced to one representative (partial minimum).  Every
+representative is compared with the leader of each of its buckets, the member that has most
+company over all its buckets; linked ones become one class by minimum-label propagation.
+Buckets of over SMALL rows get further leaders, others each time.  Such a round makes at most
+one pair per bucket row.  Then all pairs across classes are compared in buckets of at most
+SMALL rows.  Pairs across classes of larger buckets go through an exact filter first: of two
+shingle sets with a Jaccard similarity of 0.8, sorted alike (rare ones first), the first common
+shingle comes so early that enough are left behind it; pairs without such a shingle cannot be
+linked.  So every pair of a common bucket is compared, of one class already, or ruled out.
+Buckets hold ids only; texts are joined to pairs.
 """
 
 from __future__ import annotations
@@ -22,13 +25,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import shared_dir, stored, table, words_of
 
 K, ELL, SKETCHES, SIMILARITY = 5, 4, 24, 0.8
-ROUNDS, SMALL = 4, 64
+ROUNDS, SMALL, COUNTERS = 2, 64, 1 << 20
 _SEEDS = np.random.RandomState(20).randint(1, 2**62, size=(2, 256), dtype=np.int64).astype(np.uint64)
 
 
@@ -196,6 +199,59 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def early_shingles(texts: DataFrame) -> DataFrame:
+    """``id, n, gram, place`` for the places of a document's sorted shingle set where a first common one can be.
+
+    Shingles are sorted by their number over all of ``texts``, counted in COUNTERS hashed
+    counters (a bounded array), and then by value.  Any order that all documents share is
+    exact; that rare ones come first only keeps candidates few.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counters = np.zeros(COUNTERS, dtype=np.int64)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                counters += np.bincount((np.unique(shingles(word_hashes(words_of(text)))) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        at = np.flatnonzero(counters)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counters[at])], ["at", "n"])
+
+    spark = texts.sparkSession
+    seen = texts.select("text").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # at most COUNTERS rows
+    numbers = np.zeros(COUNTERS, dtype=np.int64)
+    numbers[seen.column("at").to_numpy()] = seen.column("n").to_numpy()
+    shared = spark.sparkContext.broadcast(numbers)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = shared.value
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                grams = np.unique(shingles(word_hashes(words_of(text))))
+                n = len(grams)
+                order = np.lexsort((grams, numbers[(grams % np.uint64(COUNTERS)).astype(np.int64)]))
+                early = grams[order[: int((1 - SIMILARITY) * n + 1e-9) + 1]].view(np.int64)
+                for at in range(0, len(early), 100_000):
+                    part = early[at : at + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), doc_id, dtype=np.int64)), pa.array(np.full(len(part), n, dtype=np.int64)), pa.array(part), pa.array(np.arange(at, at + len(part)))], ["id", "n", "gram", "place"])
+
+    return texts.select("id", "text").mapInArrow(run, "id long, n long, gram long, place long")
+
+
+def filtered_pairs(early: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` across classes that can reach the similarity, from ``id, n, gram, place, class_id``; every such pair is there.
+
+    The most frequent class of a shingle is not joined with itself, so one large class costs a
+    row of its own for each row of other classes only.
+    """
+    of_class = early.groupBy("gram", "class_id").agg(F.count("*").alias("rows"))
+    main = of_class.groupBy("gram").agg(F.max_by("class_id", F.struct("rows", "class_id")).alias("main"), F.count("*").alias("classes")).where("classes > 1").select("gram", "main")
+    mixed = early.join(main, "gram")
+    other = mixed.select("gram", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("place").alias("place2"), F.col("class_id").alias("class2"))
+    left = F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2"))
+    enough = left >= SIMILARITY / (1 + SIMILARITY) * (F.col("n") + F.col("n2")) - 1e-6
+    met = mixed.where("class_id <> main").join(other, "gram").where((F.col("class_id") != F.col("class2")) & enough)
+    return met.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
+
+
 def components(links: DataFrame, out_dir: str) -> DataFrame:
     """``id, class_id`` of every id in ``links`` (a, b): the least id that it is connected with.
 
@@ -230,9 +286,11 @@ def classes(docs: DataFrame) -> DataFrame:
     sketched = stored(sketch(docs), f"{out}/sketches")
     reps = stored(sketched.groupBy("key").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")), f"{out}/representatives")
     own = sketched.select(F.col("doc_id").alias("id"), "key", "n_words", "buckets").join(reps.select("id", "key"), ["id", "key"]).dropDuplicates(["id", "key"])
-    buckets = own.where("n_words > 0").select("id", F.posexplode("buckets").alias("s", "v")).select("id", F.xxhash64("s", "v").alias("bucket"))
-    crowded = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    buckets = stored(buckets.join(crowded, "bucket"), f"{out}/buckets")
+    buckets = own.where("n_words > 0").select("id", "n_words", F.posexplode("buckets").alias("s", "v")).select("id", "n_words", F.xxhash64("s", "v").alias("bucket"))
+    crowded = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    buckets = stored(buckets.join(crowded, "bucket"), f"{out}/crowded")
+    company = buckets.groupBy("id").agg(F.sum("n").alias("company"))
+    buckets = stored(buckets.join(company, "id"), f"{out}/buckets")
 
     wanted = buckets.select("id").distinct()
     texts = docs.withColumnRenamed("doc_id", "id").join(wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
@@ -240,15 +298,21 @@ def classes(docs: DataFrame) -> DataFrame:
     labels, links, tried = spark.createDataFrame([], "id long, class_id long"), None, None
     for turn in range(ROUNDS + 1):
         now = _labelled_buckets(buckets, labels)
+        if 0 < turn < ROUNDS:
+            now = now.where(F.col("n") > SMALL)
         if turn < ROUNDS:  # every member against the leader of this turn
-            rank = F.struct(F.xxhash64("id", "bucket", F.lit(turn)), "id")
-            leaders = now.groupBy("bucket").agg(F.min_by(F.struct("id", "class_id"), rank).alias("lead"))
-            pairs = now.join(leaders, "bucket").where("class_id <> lead.class_id").select(F.least("id", F.col("lead.id")).alias("a"), F.greatest("id", F.col("lead.id")).alias("b"))
-        else:  # all that a small bucket still holds in different classes
-            mixed = now.groupBy("bucket").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high"), F.count("*").alias("n")).where(F.col("n") <= SMALL).where("low <> high").select("bucket")
-            now = now.join(mixed, "bucket")
-            other = now.select("bucket", F.col("id").alias("b"), F.col("class_id").alias("other"))
-            pairs = now.withColumnRenamed("id", "a").join(other, "bucket").where("a < b and class_id <> other").select("a", "b")
+            rank = F.struct(-F.col("company") if turn == 0 else F.xxhash64("id", "bucket", F.lit(turn)), "id")
+            leaders = now.groupBy("bucket").agg(F.min_by(F.struct("id", "class_id", "n_words"), rank).alias("lead"))
+            pairs = now.join(leaders, "bucket").where("class_id <> lead.class_id").where(_lengths_fit("n_words", "lead.n_words")).select(F.least("id", F.col("lead.id")).alias("a"), F.greatest("id", F.col("lead.id")).alias("b"))
+        else:  # all that buckets still hold in different classes
+            mixed = now.groupBy("bucket").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high")).where("low <> high").select("bucket")
+            now = stored(now.join(mixed, "bucket"), f"{out}/mixed")
+            few = now.where(F.col("n") <= SMALL)
+            other = few.select("bucket", F.col("id").alias("b"), F.col("class_id").alias("other"), F.col("n_words").alias("length"))
+            pairs = few.withColumnRenamed("id", "a").join(other, "bucket").where("a < b and class_id <> other").where(_lengths_fit("n_words", "length")).select("a", "b")
+            many = now.where(F.col("n") > SMALL).select("id", "class_id").distinct()
+            early = early_shingles(texts.join(many.select("id"), "id", "left_semi"))
+            pairs = pairs.unionByName(filtered_pairs(stored(early.join(many, "id"), f"{out}/early")))
         pairs = pairs.distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -266,7 +330,12 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def _labelled_buckets(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    return buckets.join(labels, "id", "left").select("bucket", "id", F.coalesce("class_id", "id").alias("class_id"))
+    return buckets.join(labels, "id", "left").select("bucket", "n", "id", "n_words", "company", F.coalesce("class_id", "id").alias("class_id"))
+
+
+def _lengths_fit(a: str, b: str) -> Column:
+    """An edit similarity of 0.8 is possible at these word counts."""
+    return F.least(a, b) >= SIMILARITY * F.greatest(a, b) - 1e-6
 
 
 def keep_first(docs: DataFrame) -> DataFrame:

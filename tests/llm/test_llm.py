@@ -189,6 +189,37 @@ def test_near_duplicates_equal_brute_force(spark, odd):
     assert neardup.classes(odd.limit(0)).count() == 0 and neardup.keep_first(odd).columns == odd.columns
 
 
+def test_large_buckets_equal_brute_force(spark):
+    """A group of near copies that are often below the similarity to each other; pairs of large buckets are compared or ruled out."""
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(4000)}" for _ in range(150)]
+    texts = {}
+    for i in range(300):
+        words = list(base)
+        for _ in range(rng.randrange(9)):
+            words[rng.randrange(150)] = f"x{rng.randrange(9)}" if i % 2 else f"y{rng.randrange(10**6)}"
+        texts[i] = " ".join(words)
+    hashes = {i: neardup.word_hashes(words_of(t)) for i, t in texts.items()}
+    grams = {i: set(neardup.shingles(h).tolist()) for i, h in hashes.items()}
+    near = {(a, b) for a in texts for b in texts if a < b and len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b]) - 1e-9}
+    parent = list(range(300))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in near:
+        if neardup.similar(hashes[a], hashes[b]):
+            ra, rb = sorted((root(a), root(b)))
+            parent[rb] = ra
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    early = neardup.early_shingles(docs.withColumnRenamed("doc_id", "id")).withColumn("class_id", F.col("id"))
+    passed = {(r.a, r.b) for r in neardup.filtered_pairs(early).collect()}
+    assert near <= passed and len(passed) < 300 * 299 / 4
+    assert {r.doc_id: r.class_id for r in neardup.classes(docs).collect()} == {i: root(i) for i in texts}
+
+
 def test_token_files(spark, odd):
     for df in (spark.read.parquet(f"{DATA}/documents.parquet"), odd):
         out = shared_dir(spark, "t")
