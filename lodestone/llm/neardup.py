@@ -21,6 +21,7 @@ Buckets hold ids only; texts are joined to pairs.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import shared_dir, stored, table, words_of
 
 K, ELL, SKETCHES, SIMILARITY = 5, 4, 24, 0.8
-ROUNDS, SMALL, COUNTERS = 2, 64, 1 << 20
+ROUNDS, SMALL, COUNTERS, BLOCKS = 2, 64, 1 << 20, 16
 _SEEDS = np.random.RandomState(20).randint(1, 2**62, size=(2, 256), dtype=np.int64).astype(np.uint64)
 
 
@@ -211,14 +212,27 @@ def early_shingles(texts: DataFrame) -> DataFrame:
         counters = np.zeros(COUNTERS, dtype=np.int64)
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                counters += np.bincount((np.unique(shingles(word_hashes(words_of(text)))) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
-        at = np.flatnonzero(counters)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counters[at])], ["at", "n"])
-
-    spark = texts.sparkSession
-    seen = texts.select("text").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # at most COUNTERS rows
-    numbers = np.zeros(COUNTERS, dtype=np.int64)
-    numbers[seen.column("at").to_numpy()] = seen.column("n").to_numpy()
+                np.add.at(counters, (np.unique(shingles(word_hashes(words_of(text)))) % np.uint64(COUNTERS)).astype(np.int64), 1)
+        yield packed(dict(enumerate(counters.reshape(BLOCKS, -1))))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                part = np.frombuffer(zlib.decompress(data), dtype=np.int64)
+                total[block] = total[block] + part if block in total else part
+        yield packed(total)
+
+    def packed(parts: dict[int, np.ndarray]) -> pa.RecordBatch:
+        parts = {k: v for k, v in parts.items() if v.any()}
+        return pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array([zlib.compress(v.tobytes(), 1) for v in parts.values()], pa.binary())], ["block", "counters"])
+
+    spark, schema = texts.sparkSession, "block int, counters binary"
+    sums = texts.select("text").mapInArrow(count, schema).repartition(BLOCKS, "block").mapInArrow(add, schema)
+    numbers = np.zeros((BLOCKS, COUNTERS // BLOCKS), dtype=np.int64)
+    for r in sums.collect():  # at most BLOCKS rows, COUNTERS numbers in all
+        numbers[r.block] = np.frombuffer(zlib.decompress(r.counters), dtype=np.int64)
+    numbers = numbers.reshape(-1)
     shared = spark.sparkContext.broadcast(numbers)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
