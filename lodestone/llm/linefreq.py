@@ -25,31 +25,46 @@ def _tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(text, WHITE, " " * 6), " ", -1), "")
 
 
+SPAN = 1 << 22
+
+
+def _covered(at: Column) -> Column:
+    """Number of places in the windows that start at ``at``."""
+    return F.size(F.array_distinct(F.flatten(F.transform(at, lambda x: F.array(x, x + 1, x + 2)))))
+
+
 def _n_repeat(words: Column, n: Column) -> Column:
     """Words in three-word windows that occur twice or more, the first occurrence included.
 
-    Windows are sorted as (hash, place) packed in one number, neighbours of equal hash are
-    confirmed word by word, and the places they cover are counted once.
+    Windows are sorted as (42 bits of hash, place) packed in one number; those with a neighbour
+    of equal hash repeat, and the places they cover are counted once.  Where neighbours of equal
+    hash differ in words, or places do not fit, windows are sorted by their words instead.
     """
     places = F.sequence(F.lit(0), n - 3)
-    span = 1 << 22
-    keys = F.sort_array(F.transform(places, lambda i: F.shiftleft(F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)), 22).bitwiseOR(i.cast("long"))))
+    window = lambda i: [F.get(words, i + d) for d in range(3)]
+    place = lambda key: F.pmod(key, F.lit(SPAN)).cast("int")
 
     def same(keys: Column, j: Column, k: Column) -> Column:
-        a, b = F.get(keys, j), F.get(keys, k)
-        x, y = F.pmod(a, F.lit(span)).cast("int"), F.pmod(b, F.lit(span)).cast("int")
-        equal = F.shiftright(a, 22) == F.shiftright(b, 22)
-        for d in range(3):
-            equal = equal & (F.get(words, x + d) == F.get(words, y + d))
-        return F.coalesce(equal, F.lit(False))
-
-    def covered(keys: Column) -> Column:
-        twice = F.filter(keys, lambda key, j: same(keys, j, j - 1) | same(keys, j, j + 1))
-        at = F.transform(twice, lambda key: F.pmod(key, F.lit(span)).cast("int"))
-        return F.size(F.array_distinct(F.flatten(F.transform(at, lambda x: F.array(x, x + 1, x + 2)))))
-
-    held = F.transform(F.array(keys), covered)  # the sorted array is computed once
-    return F.when(n >= 4, F.get(held, F.lit(0))).otherwise(0)
+        return F.shiftright(F.get(keys, j), 22) == F.shiftright(F.get(keys, k), 22)
+
+    def packed(keys: Column) -> Column:
+        held = F.array(F.filter(keys, lambda key, j: same(keys, j, j - 1) | same(keys, j, j + 1)))
+        return F.get(F.transform(held, lambda t: F.when(F.size(F.filter(t, lambda key, j: clash(t, j))) == 0, _covered(F.transform(t, place)))), F.lit(0))
+
+    def clash(keys: Column, j: Column) -> Column:
+        a, b = window(place(F.get(keys, j))), window(place(F.get(keys, j - 1)))
+        return same(keys, j, j - 1) & ~((a[0] == b[0]) & (a[1] == b[1]) & (a[2] == b[2]))
+
+    def by_words(rows: Column) -> Column:
+        equal = lambda row, other: (row["a"] == other["a"]) & (row["b"] == other["b"]) & (row["c"] == other["c"])
+        twice = F.filter(rows, lambda row, j: equal(row, F.get(rows, j - 1)) | equal(row, F.get(rows, j + 1)))
+        return _covered(F.transform(twice, lambda row: row["i"]))
+
+    # each sorted array is computed once
+    keys = F.sort_array(F.transform(places, lambda i: F.shiftleft(F.xxhash64(*window(i)), 22).bitwiseOR(i.cast("long"))))
+    rows = F.sort_array(F.transform(places, lambda i: F.struct(*(w.alias(c) for w, c in zip(window(i), "abc", strict=True)), i.alias("i"))))
+    quick = F.when(n - 3 < SPAN, F.get(F.transform(F.array(keys), packed), F.lit(0)))
+    return F.when(n >= 4, F.coalesce(quick, F.get(F.transform(F.array(rows), by_words), F.lit(0)))).otherwise(0)
 
 
 def base_rules(docs: DataFrame) -> DataFrame:

@@ -299,6 +299,15 @@ def test_line_frequency(spark, odd):
     assert linefreq.judge(odd.limit(0)).count() == 0 and linefreq.clean(odd).columns == odd.columns
 
 
+def test_repeats_whatever_hash_and_place(spark):
+    one, other = ([f"{c}{i}" for c in "abc"] for i in (174210, 379122))  # equal in the low 42 bits of xxhash64
+    line = [f"r{i}" for i in range(200)]
+    far = line + [f"u{i}" for i in range((1 << 22) + 1000)] + line
+    docs = [(1, " ".join(one + ["x"] + other + ["y"] + one), "s"), (2, " ".join(one + ["x"] + other), "s"), (3, " ".join(far), "s"), (4, "a b c a b c", "s"), (5, "a a a a", "s"), (6, "a b c", "s")]
+    got = {r.doc_id: r.n_repeat_words for r in linefreq.base_rules(spark.createDataFrame(docs, "doc_id long, text string, source string")).select("doc_id", "n_repeat_words").collect()}
+    assert got == {1: 6, 2: 0, 3: 400, 4: 6, 5: 4, 6: 0}
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     kept = linefreq.clean(docs)
