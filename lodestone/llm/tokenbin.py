@@ -26,23 +26,26 @@ from lodestone.llm.common import open_fs, shared_dir, stored, table, write_once
 
 MAGIC = b"LDIDS001"
 TRAILER = struct.Struct("<QQQI8s")  # index offset, index length, documents, index crc, magic
+SLICES = 8
 MANIFEST = "part int, path string, n_docs long, n_tokens long, dict_sha256 string"
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, sample_rows: int = 400, sample_chars: int = 2000, size: int = 32_768) -> bytes:
-    """A dictionary from at most ``sample_rows`` rows (least hashes of doc_id), ``sample_chars`` code points each.
+    """A dictionary from at most ``sample_rows`` rows (least hashes of doc_id).
 
-    Only compression depends on it.  Too few samples to train on give an empty dictionary.
+    Texts of more than ``sample_chars`` code points give ``SLICES`` slices, evenly from start to
+    end, of that many code points together.  Only compression depends on it.  Small inputs give
+    a smaller dictionary; an empty one where zstandard finds the samples too few.
     """
     import zstandard
 
-    rows = docs.select(F.xxhash64("doc_id").alias("h"), F.substring("text", 1, sample_chars).alias("t")).where("t <> ''").orderBy("h", "t").limit(sample_rows).collect()
-    packed = [p for p in tokens.encoder(tokenizer).encode([r.t for r in rows]) if p]
-    if sum(map(len, packed)) < 16 * 1024:
-        return b""
-    size = min(size, sum(map(len, packed)) // 8)
+    long, n = F.length("text"), sample_chars // SLICES
+    slices = F.transform(F.sequence(F.lit(0), F.lit(SLICES - 1)), lambda k: F.substring("text", F.floor(k * (long - n) / (SLICES - 1)).cast("int") + 1, F.lit(n)))
+    sample = F.when(long > sample_chars, slices).otherwise(F.array("text"))
+    rows = docs.select(F.xxhash64("doc_id").alias("h"), sample.alias("t")).where("text <> ''").orderBy("h", "t").limit(sample_rows).collect()
+    packed = [p for p in tokens.encoder(tokenizer).encode([t for r in rows for t in r.t]) if p]
     try:
-        return zstandard.train_dictionary(size, packed).as_bytes()
+        return zstandard.train_dictionary(max(256, min(size, sum(map(len, packed)) // 8)), packed).as_bytes()
     except zstandard.ZstdError:
         return b""
 

@@ -235,6 +235,16 @@ def test_token_files(spark, odd):
     assert tokenbin.read_token_files(tokenbin.write_token_files(odd.limit(0), out, tokens.default_tokenizer(), 2), out).count() == 0
 
 
+def test_dictionary_from_whole_texts_and_small_inputs(spark):
+    head, tail = "the same head again and again. " * 70, "quietly mixing potions in old stone towers, "
+    docs = spark.createDataFrame([(i, head + f"{i} " + tail * 100) for i in range(60)], "doc_id long, text string")
+    name = tokens.default_tokenizer()
+    assert ids_of(tail * 2)[16:40] in tokenbin.train_dictionary(docs, name)
+    small = spark.createDataFrame([(i, f"{tail}number {i}") for i in range(40)], "doc_id long, text string")
+    assert 0 < len(tokenbin.train_dictionary(small, name)) < 16 * 1024
+    assert tokenbin.train_dictionary(small.limit(0), name) == b""
+
+
 def test_secret_linking(spark, odd):
     texts = ["user: alice then x 0123456789abcdef01 end", "x 0123456789abcdef01 end", "user: alice" + " " * 300 + "0123456789abcdef01", "token=token:abcdefgh Password = 'hunter22'", "AKIA" + "A" * 16 + " http://h/x 0123456789abcdef01"]
     got = [r.spans for r in secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
