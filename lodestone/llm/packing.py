@@ -40,19 +40,16 @@ class Limits:
 class Packer:
     """Streams examples (key, total tokens, first loss-bearing position) into sequences.
 
-    ``add`` and ``finish`` yield lists of (key, start, end): one list per closed sequence.
+    Keys are integers.  ``add`` and ``finish`` yield lists of (key, start, end): one list per
+    closed sequence.  Pending pieces are rows of one array: key, start, end, loss_from.
     """
 
     def __init__(self, limits: Limits, cut: bool) -> None:
         self.limits, self.cut = limits, cut
         self.capacity = np.array([limits.tokens, limits.segments, limits.loss], dtype=np.float64)
-        self.pending: list[tuple] = []  # key, start, end, loss_from
+        self.pending, self.n = np.zeros((2 * limits.window + limits.segments + 2, 4), dtype=np.int64), 0
 
-    def _need(self, piece: tuple) -> tuple[int, int, int]:
-        _, start, end, loss_from = piece
-        return end - start, 1, max(0, end - max(start, loss_from))
-
-    def add(self, key, total: int, loss_from: int = 0) -> Iterator[list[tuple]]:
+    def add(self, key: int, total: int, loss_from: int = 0) -> Iterator[list[tuple]]:
         size = min(self.limits.tokens, self.limits.loss)
         start = 0
         if total > self.limits.tokens and not self.cut:
@@ -62,37 +59,43 @@ class Packer:
             yield [(key, start, start + step)]
             start += step
         if start < total:
-            self.pending.append((key, start, total, loss_from))
-        if len(self.pending) >= 2 * self.limits.window:
+            self.pending[self.n] = key, start, total, loss_from
+            self.n += 1
+        if self.n >= 2 * self.limits.window:
             yield from self._drain(self.limits.window)
 
     def finish(self) -> Iterator[list[tuple]]:
         yield from self._drain(0)
 
     def _drain(self, keep: int) -> Iterator[list[tuple]]:
-        while len(self.pending) > keep:
+        while self.n > keep:
             yield self._bin()
 
     def _bin(self) -> list[tuple]:
-        demand = np.array([self._need(p) for p in self.pending], dtype=np.float64)
-        share, alive = demand / self.capacity, np.ones(len(demand), dtype=bool)
-        room, taken = self.capacity.copy(), []
+        pieces = self.pending[: self.n]
+        demand = np.empty((3, self.n))
+        demand[0] = pieces[:, 2] - pieces[:, 1]
+        demand[1] = 1
+        demand[2] = np.maximum(0, pieces[:, 2] - np.maximum(pieces[:, 1], pieces[:, 3]))
+        share, alive = demand / self.capacity[:, None], np.ones(self.n, dtype=bool)
+        room, chosen = self.capacity.copy(), []
         while True:
-            fits = alive & (demand <= room).all(axis=1)
-            score = np.where(fits, share @ (room / self.capacity), -1.0)
-            best = int(score.argmax()) if len(score) else -1
-            if best < 0 or score[best] < 0:
+            fits = alive & (demand[0] <= room[0]) & (demand[2] <= room[2]) if room[1] >= 1 else alive & False
+            score = np.where(fits, room / self.capacity @ share, -1.0)
+            best = int(score.argmax()) if self.n else 0
+            if not self.n or score[best] < 0:
                 break
-            taken.append(self.pending[best])
+            chosen.append(best)
             alive[best] = False
-            room -= demand[best]
-        back = [p for p, a in zip(self.pending, alive, strict=True) if a]
+            room -= demand[:, best]
+        taken, back = [tuple(pieces[i].tolist()) for i in chosen], pieces[alive].copy()
         space = int(min(room[0], room[2]))
-        if self.cut and back and space > 0 and room[1] >= 1:  # the largest piece is cut to fill what is left
-            i = max(range(len(back)), key=lambda j: back[j][2] - back[j][1])
-            key, start, end, loss_from = back[i]
+        if self.cut and len(back) and space > 0 and room[1] >= 1:  # the largest piece is cut to fill what is left
+            i = int((back[:, 2] - back[:, 1]).argmax())
+            key, start, _, loss_from = back[i].tolist()
             taken.append((key, start, start + space, loss_from))
-            back[i] = (key, start + space, end, loss_from)
+            back[i, 1] = start + space
+        given = []
         used = sum(p[2] - p[1] for p in taken)
         if self.cut and used < self.limits.tokens:
             over = used - (1 << used.bit_length() - 1)
@@ -102,8 +105,11 @@ class Packer:
                 over -= end - start - leave
                 if leave:
                     taken.append((key, start, start + leave, loss_from))
-                back.insert(0, (key, start + leave, end, loss_from))
-        self.pending = back
+                given.append((key, start + leave, end, loss_from))
+        if given:
+            back = np.concatenate([np.array(given, dtype=np.int64), back])
+        self.n = len(back)
+        self.pending[: self.n] = back
         return [p[:3] for p in taken]
 
 
@@ -117,7 +123,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, limits: Lim
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, packer = tokens.encoder(tokenizer).encode, Packer(limits, cut=True)
+        encode, packer = tokens.encoder(tokenizer).encode_array, Packer(limits, cut=True)
         end, base = int(end_id).to_bytes(4, "little"), TaskContext.get().partitionId() << 40
         ids: dict[int, tuple] = {}  # by row number: doc_id, packed ids, tokens not yet placed
         rows: list[tuple] = []
@@ -144,8 +150,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, limits: Lim
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
         for batch in batches:
-            for doc_id, packed in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
-                packed += end
+            encoded, at = encode(batch.column(1))
+            for doc_id, a, b in zip(batch.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                packed = encoded[a:b].tobytes() + end
                 ids[row] = (doc_id, packed, len(packed) // 4)
                 place(packer.add(row, len(packed) // 4))
                 row += 1
@@ -159,44 +166,74 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, limits: Lim
 
 
 def pack_examples(examples: DataFrame, limits: Limits = Limits(4096, 64, 2048)) -> DataFrame:
-    """Packs whole instruction examples ``example_id long, n_tokens, loss_from`` without cutting.
+    """Packs whole instruction examples ``example_id long, n_tokens, n_loss`` without cutting.
 
-    ``loss_from`` is the position of the first loss-bearing token (null: 0); examples that
-    exceed a limit alone, and rows without tokens, come back with a null ``sequence_id``.
+    ``n_loss`` is the number of loss-bearing tokens (null: all); examples that exceed a limit
+    alone, and rows without tokens, come back with a null ``sequence_id``.  Repeated rows and
+    null ids are examples of their own.  An empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        base, sequence = TaskContext.get().partitionId() << 40, 0
+        base, sequence, row = TaskContext.get().partitionId() << 40, 0, 0
         packer, rows = Packer(limits, cut=False), []
+        names: dict[int, tuple] = {}  # by row number: example_id, loss-bearing tokens
 
         def place(sequences: Iterator[list[tuple]]) -> None:
             nonlocal sequence
             for pieces in sequences:
                 offset = 0
                 for key, start, stop in pieces:
-                    rows.append((key, stop - start, base + sequence, offset))
+                    example_id, loss = names.pop(key)
+                    rows.append((example_id, stop - start, loss, base + sequence, offset))
                     offset += stop - start
                 sequence += 1
 
         def flush() -> pa.RecordBatch:
-            columns = list(zip(*rows, strict=True)) or [()] * 4
+            columns = list(zip(*rows, strict=True)) or [()] * 5
             rows.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["example_id", "n_tokens", "sequence_id", "offset"])
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["example_id", "n_tokens", "n_loss", "sequence_id", "offset"])
 
         for batch in batches:
-            for key, n, loss_from in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                n, loss_from = n or 0, loss_from or 0
-                if n <= 0 or n > limits.tokens or n - min(n, max(0, loss_from)) > limits.loss:
-                    rows.append((key, n, None, None))
+            for example_id, n, loss in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                n = n or 0
+                loss = min(n, max(0, n if loss is None else loss))
+                if n <= 0 or n > limits.tokens or loss > limits.loss:
+                    rows.append((example_id, n, loss, None, None))
                 else:
-                    place(packer.add(key, n, max(0, loss_from)))
+                    names[row] = example_id, loss
+                    place(packer.add(row, n, n - loss))
+                    row += 1
             yield flush()
         place(packer.finish())
         yield flush()
 
-    return examples.select(F.col("example_id").cast("long"), F.col("n_tokens").cast("long"), F.col("loss_from").cast("long")).mapInArrow(run, "example_id long, n_tokens long, sequence_id long, offset long")
+    own = examples.select(F.col("example_id").cast("long"), F.col("n_tokens").cast("long"), F.col("n_loss").cast("long"))
+    return own.mapInArrow(run, "example_id long, n_tokens long, n_loss long, sequence_id long, offset long")
+
+
+def conversation_examples(conversations: DataFrame, tokenizer: str, answers: tuple[str, ...] = ("assistant",)) -> DataFrame:
+    """``example_id, n_tokens, n_loss`` of each conversation from ``conv_id, role, text``: one end token a turn, loss on answers only.
+
+    Null texts are the end token alone; a null role bears no loss; rows with a null conv_id are
+    one example.  Turns are counted where they lie, so only numbers are shuffled, summed before.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = tokens.encoder(tokenizer).encode_array
+        for batch in batches:
+            sizes = np.diff(encode(batch.column(2))[1]) + 1
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes)], ["example_id", "role", "n"])
+
+    turns = conversations.select(F.col("conv_id").cast("long"), "role", "text").mapInArrow(run, "example_id long, role string, n long")
+    loss = F.when(F.col("role").isin(*answers), F.col("n")).otherwise(0)
+    return turns.groupBy("example_id").agg(F.sum("n").alias("n_tokens"), F.sum(loss).alias("n_loss"))
+
+
+def conversation_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole conversations under three limits: 4096 tokens, 4 segments, 3200 loss-bearing tokens."""
+    return pack_examples(conversation_examples(table(spark, sf_dir, "conversations"), tokens.default_tokenizer()), Limits(4096, 4, 3200))
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language": langid.op8_language,
         "op9_url_filter": urltree.op9_url_filter,
         "op10_quality_rules": linefreq.op10_quality_rules,
+        "conversation_packing": packing.conversation_packing,
         "pipeline": corpus_pipeline.run,
     }
 

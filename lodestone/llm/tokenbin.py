@@ -11,6 +11,7 @@ one file under a private name and moves it.  A repeated task writes equal bytes.
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import struct
 import zlib
@@ -31,23 +32,30 @@ MANIFEST = "part int, path string, n_docs long, n_tokens long, dict_sha256 strin
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, sample_rows: int = 400, sample_chars: int = 2000, size: int = 32_768) -> bytes:
-    """A dictionary from at most ``sample_rows`` rows (least hashes of doc_id).
+    """A dictionary from about ``sample_rows`` rows (those of the least hashes of doc_id; more where rows share one).
 
     Texts of more than ``sample_chars`` code points give ``SLICES`` slices, evenly from start to
-    end, of that many code points together.  Only compression depends on it.  Small inputs give
-    a smaller dictionary; an empty one where zstandard finds the samples too few.
+    end, of that many code points together.  Only compression depends on it.  Tasks send hashes
+    to the driver, then the sample's rows are read.  zstandard wants several samples: of few
+    rows the id arrays are cut in parts, and a last resort takes them as they are.
     """
     import zstandard
 
+    hashed = docs.select(F.xxhash64("doc_id").alias("h"), "text")
+    cut = [r.h for r in hashed.select("h").orderBy("h").limit(sample_rows).collect()]
+    if not cut:
+        return b""
     long, n = F.length("text"), sample_chars // SLICES
     slices = F.transform(F.sequence(F.lit(0), F.lit(SLICES - 1)), lambda k: F.substring("text", F.floor(k * (long - n) / (SLICES - 1)).cast("int") + 1, F.lit(n)))
     sample = F.when(long > sample_chars, slices).otherwise(F.array("text"))
-    rows = docs.select(F.xxhash64("doc_id").alias("h"), sample.alias("t")).where("text <> ''").orderBy("h", "t").limit(sample_rows).collect()
+    rows = hashed.where(F.col("h") <= cut[-1]).where("text <> ''").select("h", sample.alias("t")).limit(2 * sample_rows).collect()
+    rows.sort(key=lambda r: (r.h, r.t))
     packed = [p for p in tokens.encoder(tokenizer).encode([t for r in rows for t in r.t]) if p]
-    try:
-        return zstandard.train_dictionary(max(256, min(size, sum(map(len, packed)) // 8)), packed).as_bytes()
-    except zstandard.ZstdError:
-        return b""
+    for part in (0, 256, 64, 16):
+        samples = [p[i : i + part] for p in packed for i in range(0, len(p), part)] if part else packed
+        with contextlib.suppress(zstandard.ZstdError):  # too few samples
+            return zstandard.train_dictionary(max(256, min(size, sum(map(len, samples)) // 8)), samples).as_bytes()
+    return b"".join(packed)[-size:]
 
 
 def _zdict(data: bytes):
@@ -139,7 +147,8 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int
     """Writes ``doc_id, text`` to ``out_dir`` and returns the manifest, one row per file in ascending doc_id.
 
     Null texts count as empty; each document gets ``end_id``.  Rows with equal or null ids stay
-    separate (null ids first).  Other columns are ignored.  An empty table gives no file.
+    separate (null ids first, then by text).  Texts of any length are one frame.  Other columns
+    are ignored, whatever their names.  An empty table gives no file.
     """
     dictionary = train_dictionary(docs, tokenizer)
     digest = hashlib.sha256(dictionary).hexdigest()
@@ -150,13 +159,14 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        encode, path, done = tokens.encoder(tokenizer).encode, f"{out_dir}/part-{part:06d}.ids", []
+        encode, path, done = tokens.encoder(tokenizer).encode_array, f"{out_dir}/part-{part:06d}.ids", []
 
         def write(stream) -> None:
             writer = Writer(stream, dictionary)
             for batch in batches:
-                for doc_id, packed in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
-                    writer.add(doc_id, packed + end)
+                ids, at = encode(batch.column(1))
+                for doc_id, a, b in zip(batch.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    writer.add(doc_id, ids[a:b].tobytes() + end)
             writer.close()
             done.extend((len(writer.ids), sum(writer.counts)))
 

@@ -28,7 +28,7 @@ def odd(spark):
 
 
 def ids_of(text):
-    return tokens.encoder(tokens.default_tokenizer())._whole(text or "")
+    return tokens.encoder(tokens.default_tokenizer()).whole(text or "")
 
 
 def rows(found):
@@ -50,9 +50,12 @@ def test_unit_encoder_equals_the_library(monkeypatch):
     monkeypatch.setattr(tokens, "CACHE_UNITS", 50)
     e = tokens.UnitEncoder(tokens.default_tokenizer())
     r = random.Random(4)
-    alphabet = ["a", "Bc", "é", "ж", "日", "😀", " ", "  ", "\n", "\t", ".", ",", "'s", "1", " ", "<|endoftext|>", "word", "_"]
-    texts = ["".join(r.choices(alphabet, k=r.randint(0, 60))) for _ in range(300)] + [None, "", "x" * 5000]
-    assert e.encode(texts) == [e._whole(t or "") for t in texts]
+    alphabet = ["a", "Bc", "é", "ж", "日", "😀", " ", "  ", "\n", "\n\n", "\r\n", "\t", "\x1c", "\u3000", ".", ",", "!?", "'s", "1", "\xa0", "<|endoftext|>", "word", "_"]
+    texts = ["".join(r.choices(alphabet, k=r.randint(0, 60))) for _ in range(500)] + [None, "", "x" * 5000, "a b\n" * 9000]
+    texts += [" ".join("".join(r.choices(["a", "Bc", "é", "ж", ".", ",", "\n", "'s", "1", "_"], k=r.randint(1, 5))) for _ in range(r.randint(1, 9))) for _ in range(500)]
+    assert e.encode(texts) == [e.whole(t or "") for t in texts]
+    monkeypatch.setattr(tokens, "SLICE_BYTES", 100)
+    assert e.encode(texts) == [e.whole(t or "") for t in texts] and e.encode([]) == [] and e.encode([None]) == [b""]
 
 
 def check_packing(found, docs):
@@ -85,17 +88,45 @@ def test_packing(spark, odd):
 
 def test_example_packing(spark):
     r = random.Random(1)
-    own = [(i, r.randint(1, 900), r.randint(0, 900)) for i in range(500)] + [(1000, 99_999, 0), (1001, None, None)]
+    own = [(i, n := r.randint(1, 900), r.randint(0, n)) for i in range(500)] + [(1000, 99_999, 0), (1001, None, None), (7, 10, None), (None, 5, 5)]
     limits = packing.Limits(1024, 4, 600)
-    out = packing.pack_examples(spark.createDataFrame(own, "example_id long, n_tokens long, loss_from long"), limits).collect()
-    loss = {i: max(0, (n or 0) - (f or 0)) for i, n, f in own}
+    df = spark.createDataFrame(own, "example_id long, n_tokens long, n_loss long")
+    out = packing.pack_examples(df, limits).collect()
+    want = sorted((-1 if i is None else i, n or 0, min(n or 0, n or 0 if k is None else k)) for i, n, k in own)
+    assert sorted((-1 if x.example_id is None else x.example_id, x.n_tokens, x.n_loss) for x in out) == want
     seqs = {}
     for x in out:
         if x.sequence_id is not None:
             seqs.setdefault(x.sequence_id, []).append(x)
-    assert len(out) == len(own) and {x.example_id for x in out if x.sequence_id is None} == {1000, 1001} | {i for i in loss if loss[i] > 600}
+    assert {x.example_id for x in out if x.sequence_id is None} == {1000, 1001} | {i for i, _, k in want if k > 600}
     for s in seqs.values():
-        assert len(s) <= 4 and sum(x.n_tokens for x in s) <= 1024 and sum(loss[x.example_id] for x in s) <= 600
+        assert len(s) <= 4 and sum(x.n_tokens for x in s) <= 1024 and sum(x.n_loss for x in s) <= 600
+        at = 0
+        for x in sorted(s, key=lambda x: x.offset):
+            assert x.offset == at
+            at += x.n_tokens
+    assert packing.pack_examples(df.limit(0), limits).count() == 0
+
+
+def test_conversation_packing(spark):
+    d = "/root/testdata/sf0.01"
+    want = {}
+    for r in spark.read.parquet(f"{d}/conversations.parquet").collect():
+        n = len(ids_of(r.text)) // 4 + 1
+        total, loss = want.get(r.conv_id, (0, 0))
+        want[r.conv_id] = total + n, loss + (n if r.role == "assistant" else 0)
+    out = packing.conversation_packing(spark, d).collect()
+    assert {r.example_id: (r.n_tokens, r.n_loss) for r in out} == want and len(out) == len(want)
+    seqs = {}
+    for r in out:
+        seqs.setdefault(r.sequence_id, []).append(r)
+    assert all(n > 4096 or k > 3200 for n, k in (want[r.example_id] for r in seqs.pop(None, [])))
+    full = [(sum(r.n_tokens for r in s), len(s), sum(r.n_loss for r in s)) for s in seqs.values()]
+    assert all(a <= 4096 and b <= 4 and c <= 3200 for a, b, c in full)
+    odd = spark.createDataFrame([(1, "user", "a b", 1), (1, "assistant", None, 1), (None, None, "c", 1)], "conv_id long, role string, text string, n long")
+    got = sorted(map(tuple, packing.conversation_examples(odd, tokens.default_tokenizer()).collect()), key=str)
+    assert got == [(1, 4, 1), (None, 2, 0)]
+    assert packing.conversation_examples(odd.limit(0), tokens.default_tokenizer()).count() == 0
 
 
 def test_packages(spark, tmp_path):
@@ -242,7 +273,7 @@ def test_dictionary_from_whole_texts_and_small_inputs(spark):
     assert ids_of(tail * 2)[16:40] in tokenbin.train_dictionary(docs, name)
     small = spark.createDataFrame([(i, f"{tail}number {i}") for i in range(40)], "doc_id long, text string")
     assert 0 < len(tokenbin.train_dictionary(small, name)) < 16 * 1024
-    assert tokenbin.train_dictionary(small.limit(0), name) == b""
+    assert tokenbin.train_dictionary(small.limit(0), name) == b"" and all(tokenbin.train_dictionary(small.limit(k), name) for k in (1, 2, 5))
 
 
 def test_secret_linking(spark, odd):
