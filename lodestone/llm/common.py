@@ -25,6 +25,8 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder under spark.checkpoint.dir, which driver and executors share; sets a folder only where none is set."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="lodestone-")
         spark.sparkContext.setCheckpointDir(root)
         root = spark.sparkContext.getCheckpointDir()
@@ -43,6 +45,26 @@ def stored(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(uri: str, keep: tuple[str, ...] = ()) -> None:
+    """Removes what lies in a folder of the shared folder, but for the names in ``keep``."""
+    from pyarrow import fs
+
+    system, path = open_fs(uri)
+    for entry in system.get_file_info(fs.FileSelector(path, allow_not_found=True)):
+        if entry.base_name not in keep:
+            (system.delete_dir if entry.type == fs.FileType.Directory else system.delete_file)(entry.path)
+
+
+def whole_row(docs: DataFrame) -> Column:
+    """All columns of ``docs`` as one struct, so that no name can clash with columns that are joined."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def two_hashes(*columns: Column | str) -> tuple[Column, Column]:
+    """``a, b``: 128 bits of hash of the columns, to join rows of equal values."""
+    return F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit(1), *columns).alias("b")
+
+
 def open_fs(uri: str):
     """pyarrow file system and path of a URI that executors share."""
     from pyarrow import fs
