@@ -10,29 +10,34 @@ Steps: documents of equal words are reduced to one representative (partial minim
 representative is compared with the leader of each of its buckets, the member that has most
 company over all its buckets; linked ones become one class by minimum-label propagation.
 Buckets of over SMALL rows get further leaders, others each time.  Such a round makes at most
-one pair per bucket row.  Then all pairs across classes are compared in buckets of at most
-SMALL rows.  Pairs across classes of larger buckets go through an exact filter first: of two
-shingle sets with a Jaccard similarity of 0.8, sorted alike (rare ones first), the first common
-shingle comes so early that enough are left behind it; pairs without such a shingle cannot be
-linked.  So every pair of a common bucket is compared, of one class already, or ruled out.
-Buckets hold ids only; texts are joined to pairs.
+one pair per bucket row.  Then all pairs across classes that share a bucket are compared.
+Where the bucket has more than SMALL rows an exact filter comes first: of two shingle sets
+with a Jaccard similarity of 0.8, sorted alike (rare ones first), the first common shingle
+comes so early that enough are left behind it; pairs without such a shingle cannot be linked.
+So one rule holds for buckets of all sizes: every pair that shares a bucket is compared, of
+one class already, or ruled out.
+
+Members carry ids and buckets only.  Texts of those that share a bucket are shuffled once,
+into a table bucketed by id, so that rounds move a pair's rows to the texts; one text a pair
+then goes to the pair's leader, whose pairs are dealt out in parts of ``PART``.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import shared_dir, stored, table, words_of
+from lodestone.llm.common import discard, shared_dir, stored, table, words_of
 
 K, ELL, SKETCHES, SIMILARITY = 5, 4, 24, 0.8
-ROUNDS, SMALL, COUNTERS, BLOCKS = 2, 64, 1 << 20, 16
+ROUNDS, SMALL, PART, COUNTERS, BLOCKS = 2, 64, 512, 1 << 20, 16
 _SEEDS = np.random.RandomState(20).randint(1, 2**62, size=(2, 256), dtype=np.int64).astype(np.uint64)
 
 
@@ -181,27 +186,32 @@ def sketch(docs: DataFrame) -> DataFrame:
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` that are near duplicates, given ``id, text`` of every id."""
+    """The pairs ``a, b`` that are near duplicates, given ``a, b, lead`` (lead is a or b) and ``id, text`` of every id.
+
+    The texts of the other sides go to the leader's; a leader of many pairs is dealt out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, left, grams = None, None, None
         for batch in batches:
             keep = []
-            for a, x, y in zip(*(batch.column(c).to_pylist() for c in (0, 2, 3)), strict=True):
-                if a != last:
-                    last, left = a, word_hashes(words_of(x))
+            for lead, x, y in zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)), strict=True):
+                if lead != last:
+                    last, left = lead, word_hashes(words_of(x))
                     grams = np.unique(shingles(left))
                 keep.append(similar(left, word_hashes(words_of(y)), grams=grams))
-            chosen = batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-            yield chosen
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    left = texts.select(F.col("id").alias("a"), F.col("text").alias("x"))
-    right = texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    load = pairs.groupBy("lead").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    member = F.when(F.col("a") == F.col("lead"), F.col("b")).otherwise(F.col("a"))
+    own = pairs.join(load, "lead").select("a", "b", "lead", member.alias("id"), F.pmod(F.xxhash64(member), F.col("parts")).cast("int").alias("part"))
+    right = texts.join(own, "id").select("a", "b", "lead", "part", F.col("text").alias("y"))
+    left = texts.join(load.withColumnRenamed("lead", "id"), "id").select(F.col("id").alias("lead"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("text").alias("x"))
+    return right.join(left, ["lead", "part"]).select("a", "b", "lead", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def early_shingles(texts: DataFrame) -> DataFrame:
-    """``id, n, gram, place`` for the places of a document's sorted shingle set where a first common one can be.
+    """``id, n, gram, place, class_id`` for the places of a document's sorted shingle set where a first common one can be, given ``id, text, class_id``.
 
     Shingles are sorted by their number over all of ``texts``, counted in COUNTERS hashed
     counters (a bounded array), and then by value.  Any order that all documents share is
@@ -238,16 +248,17 @@ def early_shingles(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = shared.value
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc_id, text, class_id in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 grams = np.unique(shingles(word_hashes(words_of(text))))
                 n = len(grams)
                 order = np.lexsort((grams, numbers[(grams % np.uint64(COUNTERS)).astype(np.int64)]))
                 early = grams[order[: int((1 - SIMILARITY) * n + 1e-9) + 1]].view(np.int64)
                 for at in range(0, len(early), 100_000):
                     part = early[at : at + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), doc_id, dtype=np.int64)), pa.array(np.full(len(part), n, dtype=np.int64)), pa.array(part), pa.array(np.arange(at, at + len(part)))], ["id", "n", "gram", "place"])
+                    same = [pa.array(np.full(len(part), x, dtype=np.int64)) for x in (doc_id, n, class_id)]
+                    yield pa.RecordBatch.from_arrays([same[0], same[1], pa.array(part), pa.array(np.arange(at, at + len(part))), same[2]], ["id", "n", "gram", "place", "class_id"])
 
-    return texts.select("id", "text").mapInArrow(run, "id long, n long, gram long, place long")
+    return texts.select("id", "text", "class_id").mapInArrow(run, "id long, n long, gram long, place long, class_id long")
 
 
 def filtered_pairs(early: DataFrame) -> DataFrame:
@@ -291,60 +302,86 @@ def components(links: DataFrame, out_dir: str) -> DataFrame:
 def classes(docs: DataFrame) -> DataFrame:
     """One row per document: ``doc_id, class_id, class_size``; class_id is the least doc_id of the class.
 
-    Rows with a null doc_id are left out.  Null and empty texts are alone; texts without words
-    are a class only with equal texts.  Repeated rows give repeated rows of one class; of
-    different texts under one doc_id the least is compared.  An empty table gives no rows.
+    A row with a null doc_id is a class of its own with a null class_id.  Null and empty texts
+    are alone; texts without words are a class only with equal texts.  Repeated rows give
+    repeated rows of one class; of different texts under one doc_id the least is compared.
+    Texts of any length are compared whole.  Other columns are ignored, whatever their names.
+    An empty table gives no rows.
     """
     spark, out = docs.sparkSession, shared_dir(docs.sparkSession, "near-duplicates")
-    docs = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
+    own = docs.select(F.col("doc_id").cast("long"), "text")
+    docs = own.where("doc_id is not null")
     sketched = stored(sketch(docs), f"{out}/sketches")
-    reps = stored(sketched.groupBy("key").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")), f"{out}/representatives")
-    own = sketched.select(F.col("doc_id").alias("id"), "key", "n_words", "buckets").join(reps.select("id", "key"), ["id", "key"]).dropDuplicates(["id", "key"])
-    buckets = own.where("n_words > 0").select("id", "n_words", F.posexplode("buckets").alias("s", "v")).select("id", "n_words", F.xxhash64("s", "v").alias("bucket"))
-    crowded = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    buckets = stored(buckets.join(crowded, "bucket"), f"{out}/crowded")
-    company = buckets.groupBy("id").agg(F.sum("n").alias("company"))
-    buckets = stored(buckets.join(company, "id"), f"{out}/buckets")
-
-    wanted = buckets.select("id").distinct()
-    texts = docs.withColumnRenamed("doc_id", "id").join(wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
-    texts = stored(texts, f"{out}/texts")  # the one shuffle of texts: of documents that share a bucket
+    first = sketched.groupBy("key").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"), F.first("n_words").alias("n_words"), F.first("buckets").alias("buckets"))
+    reps = stored(first, f"{out}/representatives")  # equal words have equal buckets
+    rows = reps.where("n_words > 0").select("id", "n_words", F.posexplode("buckets").alias("s", "v")).select("id", "n_words", F.xxhash64("s", "v").alias("bucket"))
+    crowded = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    shared = rows.join(crowded, "bucket").groupBy("id").agg(F.max("n_words").alias("n_words"), F.sum("n").alias("company"), F.collect_set(F.struct("bucket", "n")).alias("buckets"))
+    members = stored(shared, f"{out}/members")  # at most SKETCHES buckets each
+    texts, drop_texts = _bucketed_texts(docs, members, f"{out}/texts")
+
     labels, links, tried = spark.createDataFrame([], "id long, class_id long"), None, None
     for turn in range(ROUNDS + 1):
-        now = _labelled_buckets(buckets, labels)
-        if 0 < turn < ROUNDS:
-            now = now.where(F.col("n") > SMALL)
+        now = members.join(labels, "id", "left").select("id", "n_words", "company", F.coalesce("class_id", "id").alias("class_id"), F.inline("buckets"))
         if turn < ROUNDS:  # every member against the leader of this turn
-            rank = F.struct(-F.col("company") if turn == 0 else F.xxhash64("id", "bucket", F.lit(turn)), "id")
-            leaders = now.groupBy("bucket").agg(F.min_by(F.struct("id", "class_id", "n_words"), rank).alias("lead"))
-            pairs = now.join(leaders, "bucket").where("class_id <> lead.class_id").where(_lengths_fit("n_words", "lead.n_words")).select(F.least("id", F.col("lead.id")).alias("a"), F.greatest("id", F.col("lead.id")).alias("b"))
+            pairs = _leader_pairs(now if turn == 0 else now.where(F.col("n") > SMALL), turn)
         else:  # all that buckets still hold in different classes
-            mixed = now.groupBy("bucket").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high")).where("low <> high").select("bucket")
-            now = stored(now.join(mixed, "bucket"), f"{out}/mixed")
-            few = now.where(F.col("n") <= SMALL)
-            other = few.select("bucket", F.col("id").alias("b"), F.col("class_id").alias("other"), F.col("n_words").alias("length"))
-            pairs = few.withColumnRenamed("id", "a").join(other, "bucket").where("a < b and class_id <> other").where(_lengths_fit("n_words", "length")).select("a", "b")
-            many = now.where(F.col("n") > SMALL).select("id", "class_id").distinct()
-            early = early_shingles(texts.join(many.select("id"), "id", "left_semi"))
-            pairs = pairs.unionByName(filtered_pairs(stored(early.join(many, "id"), f"{out}/early")))
-        pairs = pairs.distinct()
+            pairs = _mixed_pairs(now, members, texts, out)
+        pairs = pairs.groupBy("a", "b").agg(F.min("lead").alias("lead"))
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stored(pairs, f"{out}/pairs-{turn}")
         found = stored(verify(pairs, texts), f"{out}/links-{turn}")
-        tried = pairs if tried is None else tried.unionByName(pairs)
+        tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
         if found.limit(1).count():
             links = found if links is None else links.unionByName(found)
             labels = components(links, f"{out}/classes-{turn}")
     rep_class = reps.join(labels, "id", "left").select("key", F.coalesce("class_id", "id").alias("class_id"), "n")
     sizes = rep_class.groupBy("class_id").agg(F.sum("n").alias("class_size"))
     rep_class = stored(rep_class.join(sizes, "class_id").select("key", "class_id", "class_size"), f"{out}/rep-classes")
-    members = sketched.select("doc_id", "key")
-    return members.join(rep_class, "key").select("doc_id", "class_id", "class_size")
+    drop_texts()
+    discard(out, keep=("sketches", "rep-classes"))
+    named = sketched.select("doc_id", "key").join(rep_class, "key").select("doc_id", "class_id", "class_size")
+    return named.unionByName(own.where("doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size")))
+
 
+def _bucketed_texts(docs: DataFrame, members: DataFrame, path: str):
+    """``id, text`` of the members as a table bucketed by id, and a function that drops its name.
 
-def _labelled_buckets(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    return buckets.join(labels, "id", "left").select("bucket", "n", "id", "n_words", "company", F.coalesce("class_id", "id").alias("class_id"))
+    The one shuffle of texts; both sides are dealt out alike at every size, so that a bucket is
+    one task and one file.
+    """
+    spark, name = docs.sparkSession, f"near_duplicates_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    wanted = members.select("id").repartition(n, "id").hint("merge")
+    texts = docs.withColumnRenamed("doc_id", "id").repartition(n, "id").join(wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    texts.write.bucketBy(n, "id").sortBy("id").option("path", path).saveAsTable(name)
+    return spark.table(name), lambda: spark.sql(f"DROP TABLE {name}")
+
+
+def _leader_pairs(now: DataFrame, turn: int) -> DataFrame:
+    """``a, b, lead`` of every bucket row with the leader of its bucket, where classes differ and lengths fit."""
+    rank = F.struct(-F.col("company") if turn == 0 else F.xxhash64("id", "bucket", F.lit(turn)), "id")
+    leaders = now.groupBy("bucket").agg(F.min_by(F.struct("id", "class_id", "n_words"), rank).alias("lead"))
+    met = now.join(leaders, "bucket").where("class_id <> lead.class_id").where(_lengths_fit("n_words", "lead.n_words"))
+    return met.select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b"), F.col("lead.id").alias("lead"))
+
+
+def _mixed_pairs(now: DataFrame, members: DataFrame, texts: DataFrame, out: str) -> DataFrame:
+    """``a, b, lead`` of all pairs of different classes that share a bucket and can be similar."""
+    mixed = now.groupBy("bucket").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high")).where("low <> high").select("bucket")
+    now = stored(now.join(mixed, "bucket"), f"{out}/mixed")
+    few = now.where(F.col("n") <= SMALL)
+    other = few.select("bucket", F.col("id").alias("b"), F.col("class_id").alias("other"), F.col("n_words").alias("length"))
+    pairs = few.withColumnRenamed("id", "a").join(other, "bucket").where("a < b and class_id <> other").where(_lengths_fit("n_words", "length")).select("a", "b")
+    many = now.where(F.col("n") > SMALL).select("id", "class_id").distinct()
+    early = stored(early_shingles(texts.join(many, "id")), f"{out}/early")
+    passed = stored(filtered_pairs(early), f"{out}/passed")
+    held = members.select("id", F.transform("buckets", lambda x: x["bucket"]).alias("own"))
+    for side in "ab":
+        passed = passed.join(held.select(F.col("id").alias(side), F.col("own").alias(f"own_{side}")), side)
+    pairs = pairs.unionByName(passed.where(F.arrays_overlap("own_a", "own_b")).select("a", "b"))
+    return pairs.withColumn("lead", F.col("a"))
 
 
 def _lengths_fit(a: str, b: str) -> Column:
@@ -353,9 +390,10 @@ def _lengths_fit(a: str, b: str) -> Column:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each class, that with the least doc_id (of repeated rows the least text); columns as they were.  Rows with a null doc_id stay."""
+    """One document of each class, that with the least doc_id (of its rows that of the least text); columns as they were.  Rows with a null doc_id stay."""
     kept = classes(docs).where("doc_id = class_id").select(F.col("doc_id").alias("__id")).distinct()
-    first = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
+    first = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("__id"), "left_semi")
+    first = first.withColumn("__nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("__nth = 1").drop("__nth")
     return first.unionByName(docs.where("doc_id is null"))
 
 
