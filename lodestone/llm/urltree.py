@@ -1,11 +1,13 @@
 """URL filter: host and path rules, then a tree of path templates per host, in DataFrame operations only.
 
-Segments of a path (the first ``DEPTH``) stay literal where at least ``LEAST_PAGES`` pages and
-``LEAST_SHARE`` of the host's pages have that value at that place, and become ``*`` elsewhere, so
-a host has a bounded number of literals.  Labels count good and bad pages per template.
-Templates that differ only in their last literal segment are siblings; those whose bad rate
-is within ``NEAR`` standard errors of the siblings' pooled rate are merged.  A template is
-blocked if its bad rate, smoothed with ``WEIGHT`` pages of the overall rate, reaches
+Templates grow segment by segment, over all segments: at each node (host and template so far)
+a segment stays literal where at least ``LEAST_PAGES`` pages of the node have it, and becomes
+``*`` elsewhere.  The bar is a number of pages, so a branch is told apart on hosts of any size.
+Literals of a level are a written table; pages are never rewritten.  Labels count good and bad
+pages per template.  Then branches are merged from the last place to the first: those that
+differ at one place only are siblings, and a branch whose bad rate is within ``NEAR`` standard
+errors of the siblings' pooled rate, or that has no label, gets ``*`` there.  A branch is
+blocked if it has a label and its bad rate, smoothed with ``WEIGHT`` pages of the overall rate, reaches
 ``MOST_BAD``.  A page is labelled through the number that ends its path (the document's id);
 bad means toxic or of quality 0.
 """
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import shared_dir, stored, table
 
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
-DEPTH, LEAST_PAGES, LEAST_SHARE, NEAR, WEIGHT, MOST_BAD, SALTS = 4, 10, 0.02, 2.0, 20.0, 0.5, 8
+LEAST_PAGES, NEAR, WEIGHT, MOST_BAD, SALTS = 10, 2.0, 20.0, 0.5, 8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -41,48 +43,72 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
     return text, verdict
 
 
-def templates(urls: DataFrame, out_dir: str) -> DataFrame:
-    """``urls`` (with ``host, path``) with ``template``: literal segments and ``*``, ``/``-joined."""
-    segments = F.slice(F.array_remove(F.split("path", "/", -1), ""), 1, DEPTH)
-    rows = urls.withColumn("segments", segments)
-    totals = rows.groupBy("host").agg(F.count("*").alias("pages"))
-    common = rows.select("host", F.posexplode("segments").alias("place", "segment")).groupBy("host", "place", "segment").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES)
-    kept = common.join(totals, "host").where(F.col("n") >= LEAST_SHARE * F.col("pages"))
-    literals = stored(kept.groupBy("host").agg(F.collect_list(F.concat_ws(":", F.col("place").cast("string"), "segment")).alias("literals")), f"{out_dir}/literals")
-    literals = literals.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int"))
-    shown = F.transform("segments", lambda s, i: F.when(F.array_contains("literals", F.concat_ws(":", i.cast("string"), s)), s).otherwise("*"))
-    return salted.join(literals, ["host", "salt"], "left").withColumn("template", F.array_join(F.when(F.col("literals").isNull(), F.transform("segments", lambda s: F.lit("*"))).otherwise(shown), "/")).drop("segments", "salt", "literals")
+def templates(urls: DataFrame, out_dir: str) -> tuple[DataFrame, int]:
+    """``urls`` (with ``host, path``) with ``template`` (literal segments and ``*``, ``/``-joined), and the number of levels that can have literals.
 
-
-def blocked_templates(paged: DataFrame, labels: DataFrame, out_dir: str) -> DataFrame:
+    A level is one pass that counts segments by node, summed before the shuffle.  Passes end
+    where no node has ``LEAST_PAGES`` pages that go deeper: all that is left is ``*``.
+    """
+    rows = urls.withColumn("segments", F.array_remove(F.split("path", "/", -1), "")).withColumn("template", F.lit(""))
+    rows, level = rows.withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int")), 0
+    while True:
+        here = rows.where(F.size("segments") > level).select(F.struct("host", "template").alias("node"), F.get("segments", F.lit(level)).alias("segment"))
+        counts = here.rollup("node", "segment").agg(F.count("*").alias("n"), F.grouping("segment").alias("whole"), F.grouping("node").alias("all"))
+        counts = stored(counts.where(F.col("n") >= LEAST_PAGES).where("all = 0").select("node.host", "node.template", "segment", "whole"), f"{out_dir}/level-{level}")
+        if not counts.where("whole = 1").limit(1).count():
+            break
+        literal = counts.where("whole = 0").select("host", "template", "segment", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(True).alias("literal"))
+        met = rows.withColumn("segment", F.get("segments", F.lit(level))).join(literal, ["host", "template", "segment", "salt"], "left")
+        grown = F.concat_ws("/", F.nullif("template", F.lit("")), F.when(F.col("literal"), F.col("segment")).otherwise("*"))
+        rows = met.withColumn("template", F.when(F.col("segment").isNull(), F.col("template")).otherwise(grown)).drop("segment", "literal")
+        level += 1
+    rest = F.array_repeat(F.lit("*"), F.greatest(F.size("segments") - level, F.lit(0)))
+    return rows.withColumn("template", F.array_join(F.concat(F.array_remove(F.array("template"), ""), rest), "/")).drop("segments", "salt"), level
+
+
+def branches(counts: DataFrame, levels: int, out_dir: str) -> DataFrame:
+    """``host, template, branch, n, bad``: the merged branch (an array of segments) of each template of ``counts`` (host, template, n, bad)."""
+    tree = counts.withColumn("branch", F.split("template", "/", -1))
+    for place in reversed(range(levels)):
+        sums = stored(tree.where(F.size("branch") > place).groupBy("host", "branch").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), f"{out_dir}/branches-{place}")
+        wild = F.transform("branch", lambda s, i: F.when(i == place, "*").otherwise(s))
+        sums = sums.withColumn("to", wild)
+        pooled = sums.groupBy("host", "to").agg(F.try_divide(F.sum("bad"), F.sum("n")).alias("rate"))
+        rate = F.col("rate")
+        near = (F.col("n") == 0) | (F.abs(F.try_divide("bad", "n") - rate) <= NEAR * F.sqrt(F.try_divide(rate * (1 - rate), F.col("n"))))
+        moved = sums.join(pooled, ["host", "to"]).where(near).where(F.col("branch") != F.col("to")).select("host", "branch", "to")
+        tree = stored(tree.join(moved, ["host", "branch"], "left").withColumn("branch", F.coalesce("to", "branch")).drop("to"), f"{out_dir}/tree-{place}")
+    return tree
+
+
+def blocked_templates(paged: DataFrame, labels: DataFrame, levels: int, out_dir: str) -> DataFrame:
     """``host, template`` of the templates to block, given ``host, path, template`` and ``doc_id, quality, toxic``."""
     bad = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("number")).agg(F.max(F.when((F.col("toxic") == 1) | (F.col("quality") == 0), 1).otherwise(0)).alias("bad"))
-    numbered = paged.withColumn("number", F.regexp_extract("path", "([0-9]+)[^0-9/]*/?$", 1).try_cast("long")).where("number is not null")
-    counts = stored(numbered.join(bad, "number").groupBy("host", "template").agg(F.count("*").alias("n"), F.sum("bad").alias("bad")), f"{out_dir}/templates")
-    overall = counts.agg((F.sum("bad") / F.sum("n")).alias("rate")).first().rate or 0.0
-    parent = F.regexp_replace("template", "[^*/]+((/\\*)*)$", "*$1")
-    tree = counts.withColumn("parent", parent)
-    pooled = tree.groupBy("host", "parent").agg(F.sum("n").alias("all_n"), F.sum("bad").alias("all_bad"))
-    rate = F.col("all_bad") / F.col("all_n")
-    near = F.abs(F.col("bad") / F.col("n") - rate) <= NEAR * F.sqrt(rate * (1 - rate) / F.col("n"))
-    branches = tree.join(pooled, ["host", "parent"]).withColumn("branch", F.when(near, F.col("parent")).otherwise(F.concat(F.lit("="), "template")))
-    merged = branches.groupBy("host", "branch").agg(F.sum("n").alias("branch_n"), F.sum("bad").alias("branch_bad"))
-    purity = (F.col("branch_bad") + WEIGHT * overall) / (F.col("branch_n") + WEIGHT)
-    return stored(branches.join(merged.where(purity >= MOST_BAD), ["host", "branch"]).select("host", "template"), f"{out_dir}/blocked")
+    numbered = paged.select("host", "template", F.regexp_extract("path", "([0-9]+)[^0-9/]*/?$", 1).try_cast("long").alias("number"))
+    known = numbered.where("number is not null").join(bad, "number")
+    every = known.select("host", "template", F.lit(1).alias("n"), "bad").unionByName(numbered.select("host", "template", F.lit(0).alias("n"), F.lit(0).alias("bad")))
+    counts = stored(every.groupBy("host", "template").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), f"{out_dir}/templates")
+    overall = counts.agg(F.try_divide(F.sum("bad"), F.sum("n")).alias("rate")).first().rate or 0.0
+    tree = branches(counts, levels, out_dir)
+    merged = tree.groupBy("host", "branch").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    purity = (F.col("bad") + WEIGHT * overall) / (F.col("n") + WEIGHT)
+    return stored(tree.select("host", "template", "branch").join(merged.where((F.col("n") > 0) & (purity >= MOST_BAD)), ["host", "branch"]).select("host", "template"), f"{out_dir}/blocked")
 
 
 def judge_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFrame:
     """Per row of ``page_id, url``: ``page_id, host, path, rule, verdict, template``.
 
-    Null urls and urls without ``://`` have empty host and path and share one template.
-    Repeated rows count as pages each.  Without labels no template is blocked.
+    Null urls and urls without ``://`` have empty host and path and share one template.  Urls of
+    any length are read whole.  Repeated rows count as pages each; rows of one doc_id in the
+    labels are bad if one of them is.  A segment ``*`` counts as a wildcard.  Of rules of equal
+    length the first listed wins.  Other columns are ignored, whatever their names.  Without
+    labels no template is blocked; an empty table gives no rows.
     """
     out = shared_dir(pages.sparkSession, "url-tree")
     host, path = split_url(F.col("url"))
     urls = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
-    paged = templates(urls, out)
-    blocked = blocked_templates(paged, labels, out).withColumn("blocked", F.lit(True))
+    paged, levels = templates(urls, out)
+    blocked = blocked_templates(paged, labels, levels, out).withColumn("blocked", F.lit(True))
     blocked = blocked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     judged = paged.withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int")).join(blocked, ["host", "template", "salt"], "left")
@@ -102,27 +128,31 @@ def _oracle() -> str:
     rule = " ".join(f"WHEN {fits(r)} THEN '{r}'" for _, r in ordered)
     verdict = " ".join(f"WHEN {fits(r)} THEN '{k}'" for k, r in ordered)
     return f"""
-WITH rest AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+WITH RECURSIVE rest AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 h AS (SELECT page_id, regexp_extract(rest, '^([^/?#]*)', 1) AS host, rest FROM rest),
 u AS (SELECT row_number() OVER () AS r, page_id, translate(host, '{UPPER}', '{LOWER}') AS host, regexp_extract(substr(rest, length(host) + 1), '^([^?#]*)', 1) AS path FROM h),
-s AS (SELECT *, list_slice(list_filter(string_split(path, '/'), lambda x: x <> ''), 1, {DEPTH}) AS segments FROM u),
-e AS (SELECT r, host, unnest(segments) AS segment, unnest(range(1, len(segments) + 1)) AS place FROM s),
-total AS (SELECT host, count(*) AS pages FROM s GROUP BY host),
-lit AS (SELECT host, place, segment FROM (SELECT host, place, segment, count(*) AS n FROM e GROUP BY ALL) JOIN total USING (host) WHERE n >= {LEAST_PAGES} AND n >= {LEAST_SHARE}::DOUBLE * pages),
-t AS (SELECT r, string_agg(CASE WHEN lit.host IS NULL THEN '*' ELSE e.segment END, '/' ORDER BY e.place) AS template
-      FROM e LEFT JOIN lit ON lit.host = e.host AND lit.place = e.place AND lit.segment = e.segment GROUP BY r),
-p AS (SELECT s.r, page_id, host, path, coalesce(template, '') AS template FROM s LEFT JOIN t USING (r)),
+s AS (SELECT *, list_filter(string_split(path, '/'), lambda x: x <> '') AS segments FROM u),
+grow AS (
+  SELECT r, host, segments, 0 AS d, '' AS template FROM s
+  UNION ALL
+  SELECT r, host, segments, d + 1, CASE WHEN d > 0 THEN template || '/' ELSE '' END
+         || CASE WHEN count(*) OVER (PARTITION BY host, template, segments[d + 1]) >= {LEAST_PAGES} THEN segments[d + 1] ELSE '*' END
+  FROM grow WHERE d < len(segments)),
+p AS (SELECT s.r, page_id, s.host, path, template FROM s JOIN grow ON grow.r = s.r AND grow.d = len(s.segments)),
 b AS (SELECT doc_id AS number, max(CASE WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
-c AS (SELECT host, template, count(*) AS n, sum(bad) AS bad FROM (SELECT *, TRY_CAST(regexp_extract(path, '([0-9]+)[^0-9/]*/?$', 1) AS BIGINT) AS number FROM p) JOIN b USING (number) GROUP BY host, template),
-o AS (SELECT sum(bad)::DOUBLE / sum(n) AS overall FROM c),
-tree AS (SELECT *, regexp_replace(template, '[^*/]+((/\\*)*)$', '*\\1') AS parent FROM c),
-pooled AS (SELECT host, parent, sum(n) AS all_n, sum(bad)::DOUBLE / sum(n) AS rate FROM tree GROUP BY host, parent),
-branches AS (
-  SELECT tree.*, CASE WHEN abs(bad::DOUBLE / n - rate) <= {NEAR}::DOUBLE * sqrt(rate * (1 - rate) / n) THEN parent ELSE '=' || template END AS branch
-  FROM tree JOIN pooled USING (host, parent)),
+c AS (SELECT host, template, count(bad) AS n, coalesce(sum(bad), 0) AS bad FROM (SELECT *, TRY_CAST(regexp_extract(path, '([0-9]+)[^0-9/]*/?$', 1) AS BIGINT) AS number FROM p) LEFT JOIN b USING (number) GROUP BY host, template),
+o AS (SELECT coalesce(sum(bad)::DOUBLE / nullif(sum(n), 0), 0) AS overall FROM c),
+tree AS (
+  SELECT host, template, string_split(template, '/') AS branch, n, bad, (SELECT max(len(segments)) FROM s) AS d FROM c
+  UNION ALL
+  SELECT host, template, CASE WHEN len(branch) >= d AND (own_n = 0 OR abs(own_bad::DOUBLE / own_n - rate) <= {NEAR}::DOUBLE * sqrt(rate * (1 - rate) / own_n)) THEN wild ELSE branch END, n, bad, d - 1
+  FROM (SELECT *, sum(n) OVER (PARTITION BY host, branch) AS own_n, sum(bad) OVER (PARTITION BY host, branch) AS own_bad,
+               sum(bad) OVER (PARTITION BY host, wild)::DOUBLE / nullif(sum(n) OVER (PARTITION BY host, wild), 0) AS rate
+        FROM (SELECT *, list_concat(branch[:d - 1], ['*'], branch[d + 1:]) AS wild FROM tree WHERE d > 0) x) y),
+merged AS (SELECT host, branch, sum(n) AS bn, sum(bad) AS bb FROM tree WHERE d = 0 GROUP BY host, branch),
 blocked AS (
-  SELECT host, template FROM branches JOIN (SELECT host, branch, sum(n) AS bn, sum(bad) AS bb FROM branches GROUP BY host, branch) USING (host, branch), o
-  WHERE (bb + {WEIGHT}::DOUBLE * overall) / (bn + {WEIGHT}::DOUBLE) >= {MOST_BAD}::DOUBLE)
+  SELECT host, template FROM tree JOIN merged USING (host, branch), o
+  WHERE d = 0 AND bn > 0 AND (bb + {WEIGHT}::DOUBLE * overall) / (bn + {WEIGHT}::DOUBLE) >= {MOST_BAD}::DOUBLE)
 SELECT page_id, host, path, CASE {rule} END AS rule, coalesce(CASE {verdict} END, CASE WHEN k.template IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, p.template
 FROM p LEFT JOIN blocked k USING (host, template)
 """
