@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import table
+from lodestone.llm.common import shared_dir, stored, table, two_hashes, whole_row
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: Kind, pattern, least length of group 2, greatest length of the match.  {16,} and {24,} give
@@ -92,29 +92,34 @@ def find_secrets(docs: DataFrame, scope_chars: int = 200) -> DataFrame:
     return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(_written(base), 256).alias("base_sha256"), _written(F.col("spans")).alias("spans"))
 
 
+def _stretches(found: DataFrame) -> DataFrame:
+    """``a, b, stretches``: reported spans (endpoints excepted) of each text, overlapping ones as one, in order."""
+    before = Window.partitionBy("a", "b").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    spans = found.select("a", "b", F.inline("spans")).where(F.col("kind") < len(KINDS) - 1)
+    spans = spans.withColumn("fresh", F.coalesce(F.col("start") >= F.max("end").over(before), F.lit(True)).cast("int"))
+    spans = spans.withColumn("no", F.sum("fresh").over(before.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    merged = spans.groupBy("a", "b", "no").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return merged.groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("stretches"))
+
+
 def redact(docs: DataFrame, scope_chars: int = 200, mark: str = "[SECRET]") -> DataFrame:
-    """The documents with each stretch of reported spans (endpoints excepted) replaced by ``mark``; columns as they were.
+    """The documents with each stretch of reported spans (endpoints excepted) replaced by ``mark``; columns as they were, whatever their names.
 
-    Overlapping spans are one stretch.  n_chars, if there, follows the new text.
+    Overlapping spans are one stretch.  n_chars, if there, follows the new text.  Null and empty
+    texts stay; equal texts share their spans; an empty table gives no rows.  Places only are
+    joined to texts, as a written table, so texts move only if that exceeds the broadcast limit.
     """
-    columns = [c for c in docs.columns if c != "text"]
-    hidden = len(KINDS) - 1
-    own = docs.select(F.struct(*docs.columns).alias("__doc"), "text")
-    found = find_spans(own, scope_chars, keep=("__doc",))
-    state = "struct<at:int,out:array<string>>"
-    text = F.coalesce("__doc.text", F.lit(""))
-
-    def step(acc: Column, s: Column) -> Column:
-        lead = F.when(s["start"] >= acc["at"], F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(F.array().cast("array<string>"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], lead).alias("out"))
-
-    shown = F.filter("spans", lambda s: s["kind"] != hidden)
-    folded = F.aggregate(shown, F.struct(F.lit(0).alias("at"), F.array().alias("out")).cast(state), step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
-    clean = F.when(F.size(shown) > 0, folded).otherwise(F.col("__doc.text"))
-    out = found.select(*(F.col(f"__doc.`{c}`").alias(c) for c in columns), clean.alias("text"))
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    a, b = two_hashes("text")
+    found = find_spans(docs.select(a, b, "text").where("text is not null"), scope_chars, keep=("a", "b")).where(F.size("spans") > 0).dropDuplicates(["a", "b"])
+    places = stored(_stretches(found), shared_dir(docs.sparkSession, "secret-places"))
+    joined = docs.select(whole_row(docs).alias("d"), a, b).join(places, ["a", "b"], "left")
+    shown, text, end = F.col("stretches"), F.col("d.text"), lambda i: F.coalesce(F.get("stretches", i)["end"], F.lit(0))
+    lead = F.transform(shown, lambda s, i: F.concat(F.substring(text, end(i - 1) + 1, s["start"] - end(i - 1)), F.lit(mark)))
+    clean = F.concat(F.array_join(lead, ""), F.substring(text, end(F.size(shown) - 1) + 1, F.length(text)))
+    new = {"text": F.when(shown.isNotNull(), clean).otherwise(text)}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(shown.isNotNull(), F.length(clean).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("d.n_chars"))
+    return joined.select(*(new.get(c, F.col(f"d.`{c}`")).alias(c) for c in docs.columns))
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -193,17 +193,23 @@ def write_packages(pages: DataFrame, out_dir: str) -> DataFrame:
 
     Null html is an empty payload.  Payloads under 100 bytes are always responses.  Rows that
     repeat the smallest page_id of a payload are responses too; a null page_id is never
-    the one referred to.  An empty table gives no package.
+    the one referred to.  Payloads of any length are one record; of equal digests the least
+    page_id is the response, whatever the order of rows.  Other columns are ignored, whatever
+    their names.  An empty table gives no package.
+
+    An attempt's packages have its number in their names, and the manifest lists those of the
+    attempts that Spark committed: what a lost or late attempt leaves behind is never read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, k, size, records, done = TaskContext.get().partitionId(), 0, 0, [], []
+        k, size, records, done = 0, 0, [], []
+        task = f"part-{TaskContext.get().partitionId():06d}-{TaskContext.get().taskAttemptId()}"
 
         def close() -> None:
             nonlocal k, size
-            uri = f"{out_dir}/part-{part:06d}-{k:04d}.wacz"
+            uri = f"{out_dir}/{task}-{k:04d}.wacz"
             write_package(uri, records)
             done.append((uri, len(records)))
             records.clear()
