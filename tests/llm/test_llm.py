@@ -215,9 +215,11 @@ def test_near_duplicates_equal_brute_force(spark, odd):
                 parent[rb] = ra
     got = {r.doc_id: r.class_id for r in neardup.classes(docs).collect()}
     assert got == {i: root(i) for i in ids}
-    found = sorted((r.doc_id, r.class_id) for r in neardup.classes(odd).collect())
-    assert found == [(1, 1), (2, 2), (3, 3), (4, 4), (4, 4), (5, 5), (6, 6), (7, 7), (8, 8), (9, 4)]
+    found = sorted(((r.doc_id, r.class_id) for r in neardup.classes(odd).collect()), key=lambda r: r[0] or 0)
+    assert found == [(None, None), (1, 1), (2, 2), (3, 3), (4, 4), (4, 4), (5, 5), (6, 6), (7, 7), (8, 8), (9, 4)]
     assert neardup.classes(odd.limit(0)).count() == 0 and neardup.keep_first(odd).columns == odd.columns
+    twice = spark.createDataFrame([(1, "z0 " * 9, "s"), (1, "a0 " * 9, "s"), (2, "z0 " * 9, "s"), (3, "b", "s"), (None, "b", "s")], "doc_id long, text string, source string")
+    assert sorted((r.doc_id or 0, r.text[:2]) for r in neardup.keep_first(twice).collect() if r.doc_id != 2) == [(0, "b"), (1, "a0"), (3, "b")]
 
 
 def test_large_buckets_equal_brute_force(spark):
@@ -245,7 +247,7 @@ def test_large_buckets_equal_brute_force(spark):
             ra, rb = sorted((root(a), root(b)))
             parent[rb] = ra
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    early = neardup.early_shingles(docs.withColumnRenamed("doc_id", "id")).withColumn("class_id", F.col("id"))
+    early = neardup.early_shingles(docs.withColumn("id", F.col("doc_id")).withColumn("class_id", F.col("doc_id")))
     passed = {(r.a, r.b) for r in neardup.filtered_pairs(early).collect()}
     assert near <= passed and len(passed) < 300 * 299 / 4
     assert {r.doc_id: r.class_id for r in neardup.classes(docs).collect()} == {i: root(i) for i in texts}
@@ -283,6 +285,15 @@ def test_secret_linking(spark, odd):
     assert secrets.find_secrets(odd).count() == odd.count() and secrets.find_secrets(odd.limit(0)).count() == 0
     clean = secrets.redact(spark.createDataFrame([(0, "é Password = 'hunter22' z", 25), (1, None, 0)], "doc_id long, text string, n_chars long")).orderBy("doc_id").collect()
     assert (clean[0].text, clean[0].n_chars, clean[1].text) == ("é [SECRET]' z", 13, None)
+    many = " ".join(f"token=abcdef{i}\npassword: secret={i}{i}{i}{i}{i}{i} plain" for i in range(300))
+    spans = [tuple(map(int, x.split(":")[1:])) for x in secrets.find_secrets(spark.createDataFrame([(1, many)], "doc_id long, text string")).first().spans.split(",")]
+    want, at = "", 0
+    for start, end in sorted(spans):
+        want, at = (want + many[at:start] + "[SECRET]" if start >= at else want), max(at, end)
+    frame = spark.createDataFrame([(1, many, "x", 1, 2), (2, many, "y", 1, 2), (None, "", "z", 1, 2), (3, "no", None, 1, 2)], "doc_id long, text string, `so.urce` string, kept int, a int")
+    got = secrets.redact(frame)
+    assert got.columns == frame.columns and sorted(r.text for r in got.collect()) == sorted([want + many[at:], want + many[at:], "", "no"])
+    assert secrets.redact(frame.limit(0)).count() == 0
 
 
 def test_trie_counts(spark, odd):
@@ -322,6 +333,14 @@ def test_urls(spark):
         ("", "", None, "allow"), ("", "", None, "allow"), ("a.example.com", "/en/7", "example.com/en/7", "allow"), ("x.example.net", "/de/81", "example.net/de/8", "block"),
         ("y.net", "/de/1", "net/de/", "allow"), ("com", "/en/", "com/en/", "block"), ("q.org", "/es/1", "org/es/", "block"), ("h", "", None, "allow")]
     assert all(got[100 + i].verdict == "block" and got[200 + i].verdict == "allow" for i in range(60)) and got[100].template == "bad/*"
+    deep = [(i, f"http://h.biz/a/b/c/d/{'bad' if i < 60 else 'good'}/{i}") for i in range(120)] + [(i, f"http://h.biz/u{i}/x/y{i % 2}/{i % 60}") for i in range(200, 300)]
+    deep += [(900, "http://h.biz/" + "q/" * 3000), (901, "http://h.biz/a/b/c/d/bad/999"), (901, "http://h.biz/a/b/c/d/bad/999"), (None, None)]
+    frame = spark.createDataFrame([(*p, "t", "s", "n") for p in deep], "page_id long, url string, template string, salt string, segments string")
+    half = spark.createDataFrame([(i, 1, int(i < 60)) for i in range(120)], "doc_id long, quality int, toxic int")
+    got = {r.page_id: r for r in urltree.judge_urls(frame, half).collect()}
+    assert all(got[i].verdict == ("block" if i < 60 else "allow") for i in range(120)) and got[901].verdict == "block"
+    assert got[5].template == "a/b/c/d/bad/*" and got[205].template == "*/x/y1/*" and got[900].template == "/".join("*" * 3000)
+    assert urltree.judge_urls(frame.limit(0), half).count() == 0 and {r.verdict for r in urltree.judge_urls(frame, half.limit(0)).collect()} == {"allow"}
 
 
 def test_line_frequency(spark, odd):
@@ -338,6 +357,8 @@ def test_line_frequency(spark, odd):
     edge = {r.doc_id: r for r in linefreq.judge(odd).collect()}
     assert (edge[1].n_words, edge[1].kept) == (0, False) and edge[5].n_words == 900 * 23 and edge[5].base_failed
     assert linefreq.judge(odd.limit(0)).count() == 0 and linefreq.clean(odd).columns == odd.columns
+    clash = df.withColumns({c: F.lit(1) for c in ("kept", "removed", "a", "d", "lines", "x.y")})
+    assert {r.doc_id: r.text for r in linefreq.clean(clash).collect()} == cleaned and linefreq.clean(clash).columns == clash.columns
 
 
 def test_repeats_whatever_hash_and_place(spark):
