@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm import decontaminate, linefreq, neardup, packing, secrets, tokens
-from lodestone.llm.common import shared_dir, stored, table
+from lodestone.llm.common import discard, shared_dir, stored, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,8 +52,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole table ``documents``."""
+    """All stages over the whole table ``documents``; what a stage has read is removed when its own rows are written."""
     out, docs = shared_dir(spark, "pipeline"), table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stored(stage(spark, docs, sf_dir), f"{out}/{k}-{name}")
+        discard(out, keep=(f"{k}-{name}",))
     return docs
