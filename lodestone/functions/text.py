@@ -107,9 +107,45 @@ def token_hash(token: Column) -> Column:
     return F.sha2(token, 256)
 
 
-def clean_attrs(attrs: Column) -> Column:
-    """JSON of a string map without empty strings and integer zeros; ``{}`` if nothing is left."""
-    return F.to_json(F.map_filter(attrs, lambda k, v: v.isNotNull() & (v != "") & (v != "0")))
+def clean_attrs(strings: Column, integers: Column) -> Column:
+    """JSON, by key, of a string map without empty strings and an integer map without zeros; nulls go too, ``{}`` if nothing is left."""
+
+    def quoted(value: Column) -> Column:
+        shown = F.to_json(F.array(value))
+        return F.substring(shown, F.lit(2), F.length(shown) - 2)
+
+    def pairs(values: Column, shown) -> Column:
+        return F.transform(F.map_entries(values), lambda e: F.struct(e["key"].alias("key"), F.concat(quoted(e["key"]), F.lit(":"), shown(e["value"])).alias("pair")))
+
+    texts = pairs(F.map_filter(strings, lambda k, v: v.isNotNull() & (v != "")), quoted)
+    numbers = pairs(F.map_filter(integers, lambda k, v: v.isNotNull() & (v != 0)), lambda v: v.cast("string"))
+    return F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.concat(texts, numbers)), lambda p: p["pair"]), ","), F.lit("}"))
+
+
+def judge_cut(text: Column, most_bytes: int = 500) -> Column:
+    """The trimmed text; of more than ``most_bytes`` bytes the first, marked as cut; a character that is cut through goes."""
+    text = trimmed(text)
+    data = F.encode(text, "UTF-8")
+    whole = F.regexp_replace(F.make_valid_utf8(F.substring(data, 1, most_bytes).cast("string")), "\\x{FFFD}+$", "")
+    return F.when(F.octet_length(text) > most_bytes, F.concat(whole, F.lit("...(截断)"))).otherwise(text)
+
+
+def case_turns(prompt: Column, turns: Column) -> Column:
+    """A case's turns, or its prompt as the only one."""
+    return F.when(F.size(turns) > 0, turns).otherwise(F.array(prompt))
+
+
+def cursor(at: Column, key: Column) -> Column:
+    """``<time in UTC>_<key>``."""
+    return F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z_"), key.cast("string"))
+
+
+def cursor_parts(text: Column) -> tuple[Column, Column]:
+    """Time and key of a cursor, split at its first ``_``; both null if it is not one."""
+    parts = F.split(text, "_", 2)
+    at, key = F.try_to_timestamp(F.get(parts, F.lit(0)), F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'")), F.get(parts, F.lit(1))
+    ok = at.isNotNull() & (F.length(key) > 0)
+    return F.when(ok, at), F.when(ok, key)
 
 
 def encrypt(text: Column, key: Column) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.constants import KEYWORD_ADMISSION, KEYWORD_WEIGHT, RRF_K, VECTOR_ADMISSION, VECTOR_WEIGHT
+from lodestone.constants import KEYWORD_ADMISSION, KEYWORD_WEIGHT, RRF_K, TRIM_CLASS, VECTOR_ADMISSION, VECTOR_WEIGHT
 from lodestone.functions.text import dedup_key
 
 
@@ -50,16 +50,20 @@ def admission_stats(fused: DataFrame) -> DataFrame:
 
 def first_of_content(rows: DataFrame, keys: list[str], content: str = "content", pos: str = "pos") -> DataFrame:
     """The first row by position of each normalised content within ``keys``; empty contents always stay."""
-    own = rows.withColumn("__key", dedup_key(F.coalesce(F.col(content), F.lit(""))))
+    body = F.coalesce(F.col(content), F.lit(""))
+    blank = ~body.rlike(f"[^{TRIM_CLASS}]")
+    own = rows.where(~blank).withColumn("__key", F.md5(dedup_key(body)))  # no text in a shuffle or sort key
     order = Window.partitionBy(*keys, "__key").orderBy(pos)
-    return own.withColumn("__n", F.row_number().over(order)).where("__n = 1 or __key = ''").drop("__key", "__n")
+    first = own.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__key", "__n")  # cut within tasks before the shuffle
+    return first.unionByName(rows.where(blank))
 
 
 def suppressed(rows: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
     """Rows that ``first_of_content`` drops, counted per ``keys``: partial sums, no window."""
-    own = rows.withColumn("__key", dedup_key(F.coalesce(F.col(content), F.lit(""))))
+    key = dedup_key(F.coalesce(F.col(content), F.lit("")))
+    own = rows.withColumn("__key", F.when(key != "", F.md5(key)))
     groups = own.groupBy(*keys, "__key").agg(F.count("*").alias("n"))
-    return groups.groupBy(*keys).agg(F.sum(F.when(F.col("__key") != "", F.col("n") - 1).otherwise(0)).alias("suppressed"))
+    return groups.groupBy(*keys).agg(F.sum(F.when(F.col("__key").isNotNull(), F.col("n") - 1).otherwise(0)).alias("suppressed"))
 
 
 def admit_dedup_top_k(fused: DataFrame, top_k: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.constants import LEASE_MINUTES, STALE_MINUTES
+from lodestone.functions.text import ref_number
 
 #: event: (states it applies to, the state it leads to)
 TRANSITIONS = {"claim": (["pending", "failed"], "processing"), "publishing": (["processing"], "publishing"), "ready": (["publishing"], "ready"), "fail": (["processing"], "failed")}
@@ -50,10 +51,10 @@ def insert_or_ignore(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 def upsert_tools(old: DataFrame, remote: DataFrame) -> DataFrame:
     """Remote ``server, tool, description`` over ``id, server, tool, description, active``: known ones are refreshed and active again
     with their id, new ones have a null id, and ones that are gone are inactive."""
-    a, b = old.alias("a"), remote.alias("b")
+    a, b = old.alias("a"), remote.withColumn("__there", F.lit(True)).alias("b")
     joined = a.join(b, ["server", "tool"], "full_outer")
-    there = F.col("b.description").isNotNull()
-    return joined.select("server", "tool", F.col("a.id").alias("id"), F.coalesce("b.description", "a.description").alias("description"), there.alias("active"))
+    there = F.coalesce("b.__there", F.lit(False))
+    return joined.select("server", "tool", F.col("a.id").alias("id"), F.when(there, F.col("b.description")).otherwise(F.col("a.description")).alias("description"), there.alias("active"))
 
 
 def replace_all(links: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -76,6 +77,23 @@ def delete_document(chunks: DataFrame, document_id, version=None) -> DataFrame:
     return chunks.where(~(match if version is None else match & (F.col("document_version") == version)))
 
 
+def span_tree(spans: DataFrame) -> DataFrame:
+    """``id, trace_id, parent_id, name`` with the parent's name and the number of direct children: joins on ids within a trace."""
+    parents = spans.select("trace_id", F.col("id").alias("parent_id"), F.col("name").alias("parent_name"))
+    children = spans.where("parent_id is not null").groupBy("trace_id", F.col("parent_id").alias("id")).agg(F.count("*").alias("children"))
+    joined = spans.join(parents, ["trace_id", "parent_id"], "left").join(children, ["trace_id", "id"], "left")
+    return joined.select("id", "trace_id", "parent_id", "parent_name", F.coalesce("children", F.lit(0)).alias("children"))
+
+
+def citations_of(messages: DataFrame, citations: DataFrame) -> DataFrame:
+    """``message_id, citations`` of the asked messages: their citations ordered by the number in ``ref``; empty without any."""
+    order = F.struct(ref_number(F.col("ref")).alias("n"), "ref", "chunk_id", "score")
+    found = citations.join(messages.select("message_id").distinct(), "message_id", "left_semi").groupBy("message_id").agg(F.array_sort(F.collect_list(order)).alias("citations"))
+    shown = F.transform("citations", lambda c: F.struct(c["ref"].alias("ref"), c["chunk_id"].alias("chunk_id"), c["score"].alias("score")))
+    none = F.array().cast("array<struct<ref:string,chunk_id:bigint,score:double>>")
+    return messages.select("message_id").distinct().join(found, "message_id", "left").select("message_id", F.coalesce(shown, none).alias("citations"))
+
+
 def with_citations(messages: DataFrame, citations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Messages and citations to write, or neither of a message whose citations are not all valid (null quote or score)."""
     bad = citations.where("quote is null or score is null").select("message_id").distinct()

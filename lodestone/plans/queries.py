@@ -129,7 +129,11 @@ def _questions(spark: SparkSession, d: str) -> DataFrame:
     return tables.load(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.coalesce("text", F.lit("")).alias("query"))
 
 
-@query()
+SQL_GRAMS = """SELECT DISTINCT id, substr('  ' || w || ' ', CAST(i AS BIGINT), 3) AS g FROM (SELECT id, w, unnest(range(1, length(w) + 2)) AS i FROM (SELECT id, unnest(regexp_extract_all(lower(t), '[\\p{{L}}\\p{{N}}]+')) AS w FROM ({})))"""
+
+
+@query(f"""WITH {SQL_CHUNKS}, q AS ({SQL_GRAMS.format("SELECT item_id AS id, coalesce(text, '') AS t FROM benchmark")}), c AS ({SQL_GRAMS.format("SELECT id, content AS t FROM chunks")}), n AS (SELECT id, count(*) AS query_size FROM q GROUP BY id)
+SELECT q.id AS query_id, c.id, count(*) AS common, any_value(query_size) AS query_size FROM q JOIN c USING (g) JOIN n ON n.id = q.id GROUP BY q.id, c.id HAVING 10 * count(*) >= 3 * any_value(query_size)""")
 def keyword_prefilter_overlap(spark: SparkSession, d: str) -> DataFrame:
     """Common trigrams of each item and chunk that pass the lossless prefilter."""
     return trigram.overlap(_questions(spark, d), tables.chunks(spark, d))
@@ -219,8 +223,8 @@ def kb_with_chunk_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT label AS model, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) // 32 AS batch, vec_id AS id FROM embeddings")
 def embed_batch_groups(spark: SparkSession, d: str) -> DataFrame:
-    order = Window.partitionBy("label").orderBy("id")
-    return _vectors(spark, d).select(F.col("label").alias("model"), F.floor((F.row_number().over(order) - 1) / 32).alias("batch"), "id")
+    own = _vectors(spark, d).select(F.col("label").alias("model"), "id")
+    return files.numbered(own, "id", ["model"]).select("model", F.floor((F.col("position") - 1) / 32).alias("batch"), "id")
 
 
 @query("SELECT label AS batch, count(embedding) = count(*) AND min(len(embedding)) > 0 AND min(len(embedding)) = max(len(embedding)) AND min(len(embedding)) = 64 AS valid FROM embeddings GROUP BY label")
@@ -244,13 +248,13 @@ def dedup_suppressed_count(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _anchors(spark: SparkSession, d: str) -> DataFrame:
-    """Per knowledge base as query: chunks whose id divides by 7, ranked by id, scored by rank."""
-    order = Window.partitionBy("kb").orderBy("id")
-    own = tables.chunks(spark, d).where("(document_id + chunk_index) % 7 = 0").withColumn("rank", F.row_number().over(order))
-    return own.withColumn("query_id", F.col("kb")).withColumn("score", 1 / F.col("rank"))
+    """Results of the query vectors: of the document at rank r (a vector stands for the document of its number) chunk r - 1, where it has one."""
+    found = vector.top_k(_asked(spark, d), _vectors(spark, d), 20, 64).withColumnRenamed("id", "document_id")
+    return found.withColumn("chunk_index", F.col("rank") - 1).join(tables.chunks(spark, d), ["document_id", "chunk_index"])
 
 
-SQL_ANCHORS = f"{SQL_CHUNKS}, anchors AS (SELECT kb AS query_id, id, document_id, chunk_index, content, row_number() OVER (PARTITION BY kb ORDER BY id) AS rank FROM chunks WHERE (document_id + chunk_index) % 7 = 0)"
+SQL_ANCHORS = f"""{SQL_CHUNKS}, found AS (SELECT a.vec_id AS query_id, b.vec_id AS document_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY {SQL_COS} DESC, b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 QUALIFY rank <= 20),
+anchors AS (SELECT query_id, id, document_id, chunk_index, content, rank FROM found JOIN chunks USING (document_id) WHERE chunk_index = rank - 1)"""
 
 
 @query(f"WITH {SQL_ANCHORS} SELECT DISTINCT document_id, 1::BIGINT AS document_version, chunk_index FROM (SELECT document_id, unnest([chunk_index - 1, chunk_index + 1]) AS chunk_index FROM anchors) WHERE chunk_index >= 0")
@@ -292,7 +296,7 @@ def keyset_page(spark: SparkSession, d: str) -> DataFrame:
     """A page of the newest rows before a cursor, turned to chronological order."""
     at, key = F.lit("1996-01-01").cast("timestamp"), 1000
     page = tables.load(spark, d, "orders").where((F.col("o_orderdate") < at) | ((F.col("o_orderdate") == at) & (F.col("o_orderkey") < key))).orderBy(F.col("o_orderdate").desc(), F.col("o_orderkey").desc()).limit(20)
-    cursor = F.concat(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z_"), F.col("o_orderkey").cast("string"))
+    cursor = text.cursor(F.col("o_orderdate"), F.col("o_orderkey"))
     return page.select("o_orderkey", F.row_number().over(Window.orderBy("o_orderdate", "o_orderkey")).alias("pos"), cursor.alias("cursor"))
 
 
@@ -306,9 +310,18 @@ def point_lookup(spark: SparkSession, d: str) -> DataFrame:
     return tables.load(spark, d, "orders").where("o_orderkey = 77").select("o_orderkey", "o_custkey", "o_totalprice")
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_orderkey > 500 ORDER BY o_orderkey LIMIT 1000")
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS position, (row_number() OVER (ORDER BY o_orderkey) - 1) // 1000 AS batch FROM orders WHERE o_orderkey > 500")
 def keyset_batch_scan(spark: SparkSession, d: str) -> DataFrame:
-    return files.next_batch(tables.load(spark, d, "orders").select("o_orderkey"), "o_orderkey", 500)
+    """All batches of 1000 after key 500, until empty."""
+    return files.keyset_batches(tables.load(spark, d, "orders").select("o_orderkey"), "o_orderkey", 500)
+
+
+@query("SELECT o_orderkey, o_orderdate AS created, CAST(o_orderkey AS VARCHAR) AS row_key FROM orders")
+def cursor_decode(spark: SparkSession, d: str) -> DataFrame:
+    """Every order's cursor written and read again."""
+    own = tables.load(spark, d, "orders")
+    at, key = text.cursor_parts(text.cursor(F.col("o_orderdate"), F.col("o_orderkey")))
+    return own.select("o_orderkey", at.cast(own.schema["o_orderdate"].dataType).alias("created"), key.alias("row_key"))
 
 
 @query()
@@ -410,10 +423,18 @@ def eval_case_metrics(spark: SparkSession, d: str) -> DataFrame:
     return metrics.case_metrics(*_cases(spark, d)).withColumn("mrr", F.round("mrr", 9))
 
 
-@query(f"WITH {SQL_CASES} SELECT round(avg(hit1), 9) AS hit1, round(avg(hit3), 9) AS hit3, round(avg(mrr), 9) AS mrr, 1.0::DOUBLE AS unique_rate, coalesce(avg(hit1) >= 0.5 AND avg(hit3) >= 0.5 AND avg(mrr) >= 0.5, false) AS passed FROM metrics")
+SQL_DUPLICATES = f"""dup AS (SELECT name, sum(n - 1) AS duplicates FROM (SELECT name, key, count(*) AS n FROM (SELECT name, {SQL_KEY.format("coalesce(text, '')")} AS key FROM r JOIN documents ON doc_id = id WHERE id <> name) WHERE key <> '' GROUP BY name, key) GROUP BY name)"""
+
+
+@query(f"""WITH {SQL_CASES}, {SQL_DUPLICATES} SELECT round(avg(hit1), 9) AS hit1, round(avg(hit3), 9) AS hit3, round(avg(mrr), 9) AS mrr, round(avg(rate), 9) AS unique_rate, coalesce(avg(hit1) >= 1 AND avg(hit3) >= 1 AND avg(mrr) >= 1 AND avg(rate) >= 1, false) AS passed
+FROM (SELECT metrics.*, CASE WHEN result_count = 0 THEN 1.0::DOUBLE ELSE 1 - coalesce(duplicates, 0)::DOUBLE / result_count END AS rate FROM metrics LEFT JOIN dup USING (name))""")
 def eval_gate(spark: SparkSession, d: str) -> DataFrame:
-    own = metrics.case_metrics(*_cases(spark, d)).withColumn("duplicates", F.lit(0))
-    return metrics.gate(own, 0.5).select(*(F.round(c, 9).alias(c) for c in ("hit1", "hit3", "mrr")), "unique_rate", "passed")
+    """Duplicates are results of a case whose document (that of the vector's number) says the same as another's."""
+    found, cases = _cases(spark, d)
+    texts = tables.load(spark, d, "documents").select(F.col("doc_id").alias("document_id"), F.col("text").alias("content"))
+    counted = fusion.suppressed(found.join(texts, "document_id"), ["name"]).withColumnRenamed("suppressed", "duplicates")
+    own = metrics.case_metrics(found, cases).join(counted, "name", "left").fillna(0, ["duplicates"])
+    return metrics.gate(own).select(*(F.round(c, 9).alias(c) for c in ("hit1", "hit3", "mrr", "unique_rate")), "passed")
 
 
 @query(f"WITH k AS ({SQL_UNIQUE}), g AS (SELECT lang, key, count(*) AS n FROM k GROUP BY lang, key) SELECT lang, round(1 - sum(CASE WHEN key <> '' THEN n - 1 ELSE 0 END)::DOUBLE / sum(n), 9) AS unique_rate FROM g GROUP BY lang")
@@ -424,18 +445,19 @@ def content_unique_rate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _runs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    own = tables.load(spark, d, "labels").select(F.col("doc_id").alias("name"), (F.col("quality") * 4 + 1).alias("score"), "toxic")
-    return own.select("name", "score"), own.where("name % 3 <> 0").select("name", (5 - F.col("toxic") * 3).alias("score"))
+    """Scores of all labels, and a baseline that lacks the toxic ones of good quality."""
+    own = tables.load(spark, d, "labels").select(F.col("doc_id").alias("name"), (F.col("quality") * 4 + 1).alias("score"), "toxic", "quality")
+    return own.select("name", "score"), own.where("not (toxic = 1 and quality = 1)").select("name", (5 - F.col("toxic") * 3).alias("score"))
 
 
-@query("""WITH b AS (SELECT doc_id AS name, 5 - toxic * 3 AS base FROM labels WHERE doc_id % 3 <> 0)
+@query("""WITH b AS (SELECT doc_id AS name, 5 - toxic * 3 AS base FROM labels WHERE NOT (toxic = 1 AND quality = 1))
 SELECT doc_id AS name, quality * 4 + 1 AS score, base AS base_score, CASE WHEN base IS NULL THEN '—' WHEN quality * 4 + 1 = base THEN '=' ELSE printf('%+.2f', (quality * 4 + 1 - base)::DOUBLE) END AS cell FROM labels LEFT JOIN b ON b.name = doc_id""")
 def baseline_diff(spark: SparkSession, d: str) -> DataFrame:
     current, base = _runs(spark, d)
     return metrics.compare(current, base).select("name", "score", "base_score", text.delta(F.col("score"), F.col("base_score")).alias("cell"))
 
 
-@query("SELECT coalesce(max((5 - toxic * 3) - (quality * 4 + 1) >= 2), false) AS regressed FROM labels WHERE doc_id % 3 <> 0")
+@query("SELECT coalesce(max((5 - toxic * 3) - (quality * 4 + 1) >= 2), false) AS regressed FROM labels WHERE NOT (toxic = 1 AND quality = 1)")
 def regression_flag(spark: SparkSession, d: str) -> DataFrame:
     return metrics.regressed(*_runs(spark, d), 2)
 
@@ -563,10 +585,52 @@ def delete_version(spark: SparkSession, d: str) -> DataFrame:
 # ---- JSON, streams, limiter
 
 
-@query()
+@query("""SELECT event_id, '{' || array_to_string(list_filter([CASE WHEN event_id % 5 <> 0 THEN '"count":' || (event_id % 5) END, CASE WHEN event_type <> '' THEN '"type":' || to_json(event_type) END, CASE WHEN user_id <> 0 THEN '"user":' || user_id END, '"zero":"0"'], lambda x: x IS NOT NULL), ',') || '}' AS attrs FROM events""")
 def span_attrs_clean(spark: SparkSession, d: str) -> DataFrame:
-    attrs = F.create_map(F.lit("type"), F.col("event_type"), F.lit("empty"), F.lit(""), F.lit("zero"), F.lit("0"), F.lit("user"), F.col("user_id").cast("string"))
-    return tables.load(spark, d, "events").select("event_id", text.clean_attrs(attrs).alias("attrs"))
+    strings = F.create_map(F.lit("type"), F.col("event_type"), F.lit("empty"), F.lit(""), F.lit("zero"), F.lit("0"))
+    integers = F.create_map(F.lit("user"), F.col("user_id").cast("long"), F.lit("count"), (F.col("event_id") % 5).cast("long"))
+    return tables.load(spark, d, "events").select("event_id", text.clean_attrs(strings, integers).alias("attrs"))
+
+
+@query("""WITH s AS (SELECT event_id AS id, user_id AS trace_id, ts, event_type AS name, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1 AS root FROM events WHERE user_id IS NOT NULL)
+SELECT s.id, s.trace_id, CASE WHEN root THEN NULL ELSE first_value(s.id) OVER w END AS parent_id, CASE WHEN root THEN NULL ELSE first_value(s.name) OVER w END AS parent_name,
+       CASE WHEN root THEN count(*) OVER (PARTITION BY trace_id) - 1 ELSE 0 END AS children FROM s WINDOW w AS (PARTITION BY trace_id ORDER BY ts, id)""")
+def trace_tree(spark: SparkSession, d: str) -> DataFrame:
+    """Events as spans: a user's first one is the root of the trace, the others are its children."""
+    own = tables.load(spark, d, "events").where("user_id is not null").select(F.col("event_id").alias("id"), F.col("user_id").alias("trace_id"), "ts", F.col("event_type").alias("name"))
+    roots = own.groupBy("trace_id").agg(F.min_by("id", F.struct("ts", "id")).alias("root_id"))
+    spans = own.join(roots, "trace_id").withColumn("parent_id", F.when(F.col("id") != F.col("root_id"), F.col("root_id")))
+    return lifecycle.span_tree(spans)
+
+
+@query("SELECT l_orderkey AS message_id, string_agg('S' || l_linenumber || '=' || l_partkey, ',' ORDER BY l_linenumber, l_partkey) AS refs FROM lineitem WHERE l_orderkey % 20 = 0 GROUP BY l_orderkey")
+def citations_by_message(spark: SparkSession, d: str) -> DataFrame:
+    """Citations of the asked messages in one pass, ordered by the number of their ref."""
+    rows = tables.load(spark, d, "lineitem").select(F.col("l_orderkey").alias("message_id"), F.concat(F.lit("S"), F.col("l_linenumber").cast("string")).alias("ref"), F.col("l_partkey").alias("chunk_id"), F.lit(0.5).alias("score"))
+    asked = rows.where("message_id % 20 = 0").select("message_id")
+    shown = F.array_join(F.transform("citations", lambda c: F.concat(c["ref"], F.lit("="), c["chunk_id"].cast("string"))), ",")
+    return lifecycle.citations_of(asked, rows).select("message_id", shown.alias("refs"))
+
+
+@query("""SELECT kb, model FROM (SELECT DISTINCT lang AS kb, CASE WHEN length(lang) % 2 = 0 AND lang < 'f' THEN 'a' ELSE 'b' END AS model FROM documents WHERE lang IS NOT NULL AND lang <> 'de')""")
+def active_kb_models(spark: SparkSession, d: str) -> DataFrame:
+    """Selected knowledge bases that exist and are active, with their model; the others are skipped."""
+    bases = _bases(spark, d)
+    grouped = bases.where("active").groupBy("model").agg(F.collect_list("kb").alias("kbs"))
+    return grouped.select(F.explode("kbs").alias("kb"), "model")
+
+
+def _bases(spark: SparkSession, d: str) -> DataFrame:
+    """A knowledge base per language, of two models; ``de`` is not active."""
+    langs = tables.load(spark, d, "documents").where("lang is not null").select(F.col("lang").alias("kb")).distinct()
+    model = F.when((F.length("kb") % 2 == 0) & (F.col("kb") < "f"), "a").otherwise("b")
+    return langs.select("kb", model.alias("model"), (F.col("kb") != "de").alias("active"))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN octet_length(encode(t)) <= 500 THEN t ELSE substr(t, 1, list_max(list_filter(range(0, 501), lambda k: octet_length(encode(substr(t, 1, k))) <= 500))) || '...(截断)' END AS short FROM (SELECT conv_id, turn, trim(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(13)) AS t FROM conversations)""")
+def judge_cut(spark: SparkSession, d: str) -> DataFrame:
+    """Texts as a judge gets them."""
+    return tables.messages(spark, d).select("conv_id", "turn", text.judge_cut(F.col("content")).alias("short"))
 
 
 @query("SELECT event_id, json_valid(props) AS valid, len(json_keys(props)) AS keys FROM events")
@@ -576,10 +640,10 @@ def json_extract(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _deltas(spark: SparkSession, d: str) -> DataFrame:
-    return tables.messages(spark, d).select(F.col("conv_id").alias("turn"), F.col("turn").alias("seq"), F.when(F.col("turn") % 3 != 0, F.col("turn") % 3).cast("int").alias("index"), F.when(F.col("turn") % 2 == 0, F.concat(F.lit("c"), F.col("turn").cast("string"))).otherwise("").alias("id"), F.col("role").alias("name"), F.substring("content", 1, 20).alias("args"))
+    return tables.messages(spark, d).select(F.col("conv_id").alias("turn"), F.col("turn").alias("seq"), F.when(F.col("turn") % 3 != 0, F.col("turn") % 3).cast("int").alias("index"), F.when(F.col("turn") % 2 == 0, F.concat(F.lit("c"), F.col("turn").cast("string"))).otherwise("").alias("id"), F.col("role").alias("name"), F.col("content").alias("args"))
 
 
-@query("""WITH x AS (SELECT conv_id AS t, turn AS seq, CAST(turn % 3 AS INTEGER) AS i, CASE WHEN turn % 2 = 0 THEN 'c' || turn ELSE '' END AS id, role AS name, substr(coalesce(text, ''), 1, 20) AS args FROM conversations),
+@query("""WITH x AS (SELECT conv_id AS t, turn AS seq, CAST(turn % 3 AS INTEGER) AS i, CASE WHEN turn % 2 = 0 THEN 'c' || turn ELSE '' END AS id, role AS name, coalesce(text, '') AS args FROM conversations),
 s AS (SELECT t, CAST(unnest(range(0, max(i) + 1)) AS INTEGER) AS i FROM x GROUP BY t),
 g AS (SELECT t, i, max_by(id, seq) FILTER (id <> '') AS id, max_by(name, seq) FILTER (name <> '') AS name, string_agg(args, '' ORDER BY seq) AS args FROM x GROUP BY t, i)
 SELECT t AS turn, i AS index, coalesce(id, '') AS id, coalesce(name, '') AS name, coalesce(args, '') AS args FROM s LEFT JOIN g USING (t, i)""")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.constants import candidate_k, clamp_top_k
@@ -17,10 +17,35 @@ def retrieve(queries: DataFrame, chunks: DataFrame, top_k: int, dim: int, neighb
     through ranking.  Queries with empty text find nothing.
     """
     top_k = clamp_top_k(top_k)
-    cut = candidate_k(top_k)
     asked = queries.where("query <> ''")
     shown = chunks.where("is_published")
-    v = vector.top_k(asked.select("query_id", "embedding"), shown.select("id", "embedding"), cut, dim)
+    found = vector.top_k(asked.select("query_id", "embedding"), shown.select("id", "embedding"), candidate_k(top_k), dim)
+    return _combine(asked, shown, found, top_k, neighbors)
+
+
+def retrieve_in(asked: dict[str, tuple[DataFrame, int]], chunks: DataFrame, bases: DataFrame, selected: list[str], top_k: int, neighbors: bool = True) -> DataFrame:
+    """``retrieve`` in the selected knowledge bases: ``bases`` has ``kb, model, active``, ``asked`` the queries embedded by each model and its width.
+
+    Bases that are missing or not active are skipped.  Vectors are searched model by model, each
+    cut to the number of candidates, and the models' candidates are ranked together and cut again.
+    """
+    top_k = clamp_top_k(top_k)
+    cut = candidate_k(top_k)
+    used = bases.where("active").where(F.col("kb").isin(selected)).select("kb", "model")
+    shown = chunks.where("is_published").join(used, "kb")
+    found = None
+    for model, (queries, dim) in sorted(asked.items()):
+        part = vector.top_k(queries.where("query <> ''").select("query_id", "embedding"), shown.where(F.col("model") == model).select("id", "embedding"), cut, dim)
+        found = part if found is None else found.unionByName(part)
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
+    found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cut)
+    words = next(iter(asked.values()))[0].where("query <> ''")
+    return _combine(words, shown, found, top_k, neighbors)
+
+
+def _combine(asked: DataFrame, shown: DataFrame, v: DataFrame, top_k: int, neighbors: bool) -> DataFrame:
+    """Keyword search beside the vector candidates, and all that follows."""
+    cut = candidate_k(top_k)
     k = trigram.search(asked.select("query_id", "query"), shown.select("id", "content"), cut)
     ranked = v.select("query_id", F.lit("vector").alias("path"), "id", F.col("rank").alias("pos"), "score").unionByName(k.select("query_id", F.lit("keyword").alias("path"), "id", F.col("rank").alias("pos"), "score"))
     fused = fusion.fuse(ranked).where(fusion.admitted(F.col("vector_score"), F.col("keyword_score")))
@@ -28,4 +53,4 @@ def retrieve(queries: DataFrame, chunks: DataFrame, top_k: int, dim: int, neighb
     anchors = fusion.admit_dedup_top_k(fused.join(facts, "id"), top_k)
     if not neighbors:
         return anchors
-    return fusion.with_neighbors(anchors, chunks)
+    return fusion.with_neighbors(anchors, shown)

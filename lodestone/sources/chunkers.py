@@ -21,7 +21,7 @@ _BLANK = re.compile(r"\n[\t\n\f\r ]*\n+")
 _SENTENCE = re.compile(r"[^。！？.!?]*[。！？.!?]+")
 _HEADING = re.compile(r"(#{1,6})[\t\n\f\r ]+(.*)")
 _ITEM = re.compile(r"[\t\n\f\r ]*([-*+]|[0-9]+[.)])[\t\n\f\r ]+")
-_DELIMITER = re.compile(r"\|?[\t ]*:?-+:?[\t ]*(\|[\t ]*:?-+:?[\t ]*)*\|?")
+_DELIMITER = re.compile(r"\|?[\t\n\f\r ]*:?-+:?[\t\n\f\r ]*(\|[\t\n\f\r ]*:?-+:?[\t\n\f\r ]*)*\|?")
 
 
 def trim(text: str) -> str:
@@ -106,7 +106,11 @@ def by_paragraph(text: str, size: int, overlap: int) -> list[str]:
 
 
 def markdown_blocks(text: str) -> list[tuple[str, int, str]]:
-    """(kind, heading level, text) of headings, fenced code, tables, lists and paragraphs."""
+    """(kind, heading level, text) of headings, fenced code, tables, list items and paragraphs.
+
+    A list item with its further lines, and a paragraph, last until the next line of another
+    kind; a fence that is not closed lasts to the end, blank lines included.
+    """
     lines, blocks, at = text.replace("\r\n", "\n").split("\n"), [], 0
 
     def kind_at(i: int) -> str:
@@ -117,7 +121,7 @@ def markdown_blocks(text: str) -> list[tuple[str, int, str]]:
             return "code"
         if _HEADING.fullmatch(line):
             return "heading"
-        if "|" in line and i + 1 < len(lines) and "-" in lines[i + 1] and "|" in lines[i + 1] and _DELIMITER.fullmatch(trim(lines[i + 1])):
+        if "|" in line and i + 1 < len(lines) and _DELIMITER.fullmatch(trim(lines[i + 1])):
             return "table"
         return "list" if _ITEM.match(lines[i]) else "paragraph"
 
@@ -140,13 +144,10 @@ def markdown_blocks(text: str) -> list[tuple[str, int, str]]:
         elif kind == "table":
             while at < len(lines) and trim(lines[at]) and "|" in lines[at]:
                 at += 1
-        elif kind == "list":
-            while at < len(lines) and kind_at(at) not in ("blank", "heading", "code"):
-                at += 1
         else:
             while at < len(lines) and kind_at(at) == "paragraph":
                 at += 1
-        blocks.append((kind, 0, "\n".join(lines[start:at]).rstrip("\n")))
+        blocks.append((kind, 0, "\n".join(lines[start:at])))
     return blocks
 
 
@@ -155,10 +156,9 @@ def with_headings(titles: list[str], body: str, size: int) -> str:
     room = size - len(body) - 2
     if not titles or room <= 0:
         return body
-    for k in range(len(titles)):
-        if len(path := " > ".join(titles[k:])) <= room:
-            return f"{path}\n\n{body}"
-    return f"{titles[-1][:room]}\n\n{body}"
+    paths = (" > ".join(titles[outer:]) for outer in range(len(titles)))
+    shown = next((path for path in paths if len(path) <= room), titles[-1][:room])
+    return f"{shown}\n\n{body}"
 
 
 def by_markdown(text: str, size: int, overlap: int) -> list[tuple[str, str | None]]:

@@ -56,6 +56,27 @@ def read_test_set(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.createDataFrame([tuple(c.get(n) for n in names) for c in cases], schema)
 
 
+def numbered(rows: DataFrame, key: str, groups: list[str] | None = None, span: int = 4096) -> DataFrame:
+    """``rows`` with ``position`` from 1 in order of the integer ``key`` (per group): counts of stretches of ``span`` keys, and places in them.
+
+    No task holds more than one stretch, and only the counts are ordered as a whole.
+    """
+    groups = groups or []
+    own = rows.withColumn("__stretch", F.floor(F.col(key) / span))
+    counts = own.groupBy(*groups, "__stretch").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(*(groups or [F.lit(0)])).orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*groups, "__stretch", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    placed = own.withColumn("__place", F.row_number().over(Window.partitionBy(*groups, "__stretch").orderBy(key)))
+    joined = placed.join(starts, [*groups, "__stretch"])
+    return joined.withColumn("position", F.col("__start") + F.col("__place")).drop("__stretch", "__start", "__place")
+
+
+def keyset_batches(rows: DataFrame, key: str, after=None, n: int = 1000) -> DataFrame:
+    """The whole keyset scan beyond ``after``: every row with its ``batch`` (from 0) of ``n`` rows and ``position`` (from 1)."""
+    own = rows if after is None else rows.where(F.col(key) > F.lit(after))
+    return numbered(own, key).withColumn("batch", F.floor((F.col("position") - 1) / n))
+
+
 def next_batch(rows: DataFrame, key: str, after, n: int = 1000) -> DataFrame:
     """Keyset batch: the next ``n`` rows with a key beyond ``after``, in order."""
     own = rows if after is None else rows.where(F.col(key) > F.lit(after))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text
 from lodestone.operators import context, fusion, lifecycle, trigram, workflow
-from lodestone.plans.retrieve import retrieve
+from lodestone.plans.retrieve import retrieve, retrieve_in
 from lodestone.sources import chunkers, files
 from lodestone.streaming import folds, ingest
 
@@ -31,8 +31,8 @@ NO = "ZZZQQQ"
 
 def test_gate(spark):
     assert search(spark, [(1, 0, [1, 0, 0], "alpha"), (2, 0, [0, 1, 0], "beta"), (3, 0, [0, 0, 1], "gamma")], NO, 3)[0] == 1
-    kw = [(1, 0, [1, 0, 0], "one"), (2, 0, [1, 0.1, 0], "two"), (3, 0, [1, 0.2, 0], "three"), (4, 0, [0, 1, 0], "has GATEKWTOKEN inside")]
-    found = search(spark, kw, "GATEKWTOKEN", 3)
+    kw = [(1, 0, [1, 0, 0], "one"), (2, 0, [1, 0.1, 0], "two"), (3, 0, [1, 0.2, 0], "three"), (4, 0, [0, 1, 0], "has zebracorn inside")]
+    found = search(spark, kw, "zebracorn", 3)
     assert found[0] in (1, 4) and 4 in found and 3 not in found
     assert search(spark, [(1, 0, [1, 0, 0], "same"), (2, 0, [1, 0.1, 0], "same"), (3, 0, [1, 0.2, 0], "other")], NO, 2) == [1, 3]
     near = [(1, 5, [1, 0, 0], "anchor"), (1, 4, [0, 1, 0], "X"), (2, 0, [1, 0, 0], "X")]
@@ -41,8 +41,8 @@ def test_gate(spark):
     assert search(spark, [(1, 0, [0, 1, 0], "unrelated")], "token", 3) == []
     assert search(spark, [(1, 0, cosine(0.2), "text")], NO, 3) == []
     fill = [(1, 0, cosine(0.30), "rej")] + [(i, 0, cosine(0.29 - i / 100), f"filler {i}") for i in range(2, 10)]
-    fill += [(20, 0, cosine(0.01), "a BACKFILLTOKEN here"), (21, 0, cosine(0.01), "a BACKFILLTOKE there")]
-    assert search(spark, fill, "BACKFILLTOKEN", 2) == [10, 11]
+    fill += [(20, 0, cosine(0.01), "the lanternfish here"), (21, 0, cosine(0.01), "the lanternfis there")]
+    assert search(spark, fill, "lanternfish", 2) == [10, 11]
 
 
 def test_neighbours_follow_anchors(spark):
@@ -78,7 +78,7 @@ def test_fixed_chunks(spark):
     def native(s, size, overlap):
         return spark.createDataFrame([(s,)], "t string").select(text.fixed_windows(F.col("t"), size, overlap)).first()[0]
 
-    for s, size, overlap, want in (("一二三四五六七", 3, 1, ["一二三", "三四五", "五六七"]), ("", 2, 0, []), ("   ", 2, 0, []), ("abcd", 2, -1, ["ab", "cd"]), ("  ab  ", 6, 0, ["ab"])):
+    for s, size, overlap, want in (("天地玄黄宇宙洪", 3, 1, ["天地玄", "玄黄宇", "宇宙洪"]), ("", 2, 0, []), ("   ", 2, 0, []), ("abcd", 2, -1, ["ab", "cd"]), ("  ab  ", 6, 0, ["ab"])):
         assert native(s, size, overlap) == chunkers.windows(s, size, overlap) == want
     assert len(native("a" * 1200, 0, 0)) == len(chunkers.windows("a" * 1200, 0, 0)) == 3
     assert len(native("abcdef", 2, 5)) == 3
@@ -90,7 +90,11 @@ def test_structure_chunkers():
     assert chunkers.by_paragraph("short one.\n\nshort two.", 100, 0) == ["short one.\n\nshort two."]
     md = "# Top\n\nintro\n\n## Part\n\nbody text\n\n```\n# not a heading\n```\n\n| a | b |\n|---|---|\n| 1 | 2 |\n\n- x\n- y"
     kinds = [k for k, _, _ in chunkers.markdown_blocks(md)]
-    assert kinds == ["heading", "paragraph", "heading", "paragraph", "code", "table", "list"]
+    assert kinds == ["heading", "paragraph", "heading", "paragraph", "code", "table", "list", "list"]
+    mixed = chunkers.markdown_blocks("text\n- one\n  more\n- two\na | b\n---\nc | d\nplain\n```\nx\n\n")
+    assert mixed == [("paragraph", 0, "text"), ("list", 0, "- one\n  more"), ("list", 0, "- two"), ("table", 0, "a | b"), ("paragraph", 0, "---\nc | d\nplain"), ("code", 0, "```\nx\n\n")]
+    assert chunkers.with_headings(["Outer", "Inner"], "body", 40) == "Outer > Inner\n\nbody"
+    assert chunkers.with_headings(["Outer", "Inner"], "body", 12) == "Inner\n\nbody" and chunkers.with_headings(["Outer", "Inner"], "body", 9) == "Inn\n\nbody"
     pieces = chunkers.by_markdown(md, 80, 0)
     assert pieces[0] == ("Top\n\nintro", "Top") and pieces[1][0].startswith("Top > Part\n\n") and all(len(c) <= 80 for c, _ in pieces)
     assert chunkers.by_markdown("# Only\n## Heads", 100, 0) == [("Only > Heads", "Heads")]
@@ -104,10 +108,10 @@ def test_structure_chunkers():
 def test_dedup_keys_and_citations(spark):
     key = lambda s: spark.createDataFrame([(s,)], "t string").select(text.dedup_key(F.col("t"))).first()[0]
     assert key("a\r\nb") == key("a\nb") == key("  a \t\nb  ") and len({key("a\rb"), key("a\nb"), key("A\nb"), key("a\n b")}) == 4
-    rows = [("根据资料[S999]可知。", ["S1"]), ("[S2][S1][S2] x [S0] [S-1] [source1]", ["S1", "S2"]), ("[S1]", [])]
+    rows = [("见注[S77]所述。", ["S1"]), ("[S4][S3][S4] y [S0] [S-2] [note1]", ["S3", "S4"]), ("[S1]", [])]
     cleaned, valid, invalid = text.citations(F.col("c"), F.col("a"))
     got = [tuple(r) for r in spark.createDataFrame(rows, "c string, a array<string>").select(cleaned, valid, invalid).collect()]
-    assert got == [("根据资料可知。", [], 1), ("[S2][S1][S2] x [S0] [S-1] [source1]", ["S2", "S1"], 0), ("", [], 1)]
+    assert got == [("见注所述。", [], 1), ("[S4][S3][S4] y [S0] [S-2] [note1]", ["S4", "S3"], 0), ("", [], 1)]
 
 
 def test_budgets(spark):
@@ -188,3 +192,33 @@ def test_workflow():
     steps = [s("a", "start", next="c"), s("c", "conditional", {"expression": 'input == "go"'}, next_if_true="l", next_if_false="e"), s("l", "llm_call", {"prompt": "{{.Input}}!"}, next="e"), s("e", "end")]
     calls = {"llm_call": lambda c, _: c["prompt"].upper()}
     assert workflow.run(steps, "go", calls)[:2] == ("succeeded", "GO!") and workflow.run(steps, "no", calls)[:2] == ("succeeded", "false")
+
+
+def test_retrieve_in_selected_bases(spark):
+    rows = [(1, "a", [1.0, 0.0], "one"), (2, "a", [0.9, 0.1], "two"), (3, "b", [1.0, 0.0, 0.0], "three"), (4, "off", [1.0, 0.0], "four"), (5, "other", [1.0, 0.0], "five"), (6, "b", [0.1, 1.0, 0.0], "six")]
+    chunks = spark.createDataFrame([(i, i * 10, 1, 0, c, v, True, kb) for i, kb, v, c in rows], CHUNK + ", kb string")
+    bases = spark.createDataFrame([("a", "m", True), ("b", "n", True), ("off", "m", False), ("other", "m", True)], "kb string, model string, active boolean")
+    asked = {m: (spark.createDataFrame([(1, NO, v)], "query_id long, query string, embedding array<float>"), len(v)) for m, v in (("m", [1.0, 0.0]), ("n", [1.0, 0.0, 0.0]))}
+    found = lambda selected, k=5: [r.id for r in retrieve_in(asked, chunks, bases, selected, k).orderBy("pos").collect()]
+    assert found(["a", "b", "off", "missing"]) == [1, 3, 2] and found(["off", "missing"]) == [] and found(["a", "b"], 2) == [1, 3] and found(["other"]) == [5]
+
+
+def test_attributes_cursors_and_judge_texts(spark):
+    row = spark.createDataFrame([({"b": "0", "a": "", "q": 'x"y', "n": None}, {"z": 0, "c": 7, "m": None}, "s" * 499 + "éa", " ok \n", [], ["t"])], "s map<string,string>, i map<string,long>, long string, short string, none array<string>, turns array<string>")
+    got = row.select(text.clean_attrs(F.col("s"), F.col("i")), text.clean_attrs(F.map_filter("s", lambda k, v: v == ""), F.map_filter("i", lambda k, v: v == 0)), text.judge_cut(F.col("long")), text.judge_cut(F.col("short")), text.case_turns(F.lit("p"), F.col("none")), text.case_turns(F.lit("p"), F.col("turns"))).first()
+    assert list(got) == ['{"b":"0","c":7,"q":"x\\"y"}', "{}", "s" * 499 + "...(截断)", "ok", ["p"], ["t"]]
+    at, key = text.cursor_parts(F.col("c"))
+    read = spark.createDataFrame([("2024-01-02T03:04:05Z_a_b",), ("2024-01-02T03:04:05Z_",), ("x_1",), ("",), (None,)], "c string").select(at.cast("string"), key).collect()
+    assert [tuple(r) for r in read] == [("2024-01-02 03:04:05", "a_b")] + [(None, None)] * 4
+
+
+def test_numbered_batches_and_tools(spark):
+    keys = random.Random(4).sample(range(-20_000, 20_000), 3000)
+    got = files.keyset_batches(spark.createDataFrame([(k,) for k in keys], "k long"), "k", -5000, 100).collect()
+    want = sorted(k for k in keys if k > -5000)
+    assert sorted((r.position, r.k, r.batch) for r in got) == [(i + 1, k, i // 100) for i, k in enumerate(want)]
+    old = spark.createDataFrame([(1, "s", "t", "old"), (2, "s", "gone", "d")], "id long, server string, tool string, description string")
+    remote = spark.createDataFrame([("s", "t", None), ("s", "new", "n")], "server string, tool string, description string")
+    assert sorted(tuple(r) for r in lifecycle.upsert_tools(old, remote).collect()) == [("s", "gone", 2, "d", False), ("s", "new", None, "n", True), ("s", "t", 1, None, True)]
+    spans = spark.createDataFrame([(1, 9, None, "root"), (2, 9, 1, "llm"), (3, 9, 1, "tool"), (4, 9, 7, "lost")], "id long, trace_id long, parent_id long, name string")
+    assert sorted((r.id, r.parent_name, r.children) for r in lifecycle.span_tree(spans).collect()) == [(1, None, 2), (2, "root", 0), (3, "root", 0), (4, None, 0)]
