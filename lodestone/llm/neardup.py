@@ -55,7 +55,7 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     import xxhash
 
     cache = _word_hash
-    if len(cache) > 500_000:
+    if len(cache) > 250_000:
         cache.clear()
     for w in words:
         if w not in cache:

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE_UNITS, SLICE_BYTES = 500_000, 24_000_000
+CACHE_UNITS, SLICE_BYTES = 200_000, 4_000_000
 _TEXT = pa.large_string()
 #: Characters that count as white space for the pre-tokenizer, and those that Python's isspace adds, as a class of RE2.
 _WHITE = r"\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -108,6 +108,7 @@ class UnitEncoder:
             ids.append(part)
             sizes.append(n)
             at = to
+        pa.default_memory_pool().release_unused()  # workers outlive their tasks
         offsets = np.zeros(len(texts) + 1, dtype=np.int64)
         if sizes:
             np.cumsum(np.concatenate(sizes), out=offsets[1:])
