@@ -3,6 +3,8 @@
 A document is its sequence of words; a k-mer is a shingle of five words, labelled with its
 occurrence number.  Each of ``sketches`` hash functions selects the ``ell`` least labelled
 k-mers and keeps them in text order; documents that agree in one of these share a bucket.
+The later half of the functions selects among first occurrences only, so that texts which
+repeat one passage a different number of times, or changed throughout, meet as well.
 A candidate pair is linked if the Jaccard similarity of its shingle sets is at least 0.8 and
 a banded alignment finds a word edit similarity of at least 0.8.
 
@@ -73,25 +75,33 @@ def shingles(hashes: np.ndarray, k: int = K) -> np.ndarray:
     return out
 
 
-def _labelled(grams: np.ndarray) -> np.ndarray:
-    """Each shingle with its occurrence number mixed in."""
+def _labelled(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each shingle with its occurrence number mixed in; and those that occur for the first time."""
     order = np.argsort(grams, kind="stable")
     ranked = grams[order]
     first = np.r_[True, ranked[1:] != ranked[:-1]]
     where = np.arange(len(grams))
     number = np.empty(len(grams), dtype=np.uint64)
     number[order] = (where - np.maximum.accumulate(np.where(first, where, 0))).astype(np.uint64)
-    return _mix(grams + number * np.uint64(0xD6E8FEB86659FD93))
+    labelled = _mix(grams + number * np.uint64(0xD6E8FEB86659FD93))
+    return labelled, labelled[number == 0]
 
 
 def order_minhash(grams: np.ndarray, sketches: int = SKETCHES, ell: int = ELL) -> list[int]:
-    """One signed 64-bit value per sketch: the ell least labelled shingles, in text order."""
+    """One signed 64-bit value per sketch: the ell least labelled shingles, in text order; in the later half, of first occurrences."""
     if not len(grams):
         return []
-    labelled = _labelled(grams)
+    labelled, first = _labelled(grams)
+    if len(first) == len(labelled):
+        return _sketched(labelled, 0, sketches, ell)
+    return _sketched(labelled, 0, sketches // 2, ell) + _sketched(first, sketches // 2, sketches, ell)
+
+
+def _sketched(labelled: np.ndarray, low: int, high: int, ell: int) -> list[int]:
+    """The values of sketches ``low`` to ``high`` of shingles in text order."""
     n, group, out = len(labelled), max(1, 2_000_000 // len(labelled)), []
-    for s in range(0, sketches, group):  # groups bound the matrix for very long texts
-        seeds = _SEEDS[:, s : min(sketches, s + group)]
+    for s in range(low, high, group):  # groups bound the matrix for very long texts
+        seeds = _SEEDS[:, s : min(high, s + group)]
         if n > ell:
             value = labelled[None, :] * (seeds[0][:, None] | np.uint64(1)) + seeds[1][:, None]
             value ^= value >> np.uint64(33)

@@ -4,7 +4,8 @@ A document's tokens are those of its pre-tokens (white-space words with a leadin
 Each task inserts the distinct pre-tokens that it meets in a trie.  A node holds the best
 score of its prefix and the number of tokens on that path, computed once from the scores of
 its ancestors when the node is made; a pre-token's count is stored at its terminal.  Nothing
-is shuffled, and the trie starts anew when it reaches ``NODES`` nodes.
+is shuffled, and the trie starts anew when it reaches ``NODES`` nodes.  A pre-token of over
+``LONG`` characters shares no prefix worth keeping: its forward scores are computed in slices.
 
 Pieces and their order come from a public vocabulary; a piece at rank r scores the log
 probability of Zipf's law, -ln((r + 1) * H).  A character that no piece covers costs as many
@@ -15,7 +16,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import table
 
-NODES = 1_000_000
+NODES, LONG, SLICE = 1_000_000, 10_000, 100_000
 MARK = "▁"
 UNKNOWN = 10.0
 
@@ -60,7 +61,9 @@ class Trie:
 
     def insert(self, word: str) -> int:
         """Tokens of ``MARK + word``."""
-        if len(self.score) + len(word) > self.most and len(self.score) > 1:
+        if len(word) >= min(LONG, self.most - 1):
+            return self.forward(MARK + word)
+        if len(self.score) + len(word) + 1 > self.most:
             self.reset()
         text, path, child = MARK + word, [0], self.child
         node = 0
@@ -68,30 +71,40 @@ class Trie:
             below = child.get((node, c))
             if below is None:
                 below = child[node, c] = len(self.score)
-                self._extend(text, end, path)
+                self._extend(text, end, path, self.score, self.tokens)
             node = below
             path.append(node)
         self.terminal[word] = self.tokens[node]
         return self.tokens[node]
 
-    def _extend(self, text: str, end: int, path: list[int]) -> None:
-        """Adds the node of ``text[:end]``; of equal scores the path of fewer tokens, then of the longer last piece."""
-        pieces, scores = self.pieces, self.score
+    def forward(self, text: str, size: int = SLICE) -> int:
+        """Tokens of a text outside the trie; no more than ``size`` scores are held at once."""
+        scores, tokens = [0.0], [0]
+        for at in range(0, len(text), size):
+            back = min(at, self.longest)
+            part, scores, tokens = text[at - back : at + size], scores[-back - 1 :], tokens[-back - 1 :]
+            for end in range(back + 1, len(part) + 1):
+                self._extend(part, end, range(len(part)), scores, tokens)
+        return tokens[-1]
+
+    def _extend(self, text: str, end: int, path: Sequence[int], scores: list[float], tokens: list[int]) -> None:
+        """Adds the scores of ``text[:end]``; of equal scores the path of fewer tokens, then of the longer last piece."""
+        pieces = self.pieces
         best, count = -math.inf, 0
         for start in range(max(0, end - self.longest), end):
             own = pieces.get(text[start:end])
             if own is None:
                 continue
-            s, n = scores[path[start]] + own, self.tokens[path[start]] + 1
+            s, n = scores[path[start]] + own, tokens[path[start]] + 1
             if s > best or s == best and n < count:
                 best, count = s, n
         if text[end - 1] not in pieces:
             width = len(text[end - 1].encode("utf-8", "surrogatepass"))
-            s, n = scores[path[end - 1]] + width * self.unknown, self.tokens[path[end - 1]] + width
+            s, n = scores[path[end - 1]] + width * self.unknown, tokens[path[end - 1]] + width
             if s > best or s == best and n < count:
                 best, count = s, n
         scores.append(best)
-        self.tokens.append(count)
+        tokens.append(count)
 
     def count(self, words: list[str]) -> int:
         terminal, total = self.terminal, 0
@@ -104,7 +117,9 @@ class Trie:
 def count_tokens(docs: DataFrame, vocabulary: str) -> DataFrame:
     """Per row of ``doc_id, text``: ``doc_id, n_pretokens, n_tokens``.
 
-    Null and empty texts have none.  Repeated rows and null ids stay.  Other columns are ignored.
+    Null and empty texts have none.  Repeated rows and null ids stay.  Texts and words of any
+    length are counted whole, in bounded memory beside the text.  Ties of scores take fewer
+    tokens.  Other columns are ignored, whatever their names.  An empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -253,6 +253,40 @@ def test_large_buckets_equal_brute_force(spark):
     assert {r.doc_id: r.class_id for r in neardup.classes(docs).collect()} == {i: root(i) for i in texts}
 
 
+def test_links_of_texts_that_repeat_a_passage(spark):
+    """A word of a passage that comes 200 times is changed throughout: most labelled shingles differ, the shingle sets hardly."""
+    docs = []
+    for i in range(40):
+        body, passage = " ".join(f"w{i}x{j}" for j in range(1000)), [f"p{i}x{j}" for j in range(10)]
+        docs += [(2 * i, body + " " + " ".join(passage * 200)), (2 * i + 1, body + " " + " ".join((passage[:4] + [f"q{i}"] + passage[5:]) * 200))]
+    hashes = [neardup.word_hashes(words_of(t)) for _, t in docs]
+    assert all(neardup.similar(hashes[2 * i], hashes[2 * i + 1]) for i in range(40))
+    got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i in range(80)}
+
+
+def test_pair_recall_of_sketches(spark):
+    """Candidate recall at sf0.01 over all pairs of different words that meet the rule: counted from an inverted index of shingles."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    firsts = {}
+    for r in docs:
+        firsts.setdefault(b" ".join(words_of(r.text)), r)
+    hashes = {r.doc_id: neardup.word_hashes(w.split()) for w, r in firsts.items() if w}
+    grams = {i: set(neardup.shingles(h).tolist()) for i, h in hashes.items()}
+    where, common = {}, {}
+    for i, own in grams.items():
+        for g in own:
+            where.setdefault(g, []).append(i)
+    for ids in where.values():
+        for x, a in enumerate(ids):
+            for b in ids[x + 1 :]:
+                common[a, b] = common.get((a, b), 0) + 1
+    links = [(a, b) for (a, b), n in common.items() if n >= 0.8 * (len(grams[a]) + len(grams[b]) - n) - 1e-9 and neardup.similar(hashes[a], hashes[b])]
+    buckets = {i: set(neardup.order_minhash(neardup.shingles(hashes[i]))) for pair in links for i in pair}
+    met = sum(bool(buckets[a] & buckets[b]) for a, b in links)
+    assert links and met == len(links), (met, len(links))
+
+
 def test_token_files(spark, odd):
     for df in (spark.read.parquet(f"{DATA}/documents.parquet"), odd):
         out = shared_dir(spark, "t")
@@ -311,6 +345,35 @@ def test_trie_counts(spark, odd):
     assert got[1].n_tokens == got[2].n_tokens == got[3].n_pretokens == 0 and got[5].n_pretokens == 900 * 23
 
 
+def test_token_counts_equal_brute_force(spark):
+    """Whole documents, unknown characters included, by forward scores of each word alone; and words longer than a trie may be."""
+    pieces = triecount.load_pieces(triecount.default_vocabulary())
+    longest, below = max(map(len, pieces)), min(pieces.values()) - 10
+
+    def brute(word):
+        best = [(0.0, 0)]
+        for end in range(1, len(word) + 1):
+            ways = [(best[a][0] + pieces[word[a:end]], -best[a][1] - 1) for a in range(max(0, end - longest), end) if word[a:end] in pieces]
+            if word[end - 1] not in pieces:
+                width = len(word[end - 1].encode())
+                ways.append((best[-1][0] + width * below, -best[-1][1] - width))
+            score, n = max(ways)
+            best.append((score, -n))
+        return best[-1][1]
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    known = {}
+    want = {r.doc_id: sum(known[w] if w in known else known.setdefault(w, brute("▁" + w)) for w in (r.text or "").split()) for r in docs.collect()}
+    assert {r.doc_id: r.n_tokens for r in triecount.op7_token_counts(spark, DATA).collect()} == want
+    trie, rng = triecount.Trie(pieces, 500), random.Random(5)
+    assert all(trie.count([w]) == known[w] for w in sorted(known, key=lambda w: rng.random())) and len(trie.score) <= 500
+    word = "".join(rng.choices(["ab", "the", "é", "😀", "日", "-", "x"], k=8000))
+    assert trie.forward("▁" + word, 700) == triecount.Trie(pieces).count([word]) == brute("▁" + word)
+    odd = spark.createDataFrame([(1, word * 3, 7), (1, word * 3, 7), (None, "a", 7), (2, "", 7)], "doc_id long, text string, n_tokens long")
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in triecount.count_tokens(odd, triecount.default_vocabulary()).collect()) == sorted([(0, brute("▁a")), (1, n := brute("▁" + word * 3)), (1, n), (2, 0)])
+    assert triecount.count_tokens(odd.limit(0), triecount.default_vocabulary()).count() == 0
+
+
 def test_language(spark, odd):
     d = "/root/testdata/sf0.01"
     out = langid.op8_language(spark, d).join(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang"), "doc_id")
@@ -324,6 +387,55 @@ def test_language(spark, odd):
     assert own[1] == own[2] == own[8] == "und" and own[4] == own[7] == "en"
 
 
+def test_language_equals_brute_force(spark):
+    """The same features, weights, sample and centroids in plain dictionaries, for every document."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang", F.xxhash64(F.col("doc_id").cast("long")).alias("h")).collect()
+
+    def features(text):
+        words = "".join(c if c.isalpha() else " " for c in text.lower()).split() if text and any(c.isalpha() for c in text) else []
+        line, out = f" {' '.join(words)} ", {}
+        for width in (1, 2, 3):
+            for i in range(1 if width == 1 else 0, len(line) - (1 if width == 1 else width - 1)):
+                a = [ord(c) for c in line[i : i + width]]
+                value = a[0] * 2654435761 % 2**32
+                for code, (x, y) in zip(a[1:], ((2246822519, 3266489917), (668265263, 374761393)), strict=False):
+                    value = (value ^ code * x % 2**32) * y % 2**32
+                out[value >> 18] = out.get(value >> 18, 0) + 1
+        return out if words else {}
+
+    def held(doc_id):
+        return zlib.crc32(str(doc_id).encode()) % 3 == 1
+
+    own = {r.doc_id: features(r.text) for r in docs}
+    training = [r for r in docs if not held(r.doc_id) and r.lang is not None and r.text is not None]
+    seen, n = {}, sum(bool(own[r.doc_id]) for r in training)
+    for r in training:
+        for b in own[r.doc_id]:
+            seen[b] = seen.get(b, 0) + 1
+
+    def vector(found):
+        v = {b: (1 + np.log(c)) * (np.log((1 + n) / (1 + seen.get(b, 0))) + 0.1) for b, c in found.items()}
+        norm = sum(x * x for x in v.values()) ** 0.5
+        return {b: x / norm for b, x in v.items()}
+
+    centroids = []
+    for lang in sorted({r.lang for r in training}):
+        sample = sorted((r for r in training if r.lang == lang and own[r.doc_id]), key=lambda r: r.h)
+        assert len(sample) <= langid.SAMPLE  # so all of them are in the sample
+        dense = np.zeros((len(sample), langid.DIM), dtype=np.float32)
+        for i, r in enumerate(sample):
+            for b, x in vector(own[r.doc_id]).items():
+                dense[i, b] = x
+        centroids += [(lang, c) for c in langid.spherical_means(dense)[0]]
+    got = {r.doc_id: r for r in langid.op8_language(spark, DATA).collect()}
+    assert len(got) == len(docs)
+    for r in docs:
+        cosines = [(float(sum(c[b] * x for b, x in vector(own[r.doc_id]).items())), lang) for lang, c in centroids] if own[r.doc_id] else [(0.0, "und")]
+        best = max(cosines)
+        assert got[r.doc_id].held_out == held(r.doc_id) and abs(got[r.doc_id].score - min(1, max(0, best[0]))) < 1e-4
+        assert got[r.doc_id].lang_pred in {lang for c, lang in cosines if c > best[0] - 1e-4}
+
+
 def test_urls(spark):
     pages = [(1, None), (2, "no scheme"), (3, "HTTP://A.Example.COM/en/7?x"), (4, "http://x.example.net/de/81#t"), (5, "http://y.net/de/1"), (6, "http://com/en/"), (7, "http://q.org/es/1"), (8, "http://h?x")]
     pages += [(100 + i, f"http://spam.biz/bad/{i}") for i in range(60)] + [(200 + i, f"http://spam.biz/good/{i + 100}") for i in range(60)]
@@ -370,15 +482,84 @@ def test_repeats_whatever_hash_and_place(spark):
     assert got == {1: 6, 2: 0, 3: 400, 4: 6, 5: 4, 6: 0}
 
 
-def test_pipeline(spark):
+def test_pipeline(spark, tmp_path):
+    """Every stage from scratch: rules, line removal, pairs, passages and spans in DuckDB and plain Python, tokens by the library."""
+    import re
+
+    rng = random.Random(8)
+    prose = lambda: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(70))
+    own = [(10_000 + i, f"{prose()}\npassword = hunter{i}hunter\nthis very line stands in a lot of documents of one site\n{prose()}", "en", "src1", 0) for i in range(12)]
+    own.append((10_020, own[3][1] + " more", "en", "src1", 0))
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    kept = linefreq.clean(docs)
-    assert kept.columns == docs.columns
-    classes = {r.class_id for r in neardup.classes(kept).collect()}
-    first = neardup.keep_first(kept)
-    assert {r.doc_id for r in first.collect()} == classes
-    clean = decontaminate.remove_contaminated(first, spark.read.parquet(f"{DATA}/benchmark.parquet"))
-    safe = secrets.redact(clean)
-    want = sorted((r.doc_id, len(ids_of(r.text)) // 4 + 1) for r in safe.collect())
-    got = corpus_pipeline.run(spark, DATA).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
-    assert sorted(map(tuple, got)) == want
+    data = str(tmp_path)
+    docs.unionByName(spark.createDataFrame(own, docs.schema)).write.parquet(f"{data}/documents.parquet")
+    spark.read.parquet(f"{DATA}/benchmark.parquet").write.parquet(f"{data}/benchmark.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.sql(f"create table {name} as select * from '{data}/{name}.parquet/*.parquet'")
+
+    def kept_texts(name, sql):
+        return con.sql(f"select {name} from ({sql})").fetchall()
+
+    # quality rules: verdicts in SQL, lines counted here
+    docs = con.sql("select doc_id, text, source from documents").fetchall()
+    passed = {i for i, ok in kept_texts("doc_id, kept", queries.oracle_sql()["op10_quality_rules"]) if ok}
+    letters = re.compile(r"[^\W\d_]")
+
+    def normal(line):
+        return " ".join("".join("0" if c in "0123456789" else c if letters.match(c) else " " for c in line.lower()).split())
+
+    lines = {}
+    for i, t, s in docs:
+        for line in {normal(x) for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)}:
+            lines.setdefault((s or "", line), []).append(i)
+    above = {k: min(v) for k, v in lines.items() if len(v) > (10 if len(k[1].split(" ")) >= 10 else 50)}
+
+    def shorter(i, t, s):
+        gone = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x) and above.get((s or "", normal(x)), i) != i]
+        return "\n".join(x for x in t.split("\n") if x not in gone) if gone else t
+
+    texts = {i: shorter(i, t, s) for i, t, s in docs if i in passed}
+    # near duplicates: all pairs
+    hashes = {i: neardup.word_hashes(words_of(t)) for i, t in texts.items()}
+    grams = {i: set(neardup.shingles(h).tolist()) for i, h in hashes.items()}
+    label = {i: i for i in texts}
+    for a in sorted(texts):
+        for b in sorted(texts):
+            if a < b and grams[a] and len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b]) - 1e-9 and neardup.similar(hashes[a], hashes[b]):
+                low, high = sorted((label[a], label[b]))
+                label = {i: low if x == high else x for i, x in label.items()}
+    texts = {i: t for i, t in texts.items() if label[i] == i}
+    # decontamination and secrets: SQL over what is left
+    def left(rows):
+        con.sql("drop table if exists documents")
+        con.sql("create table documents (doc_id bigint, text varchar)")
+        con.executemany("insert into documents values (?, ?)", list(rows.items()))
+
+    left(texts)
+    gone = {i for i, bad in kept_texts("doc_id, contaminated", queries.oracle_sql()["op3_decontamination"]) if bad}
+    texts = {i: t for i, t in texts.items() if i not in gone}
+    left(texts)
+    for i, spans in kept_texts("doc_id, spans", queries.oracle_sql()["op6_secrets"]):
+        want, at = "", 0
+        for start, end in sorted(tuple(map(int, x.split(":")[1:])) for x in spans.split(",") if x):
+            want, at = (want + texts[i][at:start] + "[SECRET]" if start >= at else want), max(at, end)
+        texts[i] = want + texts[i][at:]
+    assert len(passed) < len(docs) and gone and any("[SECRET]" in t for t in texts.values()) and 10_020 not in texts
+    assert sum("this very line" in t for t in texts.values()) == 1
+    check_packing(corpus_pipeline.run(spark, data).collect(), list(texts.items()))
+
+
+def test_pipeline_stages_on_odd_rows(spark, odd, tmp_path):
+    """Nulls, empty and long texts, repeated rows, clashing columns; and empty tables."""
+    bench = spark.read.parquet(f"{DATA}/benchmark.parquet")
+    for name, frame in (("odd", odd), ("none", odd.limit(0))):
+        d = str(tmp_path / name)
+        frame.write.parquet(f"{d}/documents.parquet")
+        (bench if name == "odd" else bench.limit(0)).write.parquet(f"{d}/benchmark.parquet")
+        docs = spark.read.parquet(f"{d}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            assert stage(spark, docs, d).columns == docs.columns
+            assert stage(spark, docs, d).count() <= docs.count()
+        check_packing(corpus_pipeline.STAGES[-1][1](spark, docs, d).collect(), [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
+        assert corpus_pipeline.run(spark, d).count() == 0  # every odd text has fewer than 50 words or repeats itself
