@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import decontaminate, langid, linefreq, neardup, packing, secrets, tokenbin, triecount, urltree, wacz
+from lodestone.llm import decontaminate, hardneg, langid, linefreq, merkle, mixing, neardup, packing, secrets, tokenbin, triecount, urltree, wacz
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language": langid.op8_language,
         "op9_url_filter": urltree.op9_url_filter,
         "op10_quality_rules": linefreq.op10_quality_rules,
+        "op11_mixing": mixing.op11_mixing,
+        "op12_hard_negatives": hardneg.op12_hard_negatives,
+        "op13_merkle_manifest": merkle.op13_merkle_manifest,
         "conversation_packing": packing.conversation_packing,
         "pipeline": corpus_pipeline.run,
     }
@@ -35,4 +38,7 @@ def oracle_sql() -> dict[str, str]:
         "op6_secrets": secrets.ORACLE,
         "op9_url_filter": urltree.ORACLE,
         "op10_quality_rules": linefreq.ORACLE,
+        "op11_mixing": mixing.ORACLE,
+        "op12_hard_negatives": hardneg.ORACLE,
+        "op13_merkle_manifest": merkle.ORACLE,
     }
