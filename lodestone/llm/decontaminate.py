@@ -18,9 +18,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import open_fs, shared_dir, table, words_of, write_once
+from lodestone.llm.common import open_fs, shared_dir, table, whole_row, words_of, write_once
 
 WINDOW = 13
+#: Bytes of items' text in one block.
+BLOCK_BYTES = 8_000_000
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
@@ -75,7 +77,7 @@ def searchers(items: list[tuple[object, str | None]], window: int = WINDOW) -> t
     return [Searcher(k, v) for k, v in sorted(by_length.items())], names
 
 
-def write_items(benchmark: DataFrame, out_dir: str, block_bytes: int = 8_000_000) -> list[str]:
+def write_items(benchmark: DataFrame, out_dir: str, block_bytes: int = BLOCK_BYTES) -> list[str]:
     """Writes items in blocks of about ``block_bytes`` of text, one at a time, and returns their URIs."""
     rows = benchmark.select("item_id", "text")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -101,14 +103,16 @@ def _load(path: str) -> tuple[list[Searcher], list[str]]:
     return _loaded[path]
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, passthrough: bool = False) -> DataFrame:
-    """Per document ``SCHEMA``; with ``passthrough`` the document's own columns and ``contaminated`` instead.
+def scan(docs: DataFrame, benchmark: DataFrame, passthrough: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Per document ``SCHEMA``; with ``passthrough`` the document's own columns, as struct ``d``, and ``contaminated``.
 
-    A null text has no words and is clean.  Items with null id or without words never occur;
-    rows of one item_id are one item.  Repeated documents give repeated rows.  An empty
-    benchmark leaves all clean.
+    A null text has no words and is clean, as is an empty one.  Items with null id or without
+    words never occur; rows of one item_id are one item.  Texts of any length are searched whole.
+    Repeated documents give repeated rows, and items with equal windows all occur.  An empty
+    benchmark leaves all clean; an empty table of documents gives no rows.  Other columns are
+    ignored, whatever their names.
     """
-    paths = write_items(benchmark, shared_dir(docs.sparkSession, "benchmark-items"))
+    paths = write_items(benchmark, shared_dir(docs.sparkSession, "benchmark-items"), block_bytes)
 
     def judge(texts: list[str | None]) -> list[tuple]:
         words = [words_of(t) for t in texts]
@@ -131,16 +135,13 @@ def scan(docs: DataFrame, benchmark: DataFrame, passthrough: bool = False) -> Da
         return out
 
     if passthrough:
-        names = docs.columns
-
         def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            at = names.index("text")
             for batch in batches:
-                bad = [x[-1] for x in judge(batch.column(at).to_pylist())]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bad, pa.bool_())], [*batch.schema.names, "__contaminated"])
+                bad = [x[-1] for x in judge(batch.column(0).field("text").to_pylist())]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bad, pa.bool_())], ["d", "contaminated"])
 
-        schema = T.StructType([*docs.schema.fields, T.StructField("__contaminated", T.BooleanType())])
-        return docs.mapInArrow(mark, schema)
+        schema = T.StructType([T.StructField("d", docs.schema), T.StructField("contaminated", T.BooleanType())])
+        return docs.select(whole_row(docs).alias("d")).mapInArrow(mark, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
@@ -152,8 +153,13 @@ def scan(docs: DataFrame, benchmark: DataFrame, passthrough: bool = False) -> Da
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that are not contaminated, with the columns they had."""
-    return scan(docs, benchmark, passthrough=True).where(~F.col("__contaminated")).drop("__contaminated")
+    """The documents that are not contaminated, with the columns they had, whatever their names.
+
+    Null and empty texts are kept, as are all of an empty benchmark; repeated rows share a verdict;
+    texts are judged whole; an empty table gives no rows.
+    """
+    kept = scan(docs, benchmark, passthrough=True).where(~F.col("contaminated"))
+    return kept.select(*(F.col(f"d.`{c}`").alias(c) for c in docs.columns))
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,9 @@
 
 Features are hashed 1- to 3-grams of lower-cased letters (runs of anything else are one
 space), weighted (1 + ln tf) * idf and normalised.  Document frequencies are over all
-training documents; each language's centroids are spherical k-means over about ``SAMPLE``
-training documents (those of least hash of doc_id), the documented bound of the fit.  A text takes the language of the centroid with the greatest cosine; ``rejected`` says
+training documents; each language's centroids are spherical k-means over at most ``SAMPLE``
+of its training documents (those of least hash of doc_id and text), the documented bound of
+the fit.  A text takes the language of the centroid with the greatest cosine; ``rejected`` says
 that the cosine is below that centroid's own limit, learned from its members.
 """
 
@@ -14,12 +15,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import crc_mod3, shared_dir, stored, table
+from lodestone.llm.common import crc_mod3, discard, shared_dir, stored, table
 
 DIM, SAMPLE, CENTROIDS, ROUNDS, REJECT_QUANTILE = 1 << 14, 300, 4, 8, 0.01
+#: A model has CENTROIDS dense centroids a language; more languages than this are taken for an error in the data.
+MOST_LANGUAGES = 500
 
 
 def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -79,18 +82,23 @@ class Model:
 def fit(training: DataFrame) -> Model:
     """Fits on ``doc_id, text, lang``.
 
-    Rows without text or lang are left out; texts without a letter have no features.  Rows whose
-    hash of doc_id lies below SAMPLE / (rows of the language) of all hashes make the sample, so
-    it is about SAMPLE rows of a language, or all; repeated rows count again.  Texts of any
-    length are counted whole.  Ties and the order of rows do not matter: the sample is sorted.
-    Other columns are ignored.  An empty table gives a model without languages.
+    Rows without text or lang are left out; texts without a letter have no features.  The sample
+    of a language is its SAMPLE different rows of least hash of doc_id and text, or all if it has
+    fewer, whatever other languages have; equal rows count once there, and each time in the
+    document frequencies.  Texts of any length are counted whole.  The order of rows does not
+    matter: the sample is sorted.  Other columns are ignored.  An empty table gives a model
+    without languages; over MOST_LANGUAGES languages are refused.
     """
-    rows = training.where("lang is not null and text is not null").select("doc_id", "text", "lang", F.xxhash64("doc_id").alias("h"))
-    numbers = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
-    cuts = {lang: int(-(2**63) + 2**64 * min(1.0, SAMPLE / n)) for lang, n in numbers.items()}
+    rows = training.where("lang is not null and text is not null").select("doc_id", "text", "lang", F.xxhash64("doc_id", "text").alias("h"))
+    different = rows.where(F.col("text").rlike(r"\p{L}")).groupBy("lang", "h").agg(F.lit(1).alias("one"))
+    least = different.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("nth") <= SAMPLE)  # at most SAMPLE a task and language are shuffled
+    cuts = {r.lang: r.cut for r in least.groupBy("lang").agg(F.max("h").alias("cut")).limit(MOST_LANGUAGES + 1).collect()}  # one row a language
+    if len(cuts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    least_hash = -(1 << 63)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = np.zeros(DIM, dtype=np.int64), 0
+        df, n, taken = np.zeros(DIM, dtype=np.int64), 0, set()
         names = ["bin", "df", "lang", "h", "bins", "counts"]
 
         def batch_of(bins, dfs, langs, hs, bs, cs) -> pa.RecordBatch:
@@ -103,15 +111,16 @@ def fit(training: DataFrame) -> Model:
                 if len(bins):
                     df[bins] += 1
                     n += 1
-                    if h <= cuts[lang]:
+                    if h <= cuts.get(lang, least_hash) and (lang, h) not in taken:
+                        taken.add((lang, h))
                         langs.append(lang), hs.append(h), bs.append(bins.tolist()), cs.append(counts.tolist())
             k = len(langs)
             yield batch_of([None] * k, [None] * k, langs, hs, bs, cs)
         at = np.flatnonzero(df).tolist()
         yield batch_of([-1, *at], [n, *df[at].tolist()], *([[None] * (len(at) + 1)] * 4))
 
-    spark = training.sparkSession
-    seen = stored(rows.mapInArrow(run, "bin long, df long, lang string, h long, bins array<long>, counts array<long>"), shared_dir(spark, "language-features"))
+    out = shared_dir(training.sparkSession, "language-features")
+    seen = stored(rows.mapInArrow(run, "bin long, df long, lang string, h long, bins array<long>, counts array<long>"), out)
     df = {r.bin: r.df for r in seen.where("bin is not null").groupBy("bin").agg(F.sum("df").alias("df")).collect()}  # at most DIM + 1 rows
     n = df.pop(-1, 0)
     idf = np.full(DIM, np.log(1.0 + n))
@@ -120,8 +129,9 @@ def fit(training: DataFrame) -> Model:
     model = Model(idf + 0.1, np.zeros((0, DIM), dtype=np.float32), [], np.zeros(0))
     centroids, langs, limits = [], [], []
     samples: dict[str, list] = {}
-    for r in seen.where("lang is not null").select("lang", "h", "bins", "counts").limit(2 * SAMPLE * max(1, len(cuts))).collect():  # bounded
+    for r in seen.where("lang is not null").select("lang", "h", "bins", "counts").dropDuplicates(["lang", "h"]).collect():  # at most SAMPLE a language
         samples.setdefault(r.lang, []).append((r.h, r.bins, r.counts))
+    discard(out)
     for lang in sorted(samples):
         sample = sorted(samples[lang])
         vectors = np.zeros((len(sample), DIM), dtype=np.float32)
