@@ -5,19 +5,20 @@ occurrence number.  Each of ``sketches`` hash functions selects the ``ell`` leas
 k-mers and keeps them in text order; documents that agree in one of these share a bucket.
 The later half of the functions selects among first occurrences only, so that texts which
 repeat one passage a different number of times, or changed throughout, meet as well.
-A candidate pair is linked if the Jaccard similarity of its shingle sets is at least 0.8 and
-a banded alignment finds a word edit similarity of at least 0.8.
+A candidate pair is linked if a banded alignment finds a word edit similarity (1 - distance /
+words of the longer text) of at least 0.8.
 
 Steps: documents of equal words are reduced to one representative (partial minimum).  Every
 representative is compared with the leader of each of its buckets, the member that has most
 company over all its buckets; linked ones become one class by minimum-label propagation.
 Buckets of over SMALL rows get further leaders, others each time.  Such a round makes at most
 one pair per bucket row.  Then all pairs across classes that share a bucket are compared.
-Where the bucket has more than SMALL rows an exact filter comes first: of two shingle sets
-with a Jaccard similarity of 0.8, sorted alike (rare ones first), the first common shingle
-comes so early that enough are left behind it; pairs without such a shingle cannot be linked.
-So one rule holds for buckets of all sizes: every pair that shares a bucket is compared, of
-one class already, or ruled out.
+Where the bucket has more than SMALL rows an exact filter comes first.  Each edit touches at
+most two pairs of neighbouring words, so texts of at most n words with a similarity of 0.8
+have at least 0.6 n - 1 labelled word pairs in common; of two such sets, sorted alike (rare
+ones first), the first common element comes so early that enough are left behind it.  Texts
+without such an element cannot be linked.  So one rule holds for buckets of all sizes: every
+pair that shares a bucket is compared, of one class already, or ruled out.
 
 Members carry ids and buckets only.  Texts of those that share a bucket are shuffled once,
 into a table bucketed by id, so that rounds move a pair's rows to the texts; one text a pair
@@ -33,12 +34,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import discard, shared_dir, stored, table, words_of
+from lodestone.llm.common import discard, shared_dir, stored, table, whole_row, words_of
 
-K, ELL, SKETCHES, SIMILARITY = 5, 4, 24, 0.8
+K, ELL, SKETCHES, SIMILARITY = 5, 3, 24, 0.8
+#: Share of a text's words that word pairs in common number at least, but for one: each edit touches two.
+COMMON = 1 - 2 * (1 - SIMILARITY)
 ROUNDS, SMALL, PART, COUNTERS, BLOCKS = 2, 64, 512, 1 << 20, 16
 _SEEDS = np.random.RandomState(20).randint(1, 2**62, size=(2, 256), dtype=np.int64).astype(np.uint64)
 
@@ -141,7 +144,7 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
 
 
 def _banded(a: np.ndarray, b: np.ndarray, band: int) -> int:
-    """Distance along paths within the band: cell (i, j) sits at j - i + band of row i."""
+    """Distance along paths within the band, or some number above the band: cell (i, j) sits at j - i + band of row i."""
     width, m = 2 * band + 1, len(b)
     far = np.int64(1 << 40)
     steps = np.arange(width, dtype=np.int64)
@@ -162,20 +165,34 @@ def _banded(a: np.ndarray, b: np.ndarray, band: int) -> int:
         row = np.minimum.accumulate(row - steps) + steps
         if high + 1 < width:
             row[max(0, high + 1) :] = far
+        if not i % 32 and row.min() > band:  # the least of a row never falls
+            return int(far)
     at = m - len(a) + band
     return int(row[at]) if 0 <= at < width else int(far)
 
 
-def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY, grams: np.ndarray | None = None) -> bool:
-    """Whether two word-hash sequences are near duplicates: shingle Jaccard, then banded alignment.  grams: a's distinct shingles, if known."""
+def word_pairs(hashes: np.ndarray) -> np.ndarray:
+    """Sorted hashes of neighbouring words, labelled with their occurrence numbers, so that they are distinct."""
+    return np.sort(_labelled(shingles(hashes, 2))[0])
+
+
+def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY, pairs: np.ndarray | None = None) -> bool:
+    """Whether the word edit similarity of two word-hash sequences reaches ``least``.
+
+    Word pairs in common are counted first: with fewer than the distance allows no alignment is
+    made.  pairs: those of a, if known.
+    """
     if not len(a) or not len(b):
         return False
-    x, y = np.unique(shingles(a)) if grams is None else grams, np.unique(shingles(b))
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    if both < least * (len(x) + len(y) - both) - 1e-9:
-        return False
     longest = max(len(a), len(b))
-    return edit_distance(a, b, int((1 - least) * longest + 1e-9)) is not None
+    most = int((1 - least) * longest + 1e-9)
+    if longest - min(len(a), len(b)) > most:
+        return False
+    both = np.concatenate([word_pairs(a) if pairs is None else pairs, word_pairs(b)])
+    both.sort(kind="stable")
+    if np.count_nonzero(both[1:] == both[:-1]) < longest - 1 - 2 * most:
+        return False
+    return edit_distance(a, b, most) is not None
 
 
 def sketch(docs: DataFrame) -> DataFrame:
@@ -202,14 +219,14 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, left, grams = None, None, None
+        last, left, own = None, None, None
         for batch in batches:
             keep = []
             for lead, x, y in zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)), strict=True):
                 if lead != last:
                     last, left = lead, word_hashes(words_of(x))
-                    grams = np.unique(shingles(left))
-                keep.append(similar(left, word_hashes(words_of(y)), grams=grams))
+                    own = word_pairs(left)
+                keep.append(similar(left, word_hashes(words_of(y)), pairs=own))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     load = pairs.groupBy("lead").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
@@ -220,10 +237,10 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return right.join(left, ["lead", "part"]).select("a", "b", "lead", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def early_shingles(texts: DataFrame) -> DataFrame:
-    """``id, n, gram, place, class_id`` for the places of a document's sorted shingle set where a first common one can be, given ``id, text, class_id``.
+def early_pairs(texts: DataFrame) -> DataFrame:
+    """``id, n, gram, place, class_id`` for the places of a document's sorted word pairs where a first common one can be, given ``id, text, class_id``; n is the number of words.
 
-    Shingles are sorted by their number over all of ``texts``, counted in COUNTERS hashed
+    Word pairs are sorted by their number over all of ``texts``, counted in COUNTERS hashed
     counters (a bounded array), and then by value.  Any order that all documents share is
     exact; that rare ones come first only keeps candidates few.
     """
@@ -232,7 +249,7 @@ def early_shingles(texts: DataFrame) -> DataFrame:
         counters = np.zeros(COUNTERS, dtype=np.int64)
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                np.add.at(counters, (np.unique(shingles(word_hashes(words_of(text)))) % np.uint64(COUNTERS)).astype(np.int64), 1)
+                np.add.at(counters, (word_pairs(word_hashes(words_of(text))) % np.uint64(COUNTERS)).astype(np.int64), 1)
         yield packed(dict(enumerate(counters.reshape(BLOCKS, -1))))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,10 +276,10 @@ def early_shingles(texts: DataFrame) -> DataFrame:
         numbers = shared.value
         for batch in batches:
             for doc_id, text, class_id in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                grams = np.unique(shingles(word_hashes(words_of(text))))
-                n = len(grams)
+                hashes = word_hashes(words_of(text))
+                grams, n = word_pairs(hashes), len(hashes)
                 order = np.lexsort((grams, numbers[(grams % np.uint64(COUNTERS)).astype(np.int64)]))
-                early = grams[order[: int((1 - SIMILARITY) * n + 1e-9) + 1]].view(np.int64)
+                early = grams[order[: int((1 - COMMON) * n + 1e-9) + 1]].view(np.int64)
                 for at in range(0, len(early), 100_000):
                     part = early[at : at + 100_000]
                     same = [pa.array(np.full(len(part), x, dtype=np.int64)) for x in (doc_id, n, class_id)]
@@ -274,16 +291,18 @@ def early_shingles(texts: DataFrame) -> DataFrame:
 def filtered_pairs(early: DataFrame) -> DataFrame:
     """Pairs ``a, b`` across classes that can reach the similarity, from ``id, n, gram, place, class_id``; every such pair is there.
 
-    The most frequent class of a shingle is not joined with itself, so one large class costs a
-    row of its own for each row of other classes only.
+    The most frequent class of a word pair is not joined with itself, so one large class costs a
+    row of its own for each row of other classes only.  Frequent word pairs are dealt out in parts.
     """
     of_class = early.groupBy("gram", "class_id").agg(F.count("*").alias("rows"))
-    main = of_class.groupBy("gram").agg(F.max_by("class_id", F.struct("rows", "class_id")).alias("main"), F.count("*").alias("classes")).where("classes > 1").select("gram", "main")
+    main = of_class.groupBy("gram").agg(F.max_by("class_id", F.struct("rows", "class_id")).alias("main"), F.count("*").alias("classes"), F.ceil(F.sum("rows") / PART).cast("int").alias("parts")).where("classes > 1").select("gram", "main", "parts")
     mixed = early.join(main, "gram")
-    other = mixed.select("gram", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("place").alias("place2"), F.col("class_id").alias("class2"))
-    left = F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2"))
-    enough = left >= SIMILARITY / (1 + SIMILARITY) * (F.col("n") + F.col("n2")) - 1e-6
-    met = mixed.where("class_id <> main").join(other, "gram").where((F.col("class_id") != F.col("class2")) & enough)
+    other = mixed.select("gram", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("place").alias("place2"), F.col("class_id").alias("class2"))
+    # a text of n words has n - 1 word pairs, of which place are before this one
+    left = F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2")) - 1
+    enough = (left >= COMMON * F.greatest("n", "n2") - 1 - 1e-6) & _lengths_fit("n", "n2")
+    own = mixed.where("class_id <> main").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    met = own.join(other, ["gram", "part"]).where((F.col("class_id") != F.col("class2")) & enough)
     return met.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
 
 
@@ -310,7 +329,10 @@ def components(links: DataFrame, out_dir: str) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """One row per document: ``doc_id, class_id, class_size``; class_id is the least doc_id of the class.
+    """One row per document: ``doc_id, class_id, class_size, class_links``; class_id is the least doc_id of the class.
+
+    class_size counts documents, class_links the verified links between different texts of the
+    class (``linked`` returns them); pairs that a class already connects are not compared again.
 
     A row with a null doc_id is a class of its own with a null class_id.  Null and empty texts
     are alone; texts without words are a class only with equal texts.  Repeated rows give
@@ -318,6 +340,11 @@ def classes(docs: DataFrame) -> DataFrame:
     Texts of any length are compared whole.  Other columns are ignored, whatever their names.
     An empty table gives no rows.
     """
+    return linked(docs)[0]
+
+
+def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``classes`` and the verified links ``a, b`` (a < b) between representatives, the least doc_ids of equal texts."""
     spark, out = docs.sparkSession, shared_dir(docs.sparkSession, "near-duplicates")
     own = docs.select(F.col("doc_id").cast("long"), "text")
     docs = own.where("doc_id is not null")
@@ -330,7 +357,26 @@ def classes(docs: DataFrame) -> DataFrame:
     members = stored(shared, f"{out}/members")  # at most SKETCHES buckets each
     texts, drop_texts = _bucketed_texts(docs, members, f"{out}/texts")
 
-    labels, links, tried = spark.createDataFrame([], "id long, class_id long"), None, None
+    try:
+        labels, links = _compared(members, texts, out)
+        links = stored(links, f"{out}/links")
+    finally:
+        drop_texts()
+    rep_class = reps.join(labels, "id", "left").select("key", F.coalesce("class_id", "id").alias("class_id"), "n")
+    sizes = rep_class.groupBy("class_id").agg(F.sum("n").alias("class_size"))
+    counts = links.join(labels.withColumnRenamed("id", "a"), "a").groupBy("class_id").agg(F.count("*").alias("class_links"))
+    sizes = sizes.join(counts, "class_id", "left").withColumn("class_links", F.coalesce("class_links", F.lit(0).cast("long")))
+    rep_class = stored(rep_class.join(sizes, "class_id").select("key", "class_id", "class_size", "class_links"), f"{out}/rep-classes")
+    discard(out, keep=("sketches", "rep-classes", "links"))
+    named = sketched.select("doc_id", "key").join(rep_class, "key").drop("key")
+    one = F.lit(1).cast("long"), F.lit(0).cast("long")
+    return named.unionByName(own.where("doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"), one[0].alias("class_size"), one[1].alias("class_links"))), links
+
+
+def _compared(members: DataFrame, texts: DataFrame, out: str) -> tuple[DataFrame, DataFrame]:
+    """``id, class_id`` of the members that are linked, and the links ``a, b``."""
+    spark = members.sparkSession
+    labels, links, tried = spark.createDataFrame([], "id long, class_id long"), spark.createDataFrame([], "a long, b long"), None
     for turn in range(ROUNDS + 1):
         now = members.join(labels, "id", "left").select("id", "n_words", "company", F.coalesce("class_id", "id").alias("class_id"), F.inline("buckets"))
         if turn < ROUNDS:  # every member against the leader of this turn
@@ -344,15 +390,9 @@ def classes(docs: DataFrame) -> DataFrame:
         found = stored(verify(pairs, texts), f"{out}/links-{turn}")
         tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
         if found.limit(1).count():
-            links = found if links is None else links.unionByName(found)
+            links = links.unionByName(found)
             labels = components(links, f"{out}/classes-{turn}")
-    rep_class = reps.join(labels, "id", "left").select("key", F.coalesce("class_id", "id").alias("class_id"), "n")
-    sizes = rep_class.groupBy("class_id").agg(F.sum("n").alias("class_size"))
-    rep_class = stored(rep_class.join(sizes, "class_id").select("key", "class_id", "class_size"), f"{out}/rep-classes")
-    drop_texts()
-    discard(out, keep=("sketches", "rep-classes"))
-    named = sketched.select("doc_id", "key").join(rep_class, "key").select("doc_id", "class_id", "class_size")
-    return named.unionByName(own.where("doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size")))
+    return labels, links
 
 
 def _bucketed_texts(docs: DataFrame, members: DataFrame, path: str):
@@ -385,7 +425,7 @@ def _mixed_pairs(now: DataFrame, members: DataFrame, texts: DataFrame, out: str)
     other = few.select("bucket", F.col("id").alias("b"), F.col("class_id").alias("other"), F.col("n_words").alias("length"))
     pairs = few.withColumnRenamed("id", "a").join(other, "bucket").where("a < b and class_id <> other").where(_lengths_fit("n_words", "length")).select("a", "b")
     many = now.where(F.col("n") > SMALL).select("id", "class_id").distinct()
-    early = stored(early_shingles(texts.join(many, "id")), f"{out}/early")
+    early = stored(early_pairs(texts.join(many, "id")), f"{out}/early")
     passed = stored(filtered_pairs(early), f"{out}/passed")
     held = members.select("id", F.transform("buckets", lambda x: x["bucket"]).alias("own"))
     for side in "ab":
@@ -400,11 +440,18 @@ def _lengths_fit(a: str, b: str) -> Column:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each class, that with the least doc_id (of its rows that of the least text); columns as they were.  Rows with a null doc_id stay."""
-    kept = classes(docs).where("doc_id = class_id").select(F.col("doc_id").alias("__id")).distinct()
-    first = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("__id"), "left_semi")
-    first = first.withColumn("__nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("__nth = 1").drop("__nth")
-    return first.unionByName(docs.where("doc_id is null"))
+    """One document of each class, that with the least doc_id; columns as they were, whatever their names.
+
+    Of several rows with that doc_id the one of least text stays (a null text first), of equal
+    ones one.  Rows with a null doc_id stay, as do null and empty texts (each is a class).  An
+    empty table gives no rows.
+    """
+    kept = classes(docs).where("doc_id = class_id").select("doc_id").distinct()
+    rows = docs.select(whole_row(docs).alias("d")).withColumn("doc_id", F.col("d.doc_id").cast("long"))
+    first = rows.where("doc_id is not null").join(kept, "doc_id", "left_semi")
+    first = first.groupBy("doc_id").agg(F.min_by("d", F.struct("d.text")).alias("d")).select("d")
+    both = first.unionByName(rows.where("doc_id is null").select("d"))
+    return both.select(*(F.col(f"d.`{c}`").alias(c) for c in docs.columns))
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
