@@ -8,7 +8,7 @@ LEASE_MINUTES, STALE_MINUTES = 3, 2
 SCORE_FLOOR, RAG_BUDGET_TOKENS, TOOL_TOKENS = 0.2, 2000, 60
 HISTORY_ROWS, CHARS_PER_TOKEN, DEFAULT_CONTEXT_TOKENS, OUTPUT_RESERVE = 200, 4, 4000, 1000
 MAX_WORKFLOW_STEPS, PAGE_DEFAULT, PAGE_MAX = 50, 20, 200
-LIMITER_COUNT, LIMITER_MINUTES, BREAKER_FAILURES = 10, 15, 5
+LIMITER_COUNT, LIMITER_MINUTES, BREAKER_FAILURES, BREAKER_SECONDS = 10, 15, 5, 30
 #: White space that trimming of contents removes at both ends.
 TRIM_CLASS = "\\t\\n\\x0b\\f\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 

@@ -52,10 +52,11 @@ def first_of_content(rows: DataFrame, keys: list[str], content: str = "content",
     """The first row by position of each normalised content within ``keys``; empty contents always stay."""
     body = F.coalesce(F.col(content), F.lit(""))
     blank = ~body.rlike(f"[^{TRIM_CLASS}]")
-    own = rows.where(~blank).withColumn("__key", F.md5(dedup_key(body)))  # no text in a shuffle or sort key
+    # no text in a shuffle or sort key; a blank row has a key of its own, so one pass serves all
+    key = F.when(blank, F.concat(F.lit("b"), F.col(pos).cast("string"))).otherwise(F.md5(dedup_key(body)))
+    own = rows.withColumn("__key", key).withColumn("__blank", blank)
     order = Window.partitionBy(*keys, "__key").orderBy(pos)
-    first = own.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__key", "__n")  # cut within tasks before the shuffle
-    return first.unionByName(rows.where(blank))
+    return own.withColumn("__n", F.row_number().over(order)).where("__n = 1 or __blank").drop("__key", "__blank", "__n")
 
 
 def suppressed(rows: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
@@ -89,11 +90,14 @@ def with_neighbors(anchors: DataFrame, chunks: DataFrame) -> DataFrame:
     """
     sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), (F.col("chunk_index") - 1).alias("want")), F.struct(F.lit(1).alias("side"), (F.col("chunk_index") + 1).alias("want"))))
     wanted = anchors.select("query_id", F.col("id").alias("neighbor_of"), "rank", "score", "document_id", "document_version", sides.alias("s")).select("*", "s.side", F.col("s.want").alias("chunk_index")).drop("s").where("chunk_index >= 0")
-    published = chunks.where("is_published").groupBy("document_id", "document_version", "chunk_index").agg(F.max_by(F.struct("id", "content"), "id").alias("c"))
-    near = wanted.join(published, ["document_id", "document_version", "chunk_index"]).select("query_id", "neighbor_of", "rank", "side", "score", "document_id", "document_version", "chunk_index", "c.id", "c.content")
+    at, shown = ["document_id", "document_version", "chunk_index"], chunks.where("is_published")
+    # coordinates first, then the largest id of each, contents last and for neighbours only
+    there = shown.select(*at, "id").join(wanted.select(*at).distinct(), at, "left_semi").groupBy(*at).agg(F.max("id").alias("id"))
+    near = wanted.join(there, at)
     near = near.join(anchors.select("query_id", "id"), ["query_id", "id"], "left_anti")
     claim = Window.partitionBy("query_id", "id").orderBy("rank", "side")
     near = near.withColumn("claim", F.row_number().over(claim)).where("claim = 1").drop("claim").withColumn("tier", F.lit(1))
+    near = near.join(shown.select("id", "content"), "id")
     first = anchors.select("query_id", F.lit("").alias("neighbor_of"), "rank", F.lit(0).alias("side"), "score", "document_id", "document_version", "chunk_index", "id", "content", F.lit(0).alias("tier"))
     both = first.unionByName(near.withColumn("neighbor_of", F.col("neighbor_of").cast("string")).select(*first.columns))
     order = Window.partitionBy("query_id").orderBy("tier", "rank", "side")

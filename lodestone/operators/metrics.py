@@ -8,12 +8,16 @@ from pyspark.sql import functions as F
 
 def case_metrics(results: DataFrame, cases: DataFrame) -> DataFrame:
     """Per case of ``name, expected array<long>``, from ``name, rank, document_id``: hits and reciprocal rank; null where nothing is expected."""
-    own = cases.join(results, "name", "left")
-    match = F.array_contains("expected", F.col("document_id"))
-    first = F.min(F.when(match, F.col("rank")))
-    out = own.groupBy("name").agg(F.first(F.size("expected") > 0).alias("configured"), first.alias("first"), F.count("document_id").alias("result_count"))
+    own = results.join(cases, "name", "left").select("name", "rank", "document_id", F.array_contains("expected", F.col("document_id")).alias("expected"))
+    return matched_metrics(own, cases.select("name", (F.size("expected") > 0).alias("configured")))
+
+
+def matched_metrics(results: DataFrame, cases: DataFrame) -> DataFrame:
+    """The same from ``name, rank, document_id, expected boolean`` and ``name, configured boolean``."""
+    found = results.groupBy("name").agg(F.min(F.when(F.col("expected"), F.col("rank"))).alias("first"), F.count("document_id").alias("result_count"))
+    own = cases.join(found, "name", "left").withColumn("result_count", F.coalesce("result_count", F.lit(0).cast("long")))
     value = lambda c: F.when(F.col("configured"), F.coalesce(c, F.lit(0)).cast("double"))
-    return out.select("name", "result_count", value((F.col("first") <= 1).cast("int")).alias("hit1"), value((F.col("first") <= 3).cast("int")).alias("hit3"), value(F.col("first").isNotNull().cast("int")).alias("hit"), value(1 / F.col("first")).alias("mrr"))
+    return own.select("name", "result_count", value((F.col("first") <= 1).cast("int")).alias("hit1"), value((F.col("first") <= 3).cast("int")).alias("hit3"), value(F.col("first").isNotNull().cast("int")).alias("hit"), value(1 / F.col("first")).alias("mrr"))
 
 
 def gate(metrics: DataFrame, least: float = 1.0) -> DataFrame:

@@ -7,6 +7,7 @@ of a contiguous stretch of the content's trigrams, as float32.
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.constants import TRIGRAM_THRESHOLD
+from lodestone.shared import shared_dir, stored
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -63,80 +65,125 @@ def word_similarity(query: set[str], content: list[str], before: np.ndarray | No
     return float(np.float32(best))
 
 
-def search(queries: DataFrame, chunks: DataFrame, k: int, block: int = 1024) -> DataFrame:
-    """``query_id, id, score, rank``: the k best contents per query at or above the trigram threshold.
+class TrigramIndex:
+    """Postings of contents: which contents have a trigram, in a written table.
 
-    A content is scored only if it has at least three tenths of the query's trigrams, which
-    the threshold implies.  Queries (bounded, collected in blocks) without a trigram find nothing.
+    A content scores at or above the threshold only if it has at least three tenths of the
+    query's trigrams.  Of a query with that need of t trigrams, the t / 2 most frequent are not
+    looked up: contents that have at least t - t / 2 of the others are candidates, so work follows
+    the postings of rarer trigrams.  The candidates' contents are then counted and scored exactly.
+    Postings of a frequent trigram are dealt out in parts of PART.
     """
-    queries = queries.where("query <> ''").select(F.col("query_id").cast("long").alias("query_id"), "query").orderBy("query_id")
-    found = None
-    chunks = chunks.select(F.col("id").cast("long"), "content").repartition(chunks.sparkSession.sparkContext.defaultParallelism)  # scoring outweighs the scan
-    for at in range(0, max(1, queries.count()), block):
-        rows = [(r.query_id, frozenset(trigrams(r.query))) for r in queries.offset(at).limit(block).collect()]
-        part = chunks.mapInArrow(_searcher([x for x in rows if x[1]], k), "query_id long, id long, score double")
-        found = part if found is None else found.unionByName(part)
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
-def _overlaps(rows: list[tuple[int, frozenset]]):
-    """Candidates of a content: queries with enough common trigrams, counted through an inverted index of the queries."""
-    index: dict[str, list[int]] = {}
-    for j, (_, grams) in enumerate(rows):
-        for g in grams:
-            index.setdefault(g, []).append(j)
-    posting = {g: np.array(js) for g, js in index.items()}
-    sizes = np.array([len(g) for _, g in rows])
-
-    def count(content: set[str]) -> tuple[np.ndarray, np.ndarray]:
-        hits = [posting[g] for g in content if g in posting]
-        common = np.bincount(np.concatenate(hits), minlength=len(rows)) if hits else np.zeros(len(rows), dtype=np.int64)
-        return common, np.flatnonzero((10 * common >= 3 * sizes) & (common > 0))
-
-    return count
-
-
-def _searcher(rows: list[tuple[int, frozenset]], k: int):
+
+    PART, TOGETHER = 65_536, 256
+
+    def __init__(self, chunks: DataFrame) -> None:
+        self.spark, self.out = chunks.sparkSession, shared_dir(chunks.sparkSession, "trigram-index")
+        self.contents = stored(chunks.select(F.col("id").cast("long").alias("id"), "content"), f"{self.out}/contents")
+        raw = stored(_grams(self.contents, "id", "content").select("id", F.explode("grams").alias("gram")), f"{self.out}/grams")
+        counts = raw.groupBy("gram").agg(F.count("*").alias("df"))
+        self.counts = stored(counts.withColumn("parts", F.ceil(F.col("df") / self.PART).cast("int")), f"{self.out}/counts")
+        self.postings = raw
+
+    def candidates(self, queries: DataFrame) -> DataFrame:
+        """``query_id, id`` of the pairs that can have enough trigrams in common; every pair that has them is there."""
+        asked = _grams(queries.where("query <> ''").select(F.col("query_id").cast("long").alias("query_id"), "query"), "query_id", "query")
+        grams = asked.select("query_id", F.size("grams").alias("size"), F.explode("grams").alias("gram")).join(self.counts, "gram", "left")
+        need = F.ceil(F.col("size") * 3 / 10)
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("df").desc_nulls_last(), "gram"))
+        rare = grams.withColumn("need", need).withColumn("place", place).where((F.col("place") > F.floor(F.col("need") / 2)) & F.col("df").isNotNull())
+        rare = rare.select("query_id", "gram", "parts", (F.col("need") - F.floor(F.col("need") / 2)).alias("least"))
+        many = self.counts.where("parts > 1").select("gram", "parts")  # at most a PARTth of all postings
+        dealt = self.postings.join(F.broadcast(many) if many.count() < 10_000 else many, "gram", "left")
+        dealt = dealt.select("gram", "id", F.coalesce(F.pmod(F.xxhash64("id"), F.col("parts")), F.lit(0)).cast("int").alias("part"))
+        wanted = rare.select("query_id", "gram", "least", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        met = wanted.join(dealt, ["gram", "part"]).groupBy("query_id", "id").agg(F.count("*").alias("n"), F.first("least").alias("least"))
+        return met.where("n >= least").select("query_id", "id")
+
+    def _pairs(self, queries: DataFrame) -> DataFrame:
+        """``id, content, asked``: a content with up to TOGETHER or so of its queries, an array of (query_id, query)."""
+        pairs = stored(self.candidates(queries), f"{shared_dir(self.spark, 'trigram-pairs')}/candidates")
+        load = pairs.groupBy("id").agg(F.ceil(F.count("*") / self.TOGETHER).cast("int").alias("parts"))
+        texts = queries.select(F.col("query_id").cast("long").alias("query_id"), "query")
+        own = pairs.join(load, "id").withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("parts"))).join(texts, "query_id")
+        asked = own.groupBy("id", "part").agg(F.collect_list(F.struct("query_id", "query")).alias("asked"))
+        return asked.join(self.contents, "id").select("id", "content", "asked")
+
+    def overlap(self, queries: DataFrame) -> DataFrame:
+        """``query_id, id, common, query_size`` of the pairs with at least three tenths of the query's trigrams in common."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = []
+                for own, _, grams, asked in _asked(batch):
+                    present = set(grams)
+                    for query_id, query in asked:
+                        common = len(present & query)
+                        if 10 * common >= 3 * len(query) and common:
+                            out.append((query_id, own, common, len(query)))
+                columns = list(zip(*out, strict=True)) or [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "id", "common", "query_size"])
+
+        return self._pairs(queries).mapInArrow(run, "query_id long, id long, common long, query_size long")
+
+    def search(self, queries: DataFrame, k: int) -> DataFrame:
+        """``query_id, id, score, rank``: the k best contents per query at or above the trigram threshold."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            least: dict[int, list[float]] = {}  # the k best scores of the task's queries so far
+            for batch in batches:
+                out = []
+                if len(least) > 100_000:
+                    least.clear()
+                for own, _, grams, asked in _asked(batch):
+                    present, before = set(grams), None
+                    for query_id, query in asked:
+                        common, top = len(present & query), least.get(query_id, ())
+                        bound = max(TRIGRAM_THRESHOLD, top[0] if len(top) == k else 0.0)
+                        if not common or common / len(query) < bound - 1e-6:  # no stretch can do better
+                            continue
+                        before = previous(grams) if before is None else before
+                        score = word_similarity(query, grams, before)
+                        if score >= bound:
+                            out.append((query_id, own, score))
+                            top = least.setdefault(query_id, [])
+                            (heapq.heappush if len(top) < k else heapq.heappushpop)(top, score)
+                columns = list(zip(*out, strict=True)) or [()] * 3
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], ["query_id", "id", "score"])
+
+        found = self._pairs(queries).mapInArrow(run, "query_id long, id long, score double")
+        order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
+        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _grams(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """``key`` and ``grams``, the distinct trigrams of the text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = _overlaps(rows)
-        best: dict[int, list[tuple[float, int]]] = {}
-        least: dict[int, float] = {}  # the k-th best score so far
         for batch in batches:
-            for own, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                grams = trigrams(content or "")
-                before = previous(grams)
-                common, passed = count(set(grams))
-                for j in passed:
-                    if common[j] / len(rows[j][1]) < least.get(int(j), TRIGRAM_THRESHOLD) - 1e-6:  # no stretch can do better
-                        continue
-                    score = word_similarity(rows[j][1], grams, before)
-                    if score >= TRIGRAM_THRESHOLD:
-                        best.setdefault(int(j), []).append((-score, own))
-            for j, found in best.items():
-                if len(found) >= k:
-                    best[j] = sorted(found)[:k]
-                    least[j] = -best[j][-1][0]
-        out = [(rows[j][0], own, -s) for j, found in sorted(best.items()) for s, own in found]
-        columns = list(zip(*out, strict=True)) or [()] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], ["query_id", "id", "score"])
-
-    return run
+            grams = [list(dict.fromkeys(trigrams(t or ""))) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(grams, pa.list_(pa.string()))], [key, "grams"])
+
+    return rows.select(key, text).mapInArrow(run, f"{key} long, grams array<string>")
+
+
+def _asked(batch: pa.RecordBatch) -> Iterator[tuple[int, str, list[str], list[tuple[int, frozenset]]]]:
+    """Id, content and trigrams of each row with its queries' trigram sets; sets of a batch are made once."""
+    known: dict[int, frozenset] = {}
+    for own, content, asked in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+        queries = []
+        for q in asked:
+            if q["query_id"] not in known:
+                known[q["query_id"]] = frozenset(trigrams(q["query"]))
+            queries.append((q["query_id"], known[q["query_id"]]))
+        yield own, content, trigrams(content or ""), queries
+
+
+def search(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """``query_id, id, score, rank``: the k best contents per query at or above the trigram threshold, through an index of ``chunks`` made for it."""
+    return TrigramIndex(chunks).search(queries, k)
 
 
 def overlap(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """``query_id, id, common, query_size`` of the pairs that pass the lossless prefilter."""
-    rows = [(r.query_id, frozenset(trigrams(r.query))) for r in queries.select("query_id", "query").where("query <> ''").collect()]
-    rows = [x for x in rows if x[1]]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = _overlaps(rows)
-        for batch in batches:
-            out = []
-            for own, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                common, passed = count(set(trigrams(content or "")))
-                out.extend((rows[j][0], own, int(common[j]), len(rows[j][1])) for j in passed)
-            columns = list(zip(*out, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "id", "common", "query_size"])
-
-    return chunks.select(F.col("id").cast("long"), "content").mapInArrow(run, "query_id long, id long, common long, query_size long")
+    return TrigramIndex(chunks).overlap(queries)

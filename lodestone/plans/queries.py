@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from lodestone.constants import KEYWORD_ADMISSION, VECTOR_ADMISSION, candidate_k
 from lodestone.functions import text
-from lodestone.operators import context, fusion, lifecycle, metrics, trigram, vector, workflow
+from lodestone.operators import context, fusion, judge, lifecycle, metrics, traces, trigram, vector, workflow
 from lodestone.plans import tables
 from lodestone.plans.retrieve import retrieve
-from lodestone.sources import chunkers, files
-from lodestone.streaming import folds, ingest
+from lodestone.shared import shared_dir, stored
+from lodestone.sources import chunkers, files, formats
+from lodestone.streaming import folds, ingest, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -62,36 +63,60 @@ def vector_topk(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT a.vec_id AS query_id, b.vec_id AS id, round({SQL_COS}, 6) AS score, CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY {SQL_COS} DESC, b.vec_id) AS INTEGER) AS rank FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 QUALIFY rank <= 10")
 def vector_topk_multi_query(spark: SparkSession, d: str) -> DataFrame:
-    return vector.top_k(_asked(spark, d), _vectors(spark, d), 10, 64).withColumn("score", F.round("score", 6))
+    """Through the pivot index."""
+    return vector.PivotIndex(_vectors(spark, d), 64).search(_asked(spark, d), 10).withColumn("score", F.round("score", 6))
 
 
 @query(f"""WITH s AS (SELECT a.vec_id AS query_id, b.label AS model, b.vec_id AS id, {SQL_COS} AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0),
 g AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id, model ORDER BY score DESC, id) <= 20)
 SELECT query_id, model, id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM g QUALIFY rank <= 20""")
 def vector_topk_grouped_merge(spark: SparkSession, d: str) -> DataFrame:
-    """Candidates of each embedding model (label), merged and cut again."""
-    own, asked, cut = _vectors(spark, d), _asked(spark, d), candidate_k(5)
-    models = [r.label for r in own.select("label").distinct().orderBy("label").collect()]
-    parts = [vector.top_k(asked, own.where(F.col("label") == m), cut, 64).withColumn("model", F.lit(m)) for m in models]
-    both = parts[0]
-    for p in parts[1:]:
-        both = both.unionByName(p)
+    """Candidates of each embedding model (label) in one pass, merged and cut again."""
+    cut = candidate_k(5)
+    both = vector.top_k(_asked(spark, d).drop("label"), _vectors(spark, d), cut, 64, "label").withColumn("model", F.col("group").cast("int"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     merged = both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cut)
     return merged.select("query_id", "model", "id", F.round("score", 6).alias("score"), "rank")
 
 
+SQL_MIRRORED = "list_cosine_similarity(CAST(CASE WHEN b.label % 2 = 0 THEN a.embedding ELSE list_reverse(a.embedding) END AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
+
+
+@query(f"""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS id, b.label % 2 AS model, {SQL_MIRRORED} AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND b.label NOT IN (3, 6)),
+g AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id, model ORDER BY score DESC, id) <= 20)
+SELECT query_id, id, CASE model WHEN 0 THEN 'even' ELSE 'odd' END AS model, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM g QUALIFY rank <= 20""")
+def vector_in_selected_bases(spark: SparkSession, d: str) -> DataFrame:
+    """Bases (labels) of two models, base 3 not active and 6 not selected; each model has its own vector of a query (that of the odd ones is turned around)."""
+    bases = _label_bases(spark, d).where("active").where("kb <> 6").select("kb", "model")
+    shown = _vectors(spark, d).join(bases, F.col("label") == F.col("kb"))
+    cut = candidate_k(5)
+    found = vector.top_k(_by_model(spark, d).withColumnRenamed("model", "group"), shown, cut, 64, "model")
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
+    merged = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cut)
+    return merged.select("query_id", "id", F.col("group").alias("model"), F.round("score", 6).alias("score"), "rank")
+
+
+def _label_bases(spark: SparkSession, d: str) -> DataFrame:
+    return _vectors(spark, d).select(F.col("label").alias("kb")).distinct().select("kb", F.when(F.col("kb") % 2 == 0, "even").otherwise("odd").alias("model"), (F.col("kb") != 3).alias("active"))
+
+
+def _by_model(spark: SparkSession, d: str) -> DataFrame:
+    """The query vectors as each model gives them."""
+    own = _asked(spark, d).select("query_id", "embedding")
+    return own.select("query_id", F.lit("even").alias("model"), "embedding").unionByName(own.select("query_id", F.lit("odd").alias("model"), F.reverse("embedding").alias("embedding")))
+
+
 @query(f"SELECT a.vec_id AS query_id, b.vec_id AS id, round({SQL_COS}, 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY {SQL_COS} DESC, b.vec_id) <= 20 AND {SQL_COS} >= {VECTOR_ADMISSION}")
 def vector_admission_filter(spark: SparkSession, d: str) -> DataFrame:
-    found = vector.top_k(_asked(spark, d), _vectors(spark, d), 20, 64)
+    found = vector.PivotIndex(_vectors(spark, d), 64).search(_asked(spark, d), 20)
     return found.where(fusion.admitted(F.col("score"), F.lit(None).cast("double"))).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 def _two_paths(spark: SparkSession, d: str) -> DataFrame:
     """Vector candidates, and as second path the vectors of the query's label by id, scored 1 / (1 + n)."""
     v = vector.top_k(_asked(spark, d), _vectors(spark, d), 20, 64)
-    order = Window.partitionBy("query_id").orderBy("id")
-    k = _asked(spark, d).select("query_id", "label").join(_vectors(spark, d).select("id", "label"), "label").withColumn("pos", F.row_number().over(order)).where("pos <= 20")
+    first = _vectors(spark, d).select("id", "label").withColumn("pos", F.row_number().over(Window.partitionBy("label").orderBy("id"))).where("pos <= 20")
+    k = _asked(spark, d).select("query_id", "label").join(first, "label")
     k = k.select("query_id", F.lit("keyword").alias("path"), "id", "pos", (1 / (1 + F.col("pos"))).alias("score"))
     return v.select("query_id", F.lit("vector").alias("path"), "id", F.col("rank").alias("pos"), "score").unionByName(k)
 
@@ -148,9 +173,10 @@ def keyword_word_similarity_topk(spark: SparkSession, d: str) -> DataFrame:
 def hybrid_retrieve(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: every benchmark item against all chunks, top 5 with neighbours."""
     embed = ingest.trigram_embedding(64)
-    pieces = tables.chunks(spark, d).repartition(spark.sparkContext.defaultParallelism)
-    chunks = ingest.embed_chunks(pieces, embed)
-    asked = ingest.embed_chunks(_questions(spark, d), embed, "query")
+    out = shared_dir(spark, "hybrid")
+    pieces = tables.chunks(spark, d).repartition(spark.sparkContext.defaultParallelism)  # a page of text outweighs its bytes here
+    chunks = stored(ingest.embed_chunks(pieces, embed), f"{out}/chunks")  # embedded once, read by column afterwards
+    asked = stored(ingest.embed_chunks(_questions(spark, d), embed, "query"), f"{out}/asked")
     return retrieve(asked, chunks, 5, 64).select("query_id", "pos", "id", "neighbor_of", F.round("score", 6).alias("score"), "document_id", "chunk_index")
 
 
@@ -249,8 +275,12 @@ def dedup_suppressed_count(spark: SparkSession, d: str) -> DataFrame:
 
 def _anchors(spark: SparkSession, d: str) -> DataFrame:
     """Results of the query vectors: of the document at rank r (a vector stands for the document of its number) chunk r - 1, where it has one."""
+    return _anchors_in(spark, d, tables.chunks(spark, d))
+
+
+def _anchors_in(spark: SparkSession, d: str, chunks: DataFrame) -> DataFrame:
     found = vector.top_k(_asked(spark, d), _vectors(spark, d), 20, 64).withColumnRenamed("id", "document_id")
-    return found.withColumn("chunk_index", F.col("rank") - 1).join(tables.chunks(spark, d), ["document_id", "chunk_index"])
+    return found.withColumn("chunk_index", F.col("rank") - 1).join(chunks, ["document_id", "chunk_index"])
 
 
 SQL_ANCHORS = f"""{SQL_CHUNKS}, found AS (SELECT a.vec_id AS query_id, b.vec_id AS document_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY {SQL_COS} DESC, b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 QUALIFY rank <= 20),
@@ -270,7 +300,9 @@ p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY tier, rank, si
 u AS (SELECT * FROM p QUALIFY key = '' OR row_number() OVER (PARTITION BY query_id, key ORDER BY pos) = 1)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY pos) AS INTEGER) AS pos, id, neighbor_of FROM u""")
 def neighbor_window(spark: SparkSession, d: str) -> DataFrame:
-    return fusion.with_neighbors(_anchors(spark, d), tables.chunks(spark, d)).select("query_id", "pos", "id", "neighbor_of")
+    chunks = tables.stored_chunks(spark, d)
+    anchors = stored(_anchors_in(spark, d, chunks), f"{shared_dir(spark, 'neighbors')}/anchors")
+    return fusion.with_neighbors(anchors, chunks).select("query_id", "pos", "id", "neighbor_of")
 
 
 # ---- conversations and context
@@ -405,12 +437,11 @@ def encrypt_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 def _cases(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Per query vector: expected are the vectors of its label (none for label 0); results the ten nearest."""
-    own = _vectors(spark, d)
-    asked = _asked(spark, d)
-    same = own.where("label <> 0").groupBy("label").agg(F.collect_list("id").alias("expected"))
-    cases = asked.join(same, "label", "left").select(F.col("query_id").alias("name"), F.coalesce("expected", F.array().cast("array<bigint>")).alias("expected"))
-    found = vector.top_k(asked, own, 10, 64).where("id <> query_id").select(F.col("query_id").alias("name"), "rank", F.col("id").alias("document_id"))
-    return found, cases
+    own, asked = _vectors(spark, d), _asked(spark, d)
+    cases = asked.select(F.col("query_id").alias("name"), (F.col("label") != 0).alias("configured"), F.col("label").alias("wanted"))
+    found = vector.top_k(asked, own, 10, 64).where("id <> query_id").join(own.select("id", "label"), "id").select(F.col("query_id").alias("name"), "rank", F.col("id").alias("document_id"), "label")
+    found = found.join(cases.select("name", "wanted"), "name").select("name", "rank", "document_id", (F.col("label") == F.col("wanted")).alias("expected"))
+    return found, cases.drop("wanted")
 
 
 SQL_CASES = f"""r AS (SELECT a.vec_id AS name, a.label AS own, b.vec_id AS id, b.label, row_number() OVER (PARTITION BY a.vec_id ORDER BY {SQL_COS} DESC, b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 QUALIFY rank <= 10),
@@ -420,7 +451,7 @@ metrics AS (SELECT name, result_count, CASE WHEN configured THEN coalesce(first
 
 @query(f"WITH {SQL_CASES} SELECT name, result_count, hit1, hit3, hit, round(mrr, 9) AS mrr FROM metrics")
 def eval_case_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.case_metrics(*_cases(spark, d)).withColumn("mrr", F.round("mrr", 9))
+    return metrics.matched_metrics(*_cases(spark, d)).withColumn("mrr", F.round("mrr", 9))
 
 
 SQL_DUPLICATES = f"""dup AS (SELECT name, sum(n - 1) AS duplicates FROM (SELECT name, key, count(*) AS n FROM (SELECT name, {SQL_KEY.format("coalesce(text, '')")} AS key FROM r JOIN documents ON doc_id = id WHERE id <> name) WHERE key <> '' GROUP BY name, key) GROUP BY name)"""
@@ -433,7 +464,7 @@ def eval_gate(spark: SparkSession, d: str) -> DataFrame:
     found, cases = _cases(spark, d)
     texts = tables.load(spark, d, "documents").select(F.col("doc_id").alias("document_id"), F.col("text").alias("content"))
     counted = fusion.suppressed(found.join(texts, "document_id"), ["name"]).withColumnRenamed("suppressed", "duplicates")
-    own = metrics.case_metrics(found, cases).join(counted, "name", "left").fillna(0, ["duplicates"])
+    own = metrics.matched_metrics(found, cases).join(counted, "name", "left").fillna(0, ["duplicates"])
     return metrics.gate(own).select(*(F.round(c, 9).alias(c) for c in ("hit1", "hit3", "mrr", "unique_rate")), "passed")
 
 
@@ -685,16 +716,42 @@ def workflow_reachability(spark: SparkSession, d: str) -> DataFrame:
     return workflow.reachable(edges, "1")
 
 
-@query("SELECT * FROM (VALUES ('linear', 'ok'), ('empty', 'empty_definition'), ('dangling', 'dangling_edge'), ('cycle', 'cycle_detected'), ('dead', 'dead_end')) t(name, code)")
+def _definitions(spark: SparkSession, d: str) -> DataFrame:
+    """A definition an order, of its lines as steps; by the order's key it is right or has one fault."""
+    lines = tables.load(spark, d, "lineitem").select(F.col("l_orderkey").alias("name")).groupBy("name").agg(F.count("*").alias("n"))
+    own = lines.withColumn("fault", F.col("name") % 8).withColumn("seq", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") + 1)))
+    own = own.where("fault <> 6 or seq > 0")  # no start
+    first, last = F.col("seq") == 0, F.col("seq") == F.col("n") + 1
+    step = lambda k: F.concat(F.lit("s"), k.cast("string"))
+    follow = F.when(last, F.when(F.col("fault") == 1, "s0").otherwise("")).when((F.col("fault") == 2) & (F.col("seq") == F.col("n")), "nowhere").when((F.col("fault") == 3) & (F.col("seq") == F.col("n")), "s1").when((F.col("fault") == 4) & (F.col("seq") == F.col("n")), "").when((F.col("fault") == 5) & first, step(F.col("n") + 1)).otherwise(step(F.col("seq") + 1))
+    kind = F.when(first, "start").when(last, "end").otherwise("llm_call")
+    none = F.lit("")
+    steps = own.select("name", "seq", F.when((F.col("fault") == 7) & last, "s1").otherwise(step(F.col("seq"))).alias("id"), kind.alias("type"), F.create_map(F.lit("prompt"), F.lit("{{.Prev}}")).alias("config"), follow.alias("next"), none.alias("next_if_true"), none.alias("next_if_false"))
+    return workflow.definitions_of(steps)
+
+
+@query("""SELECT CAST(l_orderkey AS VARCHAR) AS name, CASE l_orderkey % 8 WHEN 1 THEN 'end_has_outgoing' WHEN 2 THEN 'dangling_edge' WHEN 3 THEN 'cycle_detected' WHEN 4 THEN 'dead_end' WHEN 5 THEN 'unreachable_step' WHEN 6 THEN 'missing_start_step' WHEN 7 THEN 'duplicate_step_id' ELSE 'ok' END AS code FROM lineitem GROUP BY l_orderkey""")
 def workflow_validate(spark: SparkSession, d: str) -> DataFrame:
-    step = workflow.Step
-    return workflow.validity(spark, {
-        "linear": [step("a", "start", next="b"), step("b", "end")],
-        "empty": [],
-        "dangling": [step("a", "start", next="x")],
-        "cycle": [step("a", "start", next="b"), step("b", "llm_call", next="c"), step("c", "llm_call", next="b")],
-        "dead": [step("a", "start", next="b"), step("b", "llm_call")],
-    })
+    """Every order's definition, judged where its row lies."""
+    return workflow.validity(_definitions(spark, d))
+
+
+@query("""SELECT conv_id || '-' || turn AS run, CASE WHEN role = 'tool' THEN 'failed' ELSE 'succeeded' END AS status,
+CASE WHEN role = 'tool' THEN '' WHEN role = 'user' AND turn <> 2 THEN '<' || upper(role || ':' || turn) || '>' ELSE 'false' END AS output,
+CASE WHEN role = 'tool' THEN 's0=succeeded,s1=failed' WHEN role = 'user' AND turn <> 2 THEN 's0=succeeded,s1=succeeded,s2=succeeded,s3=succeeded' ELSE 's0=succeeded,s1=succeeded,s3=succeeded' END AS log FROM conversations""")
+def workflow_runs(spark: SparkSession, d: str) -> DataFrame:
+    """A conditional workflow run for every message; a tool's message has a condition that is no truth value and fails."""
+    rows = tables.messages(spark, d).select(F.concat_ws("-", "conv_id", "turn").alias("run"), F.concat_ws(":", "role", "turn").alias("given"), "role")
+    test = F.when(F.col("role") == "tool", '"no" + "truth"').otherwise('input startsWith "user" && !(input endsWith ":2")')
+    steps = [
+        F.struct(F.lit("s0").alias("id"), F.lit("start").alias("type"), F.lit("s1").alias("next")),
+        F.struct(F.lit("s1").alias("id"), F.lit("conditional").alias("type"), F.struct(test.alias("expression")).alias("config"), F.lit("s2").alias("next_if_true"), F.lit("s3").alias("next_if_false")),
+        F.struct(F.lit("s2").alias("id"), F.lit("llm_call").alias("type"), F.struct(F.lit("{{.Input}}").alias("prompt")).alias("config"), F.lit("s3").alias("next")),
+        F.struct(F.lit("s3").alias("id"), F.lit("end").alias("type")),
+    ]
+    definition = F.concat(F.lit('{"steps":['), F.concat_ws(",", *(F.to_json(x) for x in steps)), F.lit("]}"))
+    done = workflow.runs(rows.select("run", definition.alias("definition"), "given"), {"llm_call": lambda config, prev: f"<{config['prompt'].upper()}>"})
+    return done.select("run", "status", "output", F.array_join(F.transform("steps", lambda x: F.concat(x["step"], F.lit("="), x["status"])), ",").alias("log"))
 
 
 @query("SELECT conv_id, turn, 'In: ' || coalesce(text, '') || ' | by ' || role || ' #' || turn AS rendered FROM conversations")
@@ -708,3 +765,182 @@ def conditional_branch(spark: SparkSession, d: str) -> DataFrame:
     """A condition as a column: the branch each row takes."""
     taken = (F.col("role") == "user") & (F.col("turn") != 2)
     return tables.messages(spark, d).select("conv_id", "turn", F.when(taken, "true_branch").otherwise("false_branch").alias("branch"))
+
+
+# ---- chunk store, document states, breakers, spans, judge, files
+
+
+def _two_versions(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as version 1, those of even number in a second version as well, without their first 100 characters."""
+    docs = tables.load(spark, d, "documents").select(F.col("doc_id").alias("document_id"), F.lit("txt").alias("file_type"), F.coalesce("text", F.lit("")).alias("text"), F.lit(None).cast("int").alias("page_number"))
+    second = docs.where("document_id % 2 = 0").withColumn("text", F.substring("text", 101, 1_000_000_000)).withColumn("version", F.lit(2).cast("long"))
+    return docs.withColumn("version", F.lit(1).cast("long")).unionByName(second)
+
+
+def _windows(rows: DataFrame) -> DataFrame:
+    """Fixed windows of 500 with 50 carried over."""
+    own = rows.select("document_id", "document_version", "page_number", F.posexplode(text.fixed_windows(F.col("text"), 500, 50)).alias("chunk_index", "content"))
+    return own.withColumn("section_title", F.lit(None).cast("string"))
+
+
+SQL_VERSIONS = SQL_CHUNKS.replace("lang AS kb, ", "").replace("source AS document_name", "version").replace("doc_id, lang, source, unnest", "doc_id, version, unnest").replace("SELECT doc_id, lang, source, list_filter", "SELECT doc_id, version, list_filter").replace("FROM documents)))", "FROM docs)))")
+SQL_DOCS = "docs AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END AS version, CASE WHEN doc_id % 2 = 0 THEN substr(coalesce(text, ''), 101) ELSE coalesce(text, '') END AS text FROM documents)"
+
+
+@query(f"""WITH {SQL_DOCS}, {SQL_VERSIONS}, n AS (SELECT document_id, count(*) AS n, bool_or(content LIKE '%@%') AS refused FROM chunks GROUP BY document_id)
+SELECT doc_id AS document_id, version AS document_version, CASE WHEN n IS NULL OR refused THEN 'failed' ELSE 'ready' END AS status, CASE WHEN n IS NULL THEN 'no chunk' WHEN refused THEN 'model: refused' END AS reason, CASE WHEN refused THEN 0 ELSE coalesce(n, 0) END AS chunk_count FROM docs LEFT JOIN n ON document_id = doc_id
+UNION ALL SELECT doc_id, 1, 'superseded', NULL, 0 FROM documents WHERE doc_id % 2 = 0""")
+def ingest_states(spark: SparkSession, d: str) -> DataFrame:
+    """States after a batch with two versions of documents and a model that refuses texts with an address."""
+    return _ingested(spark, d).documents().select("document_id", F.col("document_version").cast("int").alias("document_version"), "status", "reason", "chunk_count")
+
+
+@query(f"""WITH {SQL_DOCS}, {SQL_VERSIONS}, good AS (SELECT document_id FROM chunks GROUP BY document_id HAVING NOT bool_or(content LIKE '%@%'))
+SELECT document_id, CAST(version AS BIGINT) AS document_version, chunk_index, content FROM chunks JOIN good USING (document_id)""")
+def ingest_visible(spark: SparkSession, d: str) -> DataFrame:
+    """What readers see after the same batch, given twice."""
+    return _ingested(spark, d).visible().select("document_id", "document_version", "chunk_index", "content")
+
+
+def _ingested(spark: SparkSession, d: str) -> store.ChunkStore:
+    embed = ingest.trigram_embedding(8)
+
+    def picky(texts: list[str]) -> list[list[float]]:
+        if any("@" in t for t in texts):
+            raise ValueError("refused")
+        return embed(texts)
+
+    own = store.ChunkStore(spark, f"{shared_dir(spark, 'chunk-store')}/store")
+    for _ in range(2):
+        own.ingest(_two_versions(spark, d), picky, "first", _windows)
+    return own
+
+
+def _document_events(spark: SparkSession, d: str) -> DataFrame:
+    names = F.array(*(F.lit(x) for x in folds.DocumentStates.UPDATES))
+    own = tables.load(spark, d, "events").where("user_id is not null and ts is not null")
+    kind = F.element_at(names, (F.col("event_id") * 5 % 9 + 1).cast("int"))
+    return own.select(F.col("user_id").alias("id"), "event_id", folds.micros("ts").alias("at"), kind.alias("event"), F.when(F.col("event_id") % 7 == 0, F.lit(1).cast("long")).alias("version"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id AS id, event_id, ts, ['claim', 'renew_processing', 'publishing', 'renew_publishing', 'ready', 'fail', 'retry', 'reclaim', 'recover'][event_id * 5 % 9 + 1] AS event, CASE WHEN event_id % 7 = 0 THEN 1 END AS asked, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+w(id, event_id, n, applied, status, version, lease) AS (
+  SELECT DISTINCT id, -1::BIGINT, 0::BIGINT, false, 'pending', 1::BIGINT, NULL::TIMESTAMP FROM e
+  UNION ALL
+  SELECT id, event_id, n, ok, CASE WHEN ok THEN CASE event WHEN 'claim' THEN 'processing' WHEN 'publishing' THEN 'publishing' WHEN 'ready' THEN 'ready' WHEN 'fail' THEN 'failed' WHEN 'retry' THEN 'pending' WHEN 'reclaim' THEN 'pending' ELSE status END ELSE status END,
+         CASE WHEN ok AND event IN ('retry', 'reclaim') THEN version + 1 ELSE version END,
+         CASE WHEN NOT ok THEN lease WHEN event IN ('ready', 'fail', 'retry', 'reclaim') THEN NULL ELSE ts + INTERVAL 600 MINUTE END
+  FROM (SELECT e.id, e.event_id, e.n, e.ts, e.event, w.status, w.version, w.lease,
+               coalesce(e.asked, w.version) = w.version AND CASE e.event WHEN 'claim' THEN w.status IN ('pending', 'failed') WHEN 'retry' THEN w.status IN ('pending', 'failed')
+                 WHEN 'reclaim' THEN w.status = 'processing' AND coalesce(w.lease < e.ts, false) WHEN 'recover' THEN w.status = 'publishing' AND coalesce(w.lease < e.ts, false)
+                 WHEN 'ready' THEN w.status = 'publishing' WHEN 'renew_publishing' THEN w.status = 'publishing' ELSE w.status = 'processing' END AS ok
+        FROM w JOIN e ON e.id = w.id AND e.n = w.n + 1))
+SELECT id, event_id, applied, status, version, lease FROM w WHERE n > 0""")
+def document_states(spark: SparkSession, d: str) -> DataFrame:
+    """All updates of documents in order, with the lease (ten hours, as events are that far apart)."""
+    done = folds.fold_rows(_document_events(spark, d), "id", ["at", "event_id"], folds.DocumentStates(600))
+    return done.select("id", "event_id", "applied", "status", "version", F.timestamp_micros("lease").cast(tables.load(spark, d, "events").schema["ts"].dataType).alias("lease"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id AS key, event_id, ts, value > 20 AS failed, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+w(key, event_id, n, shown, allowed, status, failures, opened) AS (
+  SELECT DISTINCT key, -1::BIGINT, 0::BIGINT, '', false, 'closed', 0::BIGINT, NULL::TIMESTAMP FROM e
+  UNION ALL
+  SELECT key, event_id, n, CASE WHEN turned THEN 'open' WHEN status = 'open' THEN 'half-open' ELSE 'closed' END, NOT turned,
+         CASE WHEN turned THEN 'open' WHEN failed AND (status = 'open' OR failures + 1 >= 5) THEN 'open' ELSE 'closed' END,
+         CASE WHEN turned THEN failures WHEN failed THEN failures + 1 ELSE 0 END,
+         CASE WHEN turned THEN opened WHEN failed AND (status = 'open' OR failures + 1 >= 5) THEN ts END
+  FROM (SELECT e.key, e.event_id, e.n, e.ts, coalesce(e.failed, false) AS failed, w.status, w.failures, w.opened, w.status = 'open' AND e.ts <= w.opened + INTERVAL 12 HOUR AS turned FROM w JOIN e ON e.key = w.key AND e.n = w.n + 1))
+SELECT key, event_id, shown AS status, allowed, failures FROM w WHERE n > 0""")
+def breaker_states(spark: SparkSession, d: str) -> DataFrame:
+    """Calls of users through a breaker that opens for twelve hours."""
+    calls = tables.load(spark, d, "events").where("user_id is not null and ts is not null").select(F.col("user_id").alias("key"), "event_id", folds.micros("ts").alias("at"), F.coalesce(F.col("value") > 20, F.lit(False)).alias("failed"))
+    return folds.fold_rows(calls, "key", ["at", "event_id"], folds.Breaker(seconds=12 * 3600)).drop("at")
+
+
+@query("""WITH RECURSIVE e AS (SELECT event_id AS id, user_id AS trace_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE user_id IS NOT NULL),
+s AS (SELECT e.id, e.trace_id, CASE WHEN e.n = 1 THEN NULL WHEN e.n = 7 THEN -1 WHEN e.n = 5 AND y.id IS NOT NULL THEN y.id ELSE p.id END AS parent_id
+      FROM e LEFT JOIN e p ON p.trace_id = e.trace_id AND p.n = e.n // 2 LEFT JOIN e y ON y.trace_id = e.trace_id AND y.n = 11),
+w(id, trace_id, status, depth, root_id, path) AS (
+  SELECT id, trace_id, CASE WHEN parent_id IS NULL THEN 'ok' ELSE 'orphan' END, 0, id, CAST(id AS VARCHAR) FROM s WHERE parent_id IS NULL OR NOT EXISTS (SELECT 1 FROM s p WHERE p.trace_id = s.trace_id AND p.id = s.parent_id)
+  UNION ALL SELECT s.id, s.trace_id, w.status, w.depth + 1, w.root_id, w.path || '/' || s.id FROM w JOIN s ON s.trace_id = w.trace_id AND s.parent_id = w.id)
+SELECT s.id, s.trace_id, coalesce(w.status, 'cycle') AS status, CAST(w.depth AS INTEGER) AS depth, w.root_id, w.path FROM s LEFT JOIN w USING (id, trace_id)""")
+def trace_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Spans of six levels and more: the n-th of a user's events lies below the n/2-th; the seventh has lost its parent, and the fifth is below the eleventh, which is below the fifth."""
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    own = tables.load(spark, d, "events").where("user_id is not null").select(F.col("event_id").alias("id"), F.col("user_id").alias("trace_id"), F.row_number().over(order).alias("n"))
+    ids = own.select("trace_id", F.col("n").alias("m"), F.col("id").alias("parent"))
+    above = own.withColumn("m", F.floor(F.col("n") / 2)).join(ids, ["trace_id", "m"], "left").drop("m")
+    eleventh = ids.where("m = 11").select("trace_id", F.col("parent").alias("eleventh"))
+    above = above.join(eleventh, "trace_id", "left")
+    parent = F.when(F.col("n") == 1, F.lit(None).cast("long")).when(F.col("n") == 7, -1).when((F.col("n") == 5) & F.col("eleventh").isNotNull(), F.col("eleventh")).otherwise(F.col("parent"))
+    done = traces.span_paths(above.select("id", "trace_id", parent.alias("parent_id")))
+    return done.select("id", "trace_id", "status", "depth", "root_id", F.array_join(F.transform("path", lambda x: x.cast("string")), "/").alias("path"))
+
+
+SQL_W = {k: v.replace("'", "''") for k, v in vars(judge.Wording()).items()}
+
+
+@query(f"""WITH c AS (SELECT conv_id AS name, list(coalesce(text, '') ORDER BY turn) FILTER (role = 'user') AS turns, string_agg(CASE WHEN role <> 'user' THEN coalesce(text, '') END, ' ' ORDER BY turn) AS reply FROM conversations GROUP BY conv_id),
+p AS (SELECT conv_id AS name, string_agg('- [' || role || '] t' || turn || ' status=ok' || chr(10), '' ORDER BY turn) AS steps FROM conversations WHERE role <> 'user' GROUP BY conv_id),
+t AS (SELECT name, reply, CASE WHEN coalesce(len(turns), 0) = 0 THEN ['none'] ELSE turns END AS turns FROM c)
+SELECT name, '{SQL_W["opening"]}' || chr(10) || chr(10) || CASE WHEN len(turns) = 1 THEN '{SQL_W["question"]}' || turns[1] || chr(10) || chr(10)
+  ELSE '{SQL_W["turns"]}' || chr(10) || array_to_string(list_transform(turns, lambda x, i: '{SQL_W["turn"]}' || i || CASE WHEN i = len(turns) THEN '{SQL_W["last"]}' ELSE '' END || ': ' || x || chr(10)), '') || chr(10) END
+  || '{SQL_W["rubric"]}be exact' || chr(10) || chr(10) || CASE WHEN name % 2 = 0 THEN '{SQL_W["expected"]}' || chr(10) || '- fact ' || name || chr(10) || '- more' || chr(10) || chr(10) ELSE '' END
+  || CASE WHEN name % 3 = 0 THEN '{SQL_W["forbidden"]}' || chr(10) || '- lie' || chr(10) || chr(10) ELSE '' END
+  || '{SQL_W["reply"]}' || coalesce(reply, '') || chr(10) || chr(10) || '{SQL_W["spans"]}' || chr(10) || coalesce(steps, '') AS prompt FROM t LEFT JOIN p USING (name)""")
+def judge_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """A case a conversation: its users' turns, what the others said as reply, and a span for each of these."""
+    own = tables.messages(spark, d).withColumn("name", F.col("conv_id"))
+    user = F.col("role") == "user"
+    listed = lambda test: F.transform(F.array_sort(F.collect_list(F.when(test, F.struct("turn", "content")))), lambda x: x["content"])
+    cases = own.groupBy("name").agg(listed(user).alias("turns"), F.array_join(listed(~user), " ").alias("reply"))
+    none = F.array().cast("array<string>")
+    cases = cases.select("name", F.lit("none").alias("prompt"), "turns", F.lit("be exact").alias("rubric"), "reply", F.when(F.col("name") % 2 == 0, F.array(F.concat(F.lit("fact "), F.col("name").cast("string")), F.lit("more"))).otherwise(none).alias("expected_facts"), F.when(F.col("name") % 3 == 0, F.array(F.lit("lie"))).otherwise(none).alias("forbidden_facts"))
+    spans = own.where(~user).select("name", F.col("turn").alias("started_at"), F.col("turn").alias("id"), F.col("role").alias("kind"), F.concat(F.lit("t"), F.col("turn").cast("string")).alias("label"), F.lit("ok").alias("status"), F.lit(" ").alias("input"), F.lit(None).cast("string").alias("output"))
+    return judge.prompts(cases.drop("reply"), cases.select("name", "reply"), spans)
+
+
+@query("""SELECT event_id AS name, CASE WHEN event_id % 6 IN (0, 1) THEN CAST(event_id % 5 + 1 AS INTEGER) END AS score, CASE WHEN event_id % 6 IN (0, 1) THEN coalesce(event_type, '') END AS reasoning,
+CASE event_id % 6 WHEN 2 THEN 'score out of range' WHEN 3 THEN 'no whole score' WHEN 4 THEN 'no JSON object' WHEN 5 THEN 'no JSON object' END AS problem FROM events""")
+def judge_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """Answers of a judge, plain and fenced, out of range, without a whole score, a list, and cut off."""
+    own = tables.load(spark, d, "events").select(F.col("event_id").alias("name"), (F.col("event_id") % 5 + 1).alias("n"), F.coalesce("event_type", F.lit("")).alias("why"))
+    good = F.to_json(F.struct(F.col("n").alias("score"), F.col("why").alias("reasoning")))
+    case = F.col("name") % 6
+    answer = F.when(case == 0, good).when(case == 1, F.concat(F.lit("```json\n"), good, F.lit("\n```\n"))).when(case == 2, F.to_json(F.struct((F.col("n") + 5).alias("score")))).when(case == 3, F.to_json(F.struct((F.col("n") / 7).alias("score")))).when(case == 4, F.concat(F.lit("["), good, F.lit("]"))).otherwise(F.substring(good, 1, 9))
+    return judge.verdicts(own.select("name", answer.alias("answer")))
+
+
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(0, len(string_split(coalesce(text, ''), chr(10))))) AS n FROM documents),
+w AS (SELECT doc_id, n, array_to_string(list_filter(string_split(line, ' '), lambda x: x <> ''), ' ') AS line FROM l)
+SELECT doc_id AS document_id, n // 20 + 1 AS page, string_agg(line, chr(10) ORDER BY n) FILTER (line <> '') AS text FROM w GROUP BY doc_id, n // 20""")
+def glyph_file_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Glyph layers written as files, words as glyphs with gaps between, twenty lines a page, and read back through the data source; pages without glyphs stay."""
+    lines = tables.load(spark, d, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("n", "line"))
+    words = F.filter(F.split("line", " "), lambda x: x != "")
+    before = lambda i: F.aggregate(F.slice(words, 1, i), F.lit(0), lambda a, x: a + F.length(x) + 2)
+    number = lambda v: v.cast("double").cast("string")
+    placed = F.transform(words, lambda w, i: F.concat(F.lit("["), number(before(i)), F.lit(","), number(-10 * F.col("n")), F.lit(","), number(F.length(w)), F.lit(","), F.substring(F.to_json(F.array(w)), F.lit(2), F.length(F.to_json(F.array(w))) - 2), F.lit("]")))
+    pages = lines.select("doc_id", (F.floor(F.col("n") / 20) + 1).alias("page"), placed.alias("glyphs")).groupBy("doc_id", "page").agg(F.flatten(F.collect_list("glyphs")).alias("glyphs"))
+    row = F.concat(F.lit('{"document_id":'), F.col("doc_id").cast("string"), F.lit(',"page":'), F.col("page").cast("string"), F.lit(',"glyphs":['), F.array_join("glyphs", ","), F.lit("]}"))
+    path = f"{shared_dir(spark, 'glyphs')}/files"
+    pages.select(row.alias("value")).write.text(path)
+    read = formats.read(spark, formats.GlyphSource, path, 1)
+    return files.page_text(read).select("document_id", F.col("page").cast("long").alias("page"), F.nullif("text", F.lit("")).alias("text"))
+
+
+@query("""WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey, l_discount, l_orderkey % 5 = 0 AND l_linenumber = 1 AS broken FROM lineitem),
+ok AS (SELECT o_orderkey AS id FROM orders WHERE NOT EXISTS (SELECT 1 FROM c WHERE l_orderkey = o_orderkey AND broken))
+SELECT id AS message_id, count(l_orderkey) AS citations, coalesce(sum(l_partkey), 0)::BIGINT AS chunks FROM ok LEFT JOIN c ON l_orderkey = id GROUP BY id""")
+def message_log(spark: SparkSession, d: str) -> DataFrame:
+    """Messages (orders) and their citations (lines) appended together in one commit, given twice; a message with a broken citation leaves neither."""
+    messages = tables.load(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("content"))
+    quote = F.when(~((F.col("l_orderkey") % 5 == 0) & (F.col("l_linenumber") == 1)), "q")
+    citations = tables.load(spark, d, "lineitem").select(F.col("l_orderkey").alias("message_id"), F.concat(F.lit("S"), F.col("l_linenumber").cast("string")).alias("ref"), F.col("l_partkey").cast("long").alias("chunk_id"), quote.alias("quote"), F.lit(0.5).alias("score"))
+    log = store.TableSet(spark, f"{shared_dir(spark, 'messages')}/log", {"messages": "id long, content string", "citations": "message_id long, ref string, chunk_id long, quote string, score decimal(5,4)"})
+    ok, rows = lifecycle.with_citations(messages, citations)
+    for _ in range(2):
+        log.append("turn-1", {"messages": ok, "citations": rows})
+    counts = log.read("citations").groupBy(F.col("message_id").alias("id")).agg(F.count("*").alias("citations"), F.sum("chunk_id").alias("chunks"))
+    return log.read("messages").join(counts, "id", "left").select(F.col("id").alias("message_id"), F.coalesce("citations", F.lit(0).cast("long")).alias("citations"), F.coalesce("chunks", F.lit(0).cast("long")).alias("chunks"))

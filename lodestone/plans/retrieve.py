@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.constants import candidate_k, clamp_top_k
 from lodestone.operators import fusion, trigram, vector
+from lodestone.shared import shared_dir, stored
 
 
 def retrieve(queries: DataFrame, chunks: DataFrame, top_k: int, dim: int, neighbors: bool = True) -> DataFrame:
@@ -23,23 +24,28 @@ def retrieve(queries: DataFrame, chunks: DataFrame, top_k: int, dim: int, neighb
     return _combine(asked, shown, found, top_k, neighbors)
 
 
-def retrieve_in(asked: dict[str, tuple[DataFrame, int]], chunks: DataFrame, bases: DataFrame, selected: list[str], top_k: int, neighbors: bool = True) -> DataFrame:
-    """``retrieve`` in the selected knowledge bases: ``bases`` has ``kb, model, active``, ``asked`` the queries embedded by each model and its width.
+def retrieve_in(asked: DataFrame, chunks: DataFrame, bases: DataFrame, selected: list[str] | None, top_k: int, dims: dict[str, int], neighbors: bool = True) -> DataFrame:
+    """``retrieve`` in the selected knowledge bases: ``bases`` has ``kb, model, active``, ``asked`` is ``query_id, query, model, embedding``.
 
-    Bases that are missing or not active are skipped.  Vectors are searched model by model, each
-    cut to the number of candidates, and the models' candidates are ranked together and cut again.
+    Bases that are missing or not active are skipped (``selected`` None: all that are active), as
+    are queries without a vector of a model (one that failed to embed): the keyword path still
+    finds for them.  Vectors of one width are searched in one pass, each model's by its own
+    queries; the models' candidates are cut each, ranked together and cut again.
     """
     top_k = clamp_top_k(top_k)
     cut = candidate_k(top_k)
-    used = bases.where("active").where(F.col("kb").isin(selected)).select("kb", "model")
+    used = bases.where("active").select("kb", "model")
+    used = used if selected is None else used.where(F.col("kb").isin(selected))
     shown = chunks.where("is_published").join(used, "kb")
     found = None
-    for model, (queries, dim) in sorted(asked.items()):
-        part = vector.top_k(queries.where("query <> ''").select("query_id", "embedding"), shown.where(F.col("model") == model).select("id", "embedding"), cut, dim)
+    for dim in sorted(set(dims.values())):  # one pass a width
+        models = [m for m, d in dims.items() if d == dim]
+        own = asked.where((F.col("query") != "") & F.col("model").isin(models) & F.col("embedding").isNotNull()).withColumnRenamed("model", "group")
+        part = vector.top_k(own, shown.where(F.col("model").isin(models)), cut, dim, "model").drop("group")
         found = part if found is None else found.unionByName(part)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cut)
-    words = next(iter(asked.values()))[0].where("query <> ''")
+    words = asked.where("query <> ''").select("query_id", "query").distinct()
     return _combine(words, shown, found, top_k, neighbors)
 
 
@@ -53,4 +59,6 @@ def _combine(asked: DataFrame, shown: DataFrame, v: DataFrame, top_k: int, neigh
     anchors = fusion.admit_dedup_top_k(fused.join(facts, "id"), top_k)
     if not neighbors:
         return anchors
+    # at most top_k rows a query: written, so that the searches below are not made once for each use
+    anchors = stored(anchors, f"{shared_dir(asked.sparkSession, 'retrieve')}/anchors")
     return fusion.with_neighbors(anchors, shown)

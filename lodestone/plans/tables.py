@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import fixed_windows
+from lodestone.shared import shared_dir, stored
 
 CHUNKS_PER_DOCUMENT = 100_000  # ids: document * this + index
 
@@ -30,5 +31,10 @@ def chunks(spark: SparkSession, sf_dir: str, size: int = 500, overlap: int = 50)
     )
 
 
+def stored_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks as a written table, for plans that read them more than once."""
+    return stored(chunks(spark, sf_dir), f"{shared_dir(spark, 'chunks')}/chunks")
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("content"))

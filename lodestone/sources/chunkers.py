@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import chunk_params
@@ -203,23 +203,23 @@ def chunk_one(kind: str | None, text: str | None, size: int, overlap: int) -> li
 
 
 def chunk_documents(docs: DataFrame, size: int, overlap: int) -> DataFrame:
-    """``document_id, file_type, text, page_number`` to chunks, indexed from 0 in page order within a document.
+    """``document_id, file_type, text, page_number`` (and ``document_version``, if there) to chunks, indexed from 0 in page order within a document and version.
 
     ``md`` goes by markdown, ``sentence`` by sentences, all else by paragraphs; pages are rows
     of their own, so no chunk and no overlap crosses a page.
     """
+    keys = [c for c in ("document_id", "document_version") if c in docs.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, kind, text, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows.extend((doc, page, i, c, t) for i, (c, t) in enumerate(chunk_one(kind, text, size, overlap)))
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["document_id", "page_number", "piece", "content", "section_title"])
-
-    pieces = docs.select(F.col("document_id").cast("long"), "file_type", "text", F.col("page_number").cast("int")).mapInArrow(run, "document_id long, page_number int, piece int, content string, section_title string")
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("document_id").orderBy("page_number", "piece")
+            for *own, kind, text, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows.extend((*own, page, i, c, t) for i, (c, t) in enumerate(chunk_one(kind, text, size, overlap)))
+            kinds = [*[pa.int64()] * len(keys), pa.int32(), pa.int32(), pa.string(), pa.string()]
+            columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [*keys, "page_number", "piece", "content", "section_title"])
+
+    schema = "".join(f"{k} long, " for k in keys) + "page_number int, piece int, content string, section_title string"
+    pieces = docs.select(*(F.col(k).cast("long").alias(k) for k in keys), "file_type", "text", F.col("page_number").cast("int")).mapInArrow(run, schema)
+    order = Window.partitionBy(*keys).orderBy("page_number", "piece")
     return pieces.withColumn("chunk_index", F.row_number().over(order) - 1).drop("piece")

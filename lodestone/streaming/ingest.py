@@ -1,4 +1,4 @@
-"""Ingestion as a stream of files: chunk, embed, check, and publish per batch, idempotent by document and version."""
+"""Embedding of chunks by a model, in batches that are checked."""
 
 from __future__ import annotations
 
@@ -6,12 +6,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
-from lodestone.constants import EMBED_BATCH, MAX_CHUNKS
-from lodestone.sources.chunkers import chunk_documents
+from lodestone.constants import EMBED_BATCH
 
 Embed = Callable[[list[str]], list[list[float]]]
 
@@ -61,38 +59,3 @@ def batch_validity(batches: DataFrame) -> DataFrame:
     own = batches.groupBy("batch").agg(F.first("expected").alias("expected"), F.count("embedding").alias("n"), F.min(F.size("embedding")).alias("low"), F.max(F.size("embedding")).alias("high"))
     dim = own.agg(F.min_by("low", "batch").alias("dim"))
     return own.join(F.broadcast(dim)).select("batch", ((F.col("n") == F.col("expected")) & (F.col("low") > 0) & (F.col("low") == F.col("high")) & (F.col("low") == F.col("dim"))).alias("valid"))
-
-
-def process(docs: DataFrame, store: str, embed: Embed, size: int = 500, overlap: int = 50) -> DataFrame:
-    """Chunks of ``document_id, version, file_type, text, page_number`` as draft rows; documents without a chunk or with too many are left out.
-
-    Versions that the store holds already are not made again.
-    """
-    spark = docs.sparkSession
-    try:
-        done = spark.read.parquet(store).select("document_id", F.col("document_version").alias("version")).distinct()
-        docs = docs.join(done, ["document_id", "version"], "left_anti")
-    except Exception as error:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-            raise
-    chunks = chunk_documents(docs, size, overlap)
-    ok = chunks.groupBy("document_id").agg(F.count("*").alias("n")).where(F.col("n") <= MAX_CHUNKS).drop("n")
-    versions = docs.groupBy("document_id").agg(F.max("version").alias("document_version"))
-    return embed_chunks(chunks.join(ok, "document_id").join(versions, "document_id"), embed).withColumn("is_published", F.lit(True))
-
-
-def start(spark: SparkSession, source: str, store: str, checkpoint: str, embed: Embed, once: bool = True) -> StreamingQuery:
-    """Streams Parquet files of documents into the chunk store; a batch that runs again finds its versions done."""
-    schema = "document_id long, version long, file_type string, text string, page_number int"
-
-    def write(batch: DataFrame, _: int) -> None:
-        process(batch, store, embed).write.mode("append").parquet(store)
-
-    writer = spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="5 seconds")).start()
-
-
-def visible(store: DataFrame) -> DataFrame:
-    """The rows of each document's greatest version: what readers see of an append-only store."""
-    newest = store.groupBy("document_id").agg(F.max("document_version").alias("document_version"))
-    return store.join(newest, ["document_id", "document_version"], "left_semi").where("is_published")

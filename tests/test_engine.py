@@ -2,26 +2,25 @@
 
 import math
 import random
+import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone import constants
 from lodestone.functions import text
-from lodestone.operators import context, fusion, lifecycle, trigram, workflow
+from lodestone.operators import context, fusion, lifecycle, trigram, vector, workflow
 from lodestone.plans.retrieve import retrieve, retrieve_in
 from lodestone.sources import chunkers, files
-from lodestone.streaming import folds, ingest
+from lodestone.streaming import folds
 
 CHUNK = "id long, document_id long, document_version long, chunk_index int, content string, embedding array<float>, is_published boolean"
 
 
-def cosine(c):
-    return [c, math.sqrt(1 - c * c), 0.0]
-
-
-def search(spark, chunks, query, k):
+def search(spark, chunks, query, k, vector=(1.0, 0.0, 0.0)):
     rows = [(i, doc, 1, index, content, [float(x) for x in vec], True) for i, (doc, index, vec, content) in enumerate(chunks, 1)]
-    asked = spark.createDataFrame([(1, query, [1.0, 0.0, 0.0])], "query_id long, query string, embedding array<float>")
+    asked = spark.createDataFrame([(1, query, list(vector))], "query_id long, query string, embedding array<float>")
     found = retrieve(asked, spark.createDataFrame(rows, CHUNK), k, 3).orderBy("pos").collect()
     return [r.id for r in found]
 
@@ -29,20 +28,74 @@ def search(spark, chunks, query, k):
 NO = "ZZZQQQ"
 
 
-def test_gate(spark):
-    assert search(spark, [(1, 0, [1, 0, 0], "alpha"), (2, 0, [0, 1, 0], "beta"), (3, 0, [0, 0, 1], "gamma")], NO, 3)[0] == 1
-    kw = [(1, 0, [1, 0, 0], "one"), (2, 0, [1, 0.1, 0], "two"), (3, 0, [1, 0.2, 0], "three"), (4, 0, [0, 1, 0], "has zebracorn inside")]
-    found = search(spark, kw, "zebracorn", 3)
-    assert found[0] in (1, 4) and 4 in found and 3 not in found
-    assert search(spark, [(1, 0, [1, 0, 0], "same"), (2, 0, [1, 0.1, 0], "same"), (3, 0, [1, 0.2, 0], "other")], NO, 2) == [1, 3]
-    near = [(1, 5, [1, 0, 0], "anchor"), (1, 4, [0, 1, 0], "X"), (2, 0, [1, 0, 0], "X")]
-    assert set(search(spark, near, NO, 2)) == {1, 3}
-    assert search(spark, [], NO, 3) == []
-    assert search(spark, [(1, 0, [0, 1, 0], "unrelated")], "token", 3) == []
-    assert search(spark, [(1, 0, cosine(0.2), "text")], NO, 3) == []
-    fill = [(1, 0, cosine(0.30), "rej")] + [(i, 0, cosine(0.29 - i / 100), f"filler {i}") for i in range(2, 10)]
-    fill += [(20, 0, cosine(0.01), "the lanternfish here"), (21, 0, cosine(0.01), "the lanternfis there")]
-    assert search(spark, fill, "lanternfish", 2) == [10, 11]
+def brute_retrieve(chunks, query, vector, k):
+    """The whole order of steps in plain Python, from the rules: two searches, fusion, admission, dedup, top-k, neighbours, dedup."""
+    rows = {i: c for i, c in enumerate(chunks, 1)}
+
+    def cos(x, y):
+        norm = math.sqrt(sum(a * a for a in x)) * math.sqrt(sum(a * a for a in y))
+        return sum(a * b for a, b in zip(x, y, strict=True)) / norm if norm else None
+
+    def best(scores):
+        return [i for _, i in sorted((-s, i) for i, s in scores.items())[: min(4 * k, 100)]]
+
+    by_vector = {i: cos(vector, [float(np.float32(x)) for x in c[2]]) for i, c in rows.items()}
+    by_vector = {i: s for i, s in by_vector.items() if s is not None}
+    grams = set(trigram.trigrams(query))
+    by_words = {i: trigram.word_similarity(grams, trigram.trigrams(c[3])) for i, c in rows.items()} if grams else {}
+    by_words = {i: s for i, s in by_words.items() if s >= constants.TRIGRAM_THRESHOLD}
+    v, w = best(by_vector), best(by_words)
+    fused = []
+    for i in {*v, *w}:
+        rank = sum(weight / (constants.RRF_K + found.index(i) + 1) for weight, found in ((constants.VECTOR_WEIGHT, v), (constants.KEYWORD_WEIGHT, w)) if i in found)
+        scores = [s[i] for s, found in ((by_vector, v), (by_words, w)) if i in found]
+        ok = (i in v and by_vector[i] >= constants.VECTOR_ADMISSION) or (i in w and by_words[i] >= constants.KEYWORD_ADMISSION)
+        fused.append((-rank, -max(scores), i, ok))
+    kept, seen = [], set()
+    for *_, i, ok in sorted(fused):
+        key = plain_key(rows[i][3])
+        if ok and (not key or key not in seen):
+            seen.add(key)
+            kept.append(i)
+    anchors = kept[:k]
+    shown, taken = list(anchors), set(anchors)
+    where = {}
+    for i, c in rows.items():
+        where[c[0], c[1]] = max(i, where.get((c[0], c[1]), 0))
+    for i in anchors:
+        for step in (-1, 1):
+            near = where.get((rows[i][0], rows[i][1] + step))
+            if near is not None and near not in taken:
+                taken.add(near)
+                shown.append(near)
+    out, seen = [], set()
+    for i in shown:
+        key = plain_key(rows[i][3])
+        if not key or key not in seen:
+            seen.add(key)
+            out.append(i)
+    return out
+
+
+def plain_key(text):
+    """Line ends made one, blanks at their ends and white space around the whole removed."""
+    return re.sub("[ \t]+(?=\n|$)", "", text.replace("\r\n", "\n")).strip()
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_retrieval_equals_plain_python(spark, seed):
+    r = random.Random(seed)
+    words = ["".join(r.choices("abcdefgh", k=r.randint(2, 9))) for _ in range(12)]
+    chunks = []
+    for doc in range(r.randint(5, 12)):
+        for index in range(r.randint(1, 6)):
+            content = " ".join(r.choices(words, k=r.randint(1, 6))) if r.random() < 0.9 else r.choice(["", "  \n"])
+            chunks.append((doc, index, [r.gauss(0, 1) for _ in range(3)] if r.random() < 0.95 else [0.0] * 3, content))
+    chunks += [(c[0] + 100, c[1], c[2], c[3] + r.choice([" ", "\n", ""])) for c in r.sample(chunks, 4)]  # the same contents again
+    for k in (1, 3, 7):
+        query, vector = r.choice([r.choice(words), " ".join(r.choices(words, k=2)), NO]), [r.gauss(0, 1) for _ in range(3)]
+        assert search(spark, chunks, query, k, vector) == brute_retrieve(chunks, query, [float(np.float32(x)) for x in vector], k)
+    assert search(spark, [], NO, 3) == [] and search(spark, chunks, "", 3) == []
 
 
 def test_neighbours_follow_anchors(spark):
@@ -105,13 +158,24 @@ def test_structure_chunkers():
             assert all(0 < len(c) <= 20 for c in f(s, 20, 5))
 
 
-def test_dedup_keys_and_citations(spark):
-    key = lambda s: spark.createDataFrame([(s,)], "t string").select(text.dedup_key(F.col("t"))).first()[0]
-    assert key("a\r\nb") == key("a\nb") == key("  a \t\nb  ") and len({key("a\rb"), key("a\nb"), key("A\nb"), key("a\n b")}) == 4
-    rows = [("见注[S77]所述。", ["S1"]), ("[S4][S3][S4] y [S0] [S-2] [note1]", ["S3", "S4"]), ("[S1]", [])]
+def test_dedup_keys_equal_plain_python(spark):
+    r = random.Random(9)
+    texts = ["".join(r.choices(["a", "B", " ", "\t", "\n", "\r\n", "\r"], k=r.randint(0, 9))) for _ in range(300)]
+    got = [x[0] for x in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(text.dedup_key(F.col("t"))).collect()]
+    assert got == [plain_key(t) for t in texts]
+
+
+def test_citations_equal_plain_python(spark):
+    """Marks of known sources stay, marks of unknown ones go, and what is no mark is left alone; the numbers go by first mention."""
+    r = random.Random(10)
+    pieces = [lambda: f"[S{r.randint(1, 14)}]", lambda: r.choice(["[S0]", "[S-3]", "[s2]", "[S 1]", "[S1", "S2]", "[Sx]", "[S01]"]), lambda: r.choice(["word ", "。", "\n", "é"])]
+    rows = [("".join(r.choice(pieces)() for _ in range(r.randint(0, 8))), [f"S{n}" for n in r.sample(range(1, 15), r.randint(0, 5))]) for _ in range(200)]
     cleaned, valid, invalid = text.citations(F.col("c"), F.col("a"))
-    got = [tuple(r) for r in spark.createDataFrame(rows, "c string, a array<string>").select(cleaned, valid, invalid).collect()]
-    assert got == [("见注所述。", [], 1), ("[S4][S3][S4] y [S0] [S-2] [note1]", ["S4", "S3"], 0), ("", [], 1)]
+    got = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "i int, c string, a array<string>").orderBy("i").select(cleaned, valid, invalid).collect()
+    for (content, allowed), found in zip(rows, got, strict=True):
+        marks = re.findall(r"\[(S[1-9][0-9]*)\]", content)
+        want = re.sub(r"\[(S[1-9][0-9]*)\]", lambda m, a=allowed: m[0] if m[1] in a else "", content)
+        assert tuple(found) == (want, list(dict.fromkeys(m for m in marks if m in allowed)), sum(m not in allowed for m in marks))
 
 
 def test_budgets(spark):
@@ -158,18 +222,6 @@ def test_pages(spark):
     assert files.page_text(spark.createDataFrame(rows, "document_id int, page int, seq int, x double, y double, w double, s string")).first().text == "a b\nc"
 
 
-def test_stream_ingest(spark, tmp_path):
-    docs = [(1, 1, "txt", "First paragraph.\n\nSecond.", None), (2, 1, "md", "# T\n\nbody", None)]
-    schema = "document_id long, version long, file_type string, text string, page_number int"
-    spark.createDataFrame(docs, schema).write.parquet(str(tmp_path / "in"))
-    for _ in range(2):
-        ingest.start(spark, str(tmp_path / "in"), str(tmp_path / "store"), str(tmp_path / "ck"), ingest.trigram_embedding(8)).awaitTermination()
-    first = spark.read.parquet(str(tmp_path / "store")).count()
-    spark.createDataFrame(docs, schema).write.mode("append").parquet(str(tmp_path / "in"))  # the same versions again
-    ingest.start(spark, str(tmp_path / "in"), str(tmp_path / "store"), str(tmp_path / "ck"), ingest.trigram_embedding(8)).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "store")).count() == first == 2
-
-
 def test_workflow():
     s = workflow.Step
     end = s("e", "end")
@@ -195,12 +247,65 @@ def test_workflow():
 
 
 def test_retrieve_in_selected_bases(spark):
-    rows = [(1, "a", [1.0, 0.0], "one"), (2, "a", [0.9, 0.1], "two"), (3, "b", [1.0, 0.0, 0.0], "three"), (4, "off", [1.0, 0.0], "four"), (5, "other", [1.0, 0.0], "five"), (6, "b", [0.1, 1.0, 0.0], "six")]
+    rows = [(1, "a", [1.0, 0.0], "one"), (2, "a", [0.9, 0.1], "two"), (3, "b", [1.0, 0.0, 0.0], "three"), (4, "off", [1.0, 0.0], "four"), (5, "other", [1.0, 0.0], "five"), (6, "b", [0.1, 1.0, 0.0], "six"), (7, "same", [0.0, 1.0], "seven")]
     chunks = spark.createDataFrame([(i, i * 10, 1, 0, c, v, True, kb) for i, kb, v, c in rows], CHUNK + ", kb string")
-    bases = spark.createDataFrame([("a", "m", True), ("b", "n", True), ("off", "m", False), ("other", "m", True)], "kb string, model string, active boolean")
-    asked = {m: (spark.createDataFrame([(1, NO, v)], "query_id long, query string, embedding array<float>"), len(v)) for m, v in (("m", [1.0, 0.0]), ("n", [1.0, 0.0, 0.0]))}
-    found = lambda selected, k=5: [r.id for r in retrieve_in(asked, chunks, bases, selected, k).orderBy("pos").collect()]
-    assert found(["a", "b", "off", "missing"]) == [1, 3, 2] and found(["off", "missing"]) == [] and found(["a", "b"], 2) == [1, 3] and found(["other"]) == [5]
+    bases = spark.createDataFrame([("a", "m", True), ("b", "n", True), ("off", "m", False), ("other", "m", True), ("same", "o", True)], "kb string, model string, active boolean")
+    asked = spark.createDataFrame([(1, NO, "m", [1.0, 0.0]), (1, NO, "n", [1.0, 0.0, 0.0]), (1, NO, "o", [0.0, 1.0]), (2, "seven", "m", None), (2, "seven", "o", None)], "query_id long, query string, model string, embedding array<float>")
+    every = retrieve_in(asked, chunks, bases, None, 5, {"m": 2, "n": 3, "o": 2})
+    assert {r.id for r in every.where("query_id = 1").collect()} == {1, 2, 3, 5, 7} and [r.id for r in every.where("query_id = 2").collect()] == [7]
+    found = lambda selected, k=5: [r.id for r in retrieve_in(asked.where("query_id = 1"), chunks, bases, selected, k, {"m": 2, "n": 3, "o": 2}).orderBy("pos").collect()]
+    assert found(["a", "b", "off", "missing"]) == [1, 3, 2] and found(["off", "missing"]) == [] and found(["a", "b"], 2) == [1, 3] and found(["other"]) == [5] and found(["same"]) == [7]
+
+
+def test_pivot_index_equals_a_scan(spark):
+    r = random.Random(6)
+    centres = [[r.gauss(0, 1) for _ in range(6)] for _ in range(9)]
+    rows = [(i, [float(c + r.gauss(0, 0.1)) for c in centres[i % 9]] if i % 50 else [0.0] * 6, "xy"[i % 2]) for i in range(1500)] + [(5000 + i, [1.0] * 6, "x") for i in range(40)] + [(9000, [1.0] * 5, "x"), (9001, None, "x")]
+    chunks = spark.createDataFrame(rows, "id long, embedding array<float>, model string")
+    asked = spark.createDataFrame([(i, [c + r.gauss(0, 0.1) for c in centres[i % 9]], "xy"[i % 2]) for i in range(30)] + [(99, [0.0] * 6, "x"), (98, [1.0] * 6, "y")], "query_id long, embedding array<float>, group string")
+    plain = lambda df: sorted((x.query_id, x.rank, x.id, round(x.score, 9)) for x in df.collect())
+    index = vector.PivotIndex(chunks, 6)
+    alone = asked.drop("group")
+    want = plain(vector.top_k(alone, chunks, 7, 6))
+    assert plain(index.search(alone, 7)) == want and len(want) == 31 * 7 and index.pruned_share(alone, 7) > 0.5
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v, _ in rows if v and len(v) == 6 and any(v)}
+    for q in asked.where("query_id < 3").collect():
+        x = np.float32(q.embedding).astype(float)
+        scores = {i: float(np.float32(v).astype(float) @ x / np.linalg.norm(np.float32(v)) / np.linalg.norm(x)) for i, v in unit.items()}
+        assert [i for qid, _, i, _ in want if qid == q.query_id] == [i for _, i in sorted((-round(s, 9), i) for i, s in scores.items())[:7]]
+    grouped = vector.PivotIndex(chunks, 6, "model")
+    own = lambda df: sorted((x.query_id, x.group, x.rank, x.id) for x in df.collect())
+    for queries in (asked, alone):
+        assert own(grouped.search(queries, 5)) == own(vector.top_k(queries, chunks, 5, 6, "model"))
+    assert index.search(alone.limit(0), 3).count() == 0 and vector.PivotIndex(chunks.limit(0), 6).search(alone, 3).count() == 0
+
+
+def test_trigram_index_equals_all_pairs(spark, monkeypatch):
+    r = random.Random(7)
+    words = ["".join(r.choices("abcdeé日", k=r.randint(1, 8))) for _ in range(60)]
+    contents = [(i, " ".join(r.choices(words, k=r.randint(0, 12)))) for i in range(300)] + [(900, None), (901, "!!")]
+    queries = [(i, " ".join(r.choices(words, k=r.randint(1, 5)))) for i in range(25)] + [(50, ""), (51, "?!")]
+    grams = {i: trigram.trigrams(c or "") for i, c in contents}
+    pairs, scores = set(), {}
+    for q, t in queries:
+        own = set(trigram.trigrams(t))
+        for i, g in grams.items():
+            common = len(own & set(g))
+            if common and 10 * common >= 3 * len(own):
+                pairs.add((q, i, common, len(own)))
+                scores[q, i] = trigram.word_similarity(own, g)
+    asked, chunks = spark.createDataFrame(queries, "query_id long, query string"), spark.createDataFrame(contents, "id long, content string")
+    for part, together in ((65_536, 256), (50, 3)):
+        monkeypatch.setattr(trigram.TrigramIndex, "PART", part)
+        monkeypatch.setattr(trigram.TrigramIndex, "TOGETHER", together)
+        index = trigram.TrigramIndex(chunks)
+        assert {tuple(x) for x in index.overlap(asked).collect()} == pairs
+        got = sorted((x.query_id, x.rank, x.id, round(x.score, 6)) for x in index.search(asked, 4).collect())
+        want = []
+        for q in {q for q, _ in scores}:
+            best = sorted((-s, i) for (p, i), s in scores.items() if p == q and s >= constants.TRIGRAM_THRESHOLD)[:4]
+            want += [(q, n, i, round(-s, 6)) for n, (s, i) in enumerate(best, 1)]
+        assert got == sorted(want) and got
 
 
 def test_attributes_cursors_and_judge_texts(spark):
