@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -20,6 +20,26 @@ def matched_metrics(results: DataFrame, cases: DataFrame) -> DataFrame:
     return own.select("name", "result_count", value((F.col("first") <= 1).cast("int")).alias("hit1"), value((F.col("first") <= 3).cast("int")).alias("hit3"), value(F.col("first").isNotNull().cast("int")).alias("hit"), value(1 / F.col("first")).alias("mrr"))
 
 
+def cited_metrics(cited: DataFrame, cases: DataFrame) -> DataFrame:
+    """Per case of ``name, configured, require_citation``, from ``name, document_id, expected`` of the documents cited.
+
+    ``citation_met`` is null where none is required, ``expected_cited`` where nothing is expected.
+    """
+    found = cited.groupBy("name").agg(F.count("document_id").alias("n"), F.max(F.coalesce("expected", F.lit(False))).alias("hit"))
+    own = cases.join(found, "name", "left")
+    return own.select("name", F.when(F.col("require_citation"), F.coalesce(F.col("n") > 0, F.lit(False))).alias("citation_met"), F.when(F.col("configured"), F.coalesce("hit", F.lit(False))).alias("expected_cited"))
+
+
+def report_line(row: Column) -> Column:
+    """A case as a line of a JSON report; values that it lacks are left out."""
+    return F.to_json(row)
+
+
+def write_report(cases: DataFrame, path: str) -> None:
+    """The report as JSON lines, one case each, written where the rows lie."""
+    cases.select(report_line(F.struct("*")).alias("value")).write.text(path)
+
+
 def gate(metrics: DataFrame, least: float = 1.0) -> DataFrame:
     """Means over configured cases and the verdict; a metric without any value fails.  ``unique_rate`` is over all cases."""
     rate = F.when(F.col("result_count") == 0, 1.0).otherwise(1 - F.col("duplicates") / F.col("result_count"))

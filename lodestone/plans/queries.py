@@ -356,7 +356,21 @@ def cursor_decode(spark: SparkSession, d: str) -> DataFrame:
     return own.select("o_orderkey", at.cast(own.schema["o_orderdate"].dataType).alias("created"), key.alias("row_key"))
 
 
-@query()
+SQL_ATTRIBUTE = "replace(replace(replace(replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&#34;'), chr(39), '&#39;'), chr(9), '&#x9;'), chr(10), '&#xA;'), chr(13), '&#xD;')"
+HEAD = len('<source ref="" document="">\n\n</source>\n')
+
+
+@query(f"""WITH RECURSIVE {SQL_CHUNKS},
+it AS (SELECT document_id AS t, chunk_index AS pos, id, list_transform(string_split(content, ''), lambda c: CASE c WHEN '&' THEN 5 WHEN '<' THEN 4 WHEN '>' THEN 4 ELSE 1 END) AS w, {HEAD} + length({SQL_ATTRIBUTE.format("coalesce(document_name, CAST(document_id AS VARCHAR))")}) AS h FROM chunks WHERE chunk_index <= 4),
+r(t, pos, id, room, taken, ref, cut, rendered) AS (
+  SELECT DISTINCT t, -1, NULL::BIGINT, 1600::BIGINT, 0, NULL::VARCHAR, NULL::BOOLEAN, NULL::BIGINT FROM it
+  UNION ALL
+  SELECT t, pos, id, room - coalesce(size, 0), taken + (size IS NOT NULL)::INT, CASE WHEN size IS NOT NULL THEN 'S' || (taken + 1) END, big, size
+  FROM (SELECT t, pos, id, room, taken, whole > room AS big,
+          CASE WHEN whole <= room THEN whole WHEN whole <= 1600 OR head + 17 > room THEN NULL
+               ELSE head + 17 + list_max(list_filter(list_transform(range(0, len(w) + 1), lambda n: coalesce(list_sum(list_slice(w, 1, n)), 0)), lambda s: s <= room - head - 17)) END AS size
+        FROM (SELECT it.t, it.pos, it.id, it.w, r.room, r.taken, it.h + length('S' || (r.taken + 1)) AS head, it.h + length('S' || (r.taken + 1)) + list_sum(it.w) AS whole FROM r JOIN it ON it.t = r.t AND it.pos = r.pos + 1)))
+SELECT t AS turn_id, ref, id, cut AS truncated, CAST(rendered AS BIGINT) AS rendered FROM r WHERE rendered IS NOT NULL""")
 def evidence_budget_fill(spark: SparkSession, d: str) -> DataFrame:
     """Per document as turn, its chunks in order under a budget of 1600 characters."""
     rows = tables.chunks(spark, d).select(F.col("document_id").alias("turn_id"), F.col("chunk_index").alias("pos"), "id", "document_id", F.col("document_name").alias("name"), F.lit(None).cast("string").alias("section"), F.lit(None).cast("int").alias("page"), "content", (1 / (1 + F.col("chunk_index"))).alias("score"))
@@ -944,3 +958,22 @@ def message_log(spark: SparkSession, d: str) -> DataFrame:
         log.append("turn-1", {"messages": ok, "citations": rows})
     counts = log.read("citations").groupBy(F.col("message_id").alias("id")).agg(F.count("*").alias("citations"), F.sum("chunk_id").alias("chunks"))
     return log.read("messages").join(counts, "id", "left").select(F.col("id").alias("message_id"), F.coalesce("citations", F.lit(0).cast("long")).alias("citations"), F.coalesce("chunks", F.lit(0).cast("long")).alias("chunks"))
+
+
+def _judged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Per query vector: results, cases that want a citation where the number is divisible by 40, and as cited documents the results of odd rank."""
+    found, cases = _cases(spark, d)
+    cited = found.where("rank % 2 = 1").select("name", "document_id", "expected")
+    return found, cases.withColumn("require_citation", F.col("name") % 40 == 0), cited
+
+
+@query(f"""WITH {SQL_CASES}, c AS (SELECT name, count(*) AS n, bool_or(label = own AND own <> 0) AS named FROM r WHERE id <> name AND rank % 2 = 1 GROUP BY name)
+SELECT name, CASE WHEN name % 40 = 0 THEN coalesce(n, 0) > 0 END AS citation_met, CASE WHEN configured THEN coalesce(named, false) END AS expected_cited,
+'{{"name":' || name || ',"results":' || result_count || CASE WHEN configured THEN ',"hit1":' || CAST(hit1 AS INTEGER) || ',"hit3":' || CAST(hit3 AS INTEGER) ELSE '' END || '}}' AS report
+FROM metrics LEFT JOIN c USING (name) JOIN (SELECT name, configured FROM m) USING (name)""")
+def eval_report_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Whether a case's citations are there and name an expected document, and the case as a line of a JSON report."""
+    found, cases, cited = _judged(spark, d)
+    own = metrics.matched_metrics(found, cases.select("name", "configured")).join(metrics.cited_metrics(cited, cases), "name")
+    line = F.struct("name", F.col("result_count").alias("results"), F.col("hit1").cast("int").alias("hit1"), F.col("hit3").cast("int").alias("hit3"))
+    return own.select("name", "citation_met", "expected_cited", metrics.report_line(line).alias("report"))

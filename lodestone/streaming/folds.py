@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -253,9 +253,22 @@ def rate_limit(events: DataFrame, minutes: int = LIMITER_MINUTES, limit: int = L
     return fold_rows(own, "user_id", ["at", "event_id"], FixedWindow(minutes, limit)).select("user_id", "event_id", "allowed")
 
 
+class Runs(Fold):
+    """First and length so far of the run of failures that a row is in; null and 0 outside."""
+
+    takes, state, gives = ["seq", "failed"], "first long, n long", "first long, n long"
+
+    def start(self) -> tuple:
+        return None, 0
+
+    def step(self, state: tuple, row: tuple) -> tuple[tuple, tuple]:
+        (first, n), (seq, failed) = state, row
+        state = (seq if first is None else first, n + 1) if failed else (None, 0)
+        return state, state
+
+
 def failure_runs(calls: DataFrame, least: int = BREAKER_FAILURES) -> DataFrame:
-    """``key, seq, failed`` to maximal runs of at least ``least`` failures in a row: first, last and length."""
-    order = Window.partitionBy("key").orderBy("seq")
-    own = calls.withColumn("group", F.row_number().over(order) - F.row_number().over(Window.partitionBy("key", "failed").orderBy("seq")))
-    runs = own.where("failed").groupBy("key", "group").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count("*").alias("failures"))
-    return runs.where(F.col("failures") >= least).drop("group")
+    """``key, seq, failed`` to maximal runs of at least ``least`` failures in a row: first, last and length.  A null ``failed`` ends a run."""
+    runs = fold_rows(calls.select("key", F.col("seq").cast("long").alias("seq"), "failed"), "key", ["seq"], Runs()).where("n > 0")
+    longest = runs.groupBy("key", F.col("first").alias("first_seq")).agg(F.max("seq").alias("last_seq"), F.max("n").alias("failures"))
+    return longest.where(F.col("failures") >= least)
