@@ -3,7 +3,8 @@
 Templates grow segment by segment, over all segments: at each node (host and template so far)
 a segment stays literal where at least ``LEAST_PAGES`` pages of the node have it, and becomes
 ``*`` elsewhere.  The bar is a number of pages, so a branch is told apart on hosts of any size.
-Literals of a level are a written table; pages are never rewritten.  Labels count good and bad
+Literals of a level are a written table; pages' hosts, paths and templates are written every
+WRITTEN passes and at the end, so that passes are not repeated.  Labels count good and bad
 pages per template.  Then branches are merged from the last place to the first: those that
 differ at one place only are siblings, and a branch whose bad rate is within ``NEAR`` standard
 errors of the siblings' pooled rate, or that has no label, gets ``*`` there.  A branch is
@@ -17,10 +18,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import shared_dir, stored, table
+from lodestone.llm.common import discard, shared_dir, stored, table
 
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 LEAST_PAGES, NEAR, WEIGHT, MOST_BAD, SALTS = 10, 2.0, 20.0, 0.5, 8
+#: Passes after which pages with their templates so far are written.
+WRITTEN = 4
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -62,15 +65,18 @@ def templates(urls: DataFrame, out_dir: str) -> tuple[DataFrame, int]:
         grown = F.concat_ws("/", F.nullif("template", F.lit("")), F.when(F.col("literal"), F.col("segment")).otherwise("*"))
         rows = met.withColumn("template", F.when(F.col("segment").isNull(), F.col("template")).otherwise(grown)).drop("segment", "literal")
         level += 1
+        if level % WRITTEN == 0:  # so that no pass repeats the joins of all passes before it
+            rows = stored(rows, f"{out_dir}/rows-{level}")
     rest = F.array_repeat(F.lit("*"), F.greatest(F.size("segments") - level, F.lit(0)))
-    return rows.withColumn("template", F.array_join(F.concat(F.array_remove(F.array("template"), ""), rest), "/")).drop("segments", "salt"), level
+    rows = rows.withColumn("template", F.array_join(F.concat(F.array_remove(F.array("template"), ""), rest), "/")).drop("segments", "salt")
+    return stored(rows, f"{out_dir}/pages"), level
 
 
 def branches(counts: DataFrame, levels: int, out_dir: str) -> DataFrame:
     """``host, template, branch, n, bad``: the merged branch (an array of segments) of each template of ``counts`` (host, template, n, bad)."""
     tree = counts.withColumn("branch", F.split("template", "/", -1))
     for place in reversed(range(levels)):
-        sums = stored(tree.where(F.size("branch") > place).groupBy("host", "branch").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), f"{out_dir}/branches-{place}")
+        sums = tree.where(F.size("branch") > place).groupBy("host", "branch").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
         wild = F.transform("branch", lambda s, i: F.when(i == place, "*").otherwise(s))
         sums = sums.withColumn("to", wild)
         pooled = sums.groupBy("host", "to").agg(F.try_divide(F.sum("bad"), F.sum("n")).alias("rate"))
@@ -109,6 +115,7 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]]
     urls = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     paged, levels = templates(urls, out)
     blocked = blocked_templates(paged, labels, levels, out).withColumn("blocked", F.lit(True))
+    discard(out, keep=("pages", "blocked"))
     blocked = blocked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     judged = paged.withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int")).join(blocked, ["host", "template", "salt"], "left")
