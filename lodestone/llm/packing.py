@@ -116,8 +116,12 @@ class Packer:
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, limits: Limits = Limits()) -> DataFrame:
     """Tokenises ``doc_id, text`` and packs all ids; one row per piece (``SCHEMA``).
 
-    Null and empty texts are the end id alone.  Repeated rows are packed as often as they
-    occur.  Other columns are ignored.  ``sequence_id`` holds the partition in its high bits.
+    Null and empty texts are the end id alone; texts of any length are packed whole, in as many
+    pieces as they need.  Repeated rows, and rows with a null doc_id, are packed as often as they
+    occur.  Ties between pieces and sequences go by order of arrival, so they follow the rows'
+    order within a partition; counts, ids and limits do not depend on it.  Other columns are
+    ignored, whatever their names.  An empty table gives no rows.  ``sequence_id`` holds the
+    partition in its high bits.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

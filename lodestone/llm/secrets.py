@@ -85,7 +85,10 @@ def find_spans(docs: DataFrame, scope_chars: int = 200, keep: tuple[str, ...] =
 def find_secrets(docs: DataFrame, scope_chars: int = 200) -> DataFrame:
     """Per row of ``doc_id, text``: ``doc_id, n_assign, n_access, n_hex, base_sha256, spans``.
 
-    A document without spans has the digest of the empty string and ``''``.
+    A document without spans has the digest of the empty string and ``''``, as have null and
+    empty texts.  Texts of any length are searched whole.  Repeated rows get equal rows each, and
+    null doc_ids stay.  Spans of equal starts are in the order of KINDS.  Other columns are
+    ignored, whatever their names.  An empty table gives no rows.
     """
     found = find_spans(docs.select(F.col("doc_id").cast("long"), "text"), scope_chars, keep=("doc_id",))
     base, count = F.filter("spans", lambda s: s["kind"] < BASE), lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
