@@ -41,31 +41,24 @@ def page_text(glyphs: DataFrame) -> DataFrame:
     return placed.groupBy("document_id", "page").agg(F.array_join(F.transform(parts, lambda p: p["part"]), "").alias("text"))
 
 
-def read_reports(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).json(path, multiLine=True)
-
-
-def read_test_set(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Cases of a YAML test set, a small file on the driver."""
-    import yaml
-
-    with open(path, encoding="utf-8") as file:
-        loaded = yaml.safe_load(file)
-    cases = loaded["cases"] if isinstance(loaded, dict) else loaded or []
-    names = [f.split()[0] for f in schema.split(", ")]
-    return spark.createDataFrame([tuple(c.get(n) for n in names) for c in cases], schema)
-
-
 def numbered(rows: DataFrame, key: str, groups: list[str] | None = None, span: int = 4096) -> DataFrame:
     """``rows`` with ``position`` from 1 in order of the integer ``key`` (per group): counts of stretches of ``span`` keys, and places in them.
 
-    No task holds more than one stretch, and only the counts are ordered as a whole.
+    Stretches are added up within spans of ``span`` of them, and these over all, so no task
+    holds more than one stretch or span, and only a row for each ``span`` ** 2 keys is ordered as
+    a whole.
     """
     groups = groups or []
     own = rows.withColumn("__stretch", F.floor(F.col(key) / span))
-    counts = own.groupBy(*groups, "__stretch").agg(F.count("*").alias("__n"))
-    before = Window.partitionBy(*(groups or [F.lit(0)])).orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*groups, "__stretch", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    counts = own.groupBy(*groups, "__stretch").agg(F.count("*").alias("__n")).withColumn("__span", F.floor(F.col("__stretch") / span))
+
+    def before(by: list, order: str) -> Column:
+        return F.coalesce(F.sum("__n").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    spans = counts.groupBy(*groups, "__span").agg(F.sum("__n").alias("__n"))
+    spans = spans.select(*groups, "__span", before(groups or [F.lit(0)], "__span").alias("__base"))
+    starts = counts.withColumn("__start", before([*groups, "__span"], "__stretch")).drop("__n").join(spans, [*groups, "__span"])
+    starts = starts.select(*groups, "__stretch", (F.col("__start") + F.col("__base")).alias("__start"))
     placed = own.withColumn("__place", F.row_number().over(Window.partitionBy(*groups, "__stretch").orderBy(key)))
     joined = placed.join(starts, [*groups, "__stretch"])
     return joined.withColumn("position", F.col("__start") + F.col("__place")).drop("__stretch", "__start", "__place")
