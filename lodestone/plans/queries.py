@@ -63,7 +63,12 @@ def vector_topk(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT a.vec_id AS query_id, b.vec_id AS id, round({SQL_COS}, 6) AS score, CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY {SQL_COS} DESC, b.vec_id) AS INTEGER) AS rank FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 QUALIFY rank <= 10")
 def vector_topk_multi_query(spark: SparkSession, d: str) -> DataFrame:
-    """Through the pivot index."""
+    return vector.top_k(_asked(spark, d), _vectors(spark, d), 10, 64).withColumn("score", F.round("score", 6))
+
+
+@query(ORACLES["vector_topk_multi_query"])
+def vector_topk_pivot_index(spark: SparkSession, d: str) -> DataFrame:
+    """The same through the pivot index."""
     return vector.PivotIndex(_vectors(spark, d), 64).search(_asked(spark, d), 10).withColumn("score", F.round("score", 6))
 
 
@@ -108,7 +113,7 @@ def _by_model(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT a.vec_id AS query_id, b.vec_id AS id, round({SQL_COS}, 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY {SQL_COS} DESC, b.vec_id) <= 20 AND {SQL_COS} >= {VECTOR_ADMISSION}")
 def vector_admission_filter(spark: SparkSession, d: str) -> DataFrame:
-    found = vector.PivotIndex(_vectors(spark, d), 64).search(_asked(spark, d), 20)
+    found = vector.top_k(_asked(spark, d), _vectors(spark, d), 20, 64)
     return found.where(fusion.admitted(F.col("score"), F.lit(None).cast("double"))).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
