@@ -43,9 +43,9 @@ def paragraphs(text: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    found = F.regexp_extract_all(text, F.lit("[^。！？.!?]*[。！？.!?]+"), F.lit(0))
-    rest = F.regexp_extract(text, "([^。！？.!?]*)\\z", 1)
-    return F.filter(F.transform(F.concat(found, F.array(rest)), trimmed), lambda s: s != "")
+    """Up to the marks that end a sentence, and the rest after the last of them: one linear pass, without backtracking."""
+    found = F.regexp_extract_all(text, F.lit("[^。！？.!?]*+(?:[。！？.!?]++|\\z)"), F.lit(0))
+    return F.filter(F.transform(found, trimmed), lambda s: s != "")
 
 
 def escape_attribute(text: Column) -> Column:
@@ -87,13 +87,6 @@ def citations(content: Column, allowed: Column) -> tuple[Column, Column, Column]
     return F.regexp_replace(content, pattern, F.lit("")), valid, invalid
 
 
-def judge_verdict(reply: Column) -> tuple[Column, Column]:
-    """Score 1 to 5 and reasoning of a judge's JSON reply, fenced or not; null score if it is not valid."""
-    bare = F.regexp_replace(trimmed(reply), "^```(?:json)?[\\s]*|[\\s]*```$", "")
-    parsed = F.from_json(bare, "score int, reasoning string")
-    return F.when(parsed["score"].between(1, 5), parsed["score"]), F.when(parsed["score"].between(1, 5), parsed["reasoning"])
-
-
 def delta(new: Column, old: Column) -> Column:
     """``—`` without a value on either side, ``=`` if equal, else the signed difference to two places."""
     return F.when(new.isNull() | old.isNull(), "—").when(new == old, "=").otherwise(F.printf(F.lit("%+.2f"), new.cast("double") - old.cast("double")))

@@ -982,3 +982,19 @@ def eval_report_rows(spark: SparkSession, d: str) -> DataFrame:
     own = metrics.matched_metrics(found, cases.select("name", "configured")).join(metrics.cited_metrics(cited, cases), "name")
     line = F.struct("name", F.col("result_count").alias("results"), F.col("hit1").cast("int").alias("hit1"), F.col("hit3").cast("int").alias("hit3"))
     return own.select("name", "citation_met", "expected_cited", metrics.report_line(line).alias("report"))
+
+
+SQL_EDGE = r"[\t\n\x0b\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+def _sql_trimmed(array: str) -> str:
+    return f"list_filter(list_transform({array}, lambda x: regexp_replace(x, '^{SQL_EDGE}|{SQL_EDGE}$', '', 'g')), lambda x: x <> '')"
+
+
+@query(rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+p AS (SELECT doc_id, {_sql_trimmed(r"string_split_regex(replace(t, chr(13) || chr(10), chr(10)), '\n[\t\n\f\r ]*\n+')")} AS paragraphs,
+        {_sql_trimmed("list_append(regexp_extract_all(t, '[^。！？.!?]*[。！？.!?]+'), regexp_extract(t, '[^。！？.!?]*$'))")} AS sentences, right(t, 40) AS tail FROM d)
+SELECT doc_id, array_to_string(paragraphs, chr(30)) AS paragraphs, array_to_string(sentences, chr(30)) AS sentences, tail FROM p""")
+def text_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """Paragraphs, sentences and the last characters of every document, by column functions."""
+    own = tables.load(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    joined = lambda c: F.array_join(c, "\x1e")
+    return own.select("doc_id", joined(text.paragraphs(F.col("t"))).alias("paragraphs"), joined(text.sentences(F.col("t"))).alias("sentences"), text.tail(F.col("t"), 40).alias("tail"))
