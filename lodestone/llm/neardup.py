@@ -13,12 +13,14 @@ representative is compared with the leader of each of its buckets, the member th
 company over all its buckets; linked ones become one class by minimum-label propagation.
 Buckets of over SMALL rows get further leaders, others each time.  Such a round makes at most
 one pair per bucket row.  Then all pairs across classes that share a bucket are compared.
-Where the bucket has more than SMALL rows an exact filter comes first.  Each edit touches at
-most two pairs of neighbouring words, so texts of at most n words with a similarity of 0.8
-have at least 0.6 n - 1 labelled word pairs in common; of two such sets, sorted alike (rare
-ones first), the first common element comes so early that enough are left behind it.  Texts
-without such an element cannot be linked.  So one rule holds for buckets of all sizes: every
-pair that shares a bucket is compared, of one class already, or ruled out.
+Buckets of over SMALL rows are dealt out for that in parts of about PART rows, those of the
+bucket's largest class apart from the others; two parts meet in a task, which rules pairs out
+by their word counts and aligns the rest, but not those that its links have joined already.
+Parts of the largest class do not meet each other.  So one rule holds for buckets of all
+sizes: every pair that shares a bucket is of one class already, compared, or ruled out exactly.
+
+Common words at both ends are cut off before an alignment, and none is made where the counts
+of words alone already differ by too much.
 
 Members carry ids and buckets only.  Texts of those that share a bucket are shuffled once,
 into a table bucketed by id, so that rounds move a pair's rows to the texts; one text a pair
@@ -29,7 +31,6 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,9 +41,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import discard, shared_dir, stored, table, whole_row, words_of
 
 K, ELL, SKETCHES, SIMILARITY = 5, 3, 24, 0.8
-#: Share of a text's words that word pairs in common number at least, but for one: each edit touches two.
-COMMON = 1 - 2 * (1 - SIMILARITY)
-ROUNDS, SMALL, PART, COUNTERS, BLOCKS = 2, 64, 512, 1 << 20, 16
+ROUNDS, SMALL, PART, PART_WORDS, BINS = 2, 64, 512, 400_000, 128
 _SEEDS = np.random.RandomState(20).randint(1, 2**62, size=(2, 256), dtype=np.int64).astype(np.uint64)
 
 
@@ -121,76 +120,70 @@ def _sketched(labelled: np.ndarray, low: int, high: int, ell: int) -> list[int]:
 
 
 def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
-    """Word edit distance within a band of ``most`` diagonals to each side; None beyond.
+    """Word edit distance within a band of ``most`` diagonals to each side; None beyond."""
+    a, b = _without_ends(a, b)
+    if len(a) < len(b):
+        a, b = b, a
+    if len(a) - len(b) > most:
+        return None
+    if len(a) <= most:  # the band holds all cells; a few more diagonals do no harm
+        return _banded(a, b, len(a)) if len(b) else len(a)
+    return d if (d := _banded(a, b, most)) <= most else None
 
-    Bands of 8, 32, 128, ... are tried until the distance fits, so close pairs cost little.
-    """
+
+def _without_ends(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both without the words that they have in common at their ends; the distance is the same."""
     n = min(len(a), len(b))
     head = int(np.argmin(np.r_[a[:n] == b[:n], False]))
-    a, b = a[head:], b[head:]
-    n = min(len(a), len(b))
+    a, b, n = a[head:], b[head:], n - head
     tail = int(np.argmin(np.r_[a[::-1][:n] == b[::-1][:n], False]))
-    a, b = a[: len(a) - tail], b[: len(b) - tail]
-    if abs(len(a) - len(b)) > most:
-        return None
-    band = min(most, max(8, abs(len(a) - len(b))))
-    while True:
-        d = _banded(a, b, band)
-        if d <= band:
-            return d
-        if band >= most:
-            return None
-        band = min(most, band * 4)
+    return a[: len(a) - tail], b[: len(b) - tail]
 
 
 def _banded(a: np.ndarray, b: np.ndarray, band: int) -> int:
-    """Distance along paths within the band, or some number above the band: cell (i, j) sits at j - i + band of row i."""
-    width, m = 2 * band + 1, len(b)
-    far = np.int64(1 << 40)
-    steps = np.arange(width, dtype=np.int64)
-    row = np.where(steps >= band, steps - band, far)
-    row[band + m + 1 :] = far
-    padded = np.r_[np.zeros(band + 1, dtype=np.uint64), b, np.zeros(width + band, dtype=np.uint64)]
-    for i in range(1, len(a) + 1):
-        # column j = i - band + step; the word before it is b[j - 1] = padded[j + band]
-        swap = row + (padded[i : i + width] != a[i - 1])
-        drop = np.r_[row[1:], far] + 1
-        row = np.minimum(swap, drop)
-        low, high = band - i, band - i + m  # steps of columns 0 and m
-        if low >= 0:
-            row[:low] = far
-            row[low] = i
-        if high + 1 < width:
-            row[max(0, high + 1) :] = far
-        row = np.minimum.accumulate(row - steps) + steps
-        if high + 1 < width:
-            row[max(0, high + 1) :] = far
-        if not i % 32 and row.min() > band:  # the least of a row never falls
-            return int(far)
-    at = m - len(a) + band
-    return int(row[at]) if 0 <= at < width else int(far)
-
-
-def word_pairs(hashes: np.ndarray) -> np.ndarray:
-    """Sorted hashes of neighbouring words, labelled with their occurrence numbers, so that they are distinct."""
-    return np.sort(_labelled(shingles(hashes, 2))[0])
-
-
-def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY, pairs: np.ndarray | None = None) -> bool:
-    """Whether the word edit similarity of two word-hash sequences reaches ``least``.
-
-    Word pairs in common are counted first: with fewer than the distance allows no alignment is
-    made.  pairs: those of a, if known.
+    """Distance of ``a`` from ``b`` (not longer) along paths within the band; any number above ``band`` if there is none.
+
+    A column of the band is kept as two numbers whose bits say where it rises and falls (the
+    known bit-vector form of the alignment); from column to column the band moves down by one.
     """
+    width = 2 * band + 2
+    mask, top = (1 << width) - 1, 1 << (width - 1)
+    places: dict[int, int] = {}
+    for i, x in enumerate(a.tolist()):  # bit width + i: word i, so that a window may begin before the first
+        places[x] = places.get(x, 0) | 1 << (width + i)
+    rise, fall, d = mask & ~((1 << (width - band - 1)) - 1), 0, band
+    longest = 2 * band + len(b) - len(a)  # beyond it d cannot come back to the band
+    edge = top >> 1
+    for j, y in enumerate(b.tolist()):
+        here = places.get(y, 0) >> (j + band + 1) & mask
+        diagonal = ((((here & rise) + rise) ^ rise) | here | fall) & mask
+        right, left = fall | (mask & ~(diagonal | rise)), diagonal & rise
+        if j < len(a) - band:
+            d += not diagonal & top
+        else:
+            d += bool(right & edge) - bool(left & edge)
+            edge >>= 1
+        if d > longest:
+            return band + 1
+        rise, fall = left | (mask & ~(diagonal >> 1 | right)), diagonal >> 1 & right
+    return d
+
+
+def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
+    """Whether the word edit similarity of two word-hash sequences reaches ``least``."""
     if not len(a) or not len(b):
         return False
     longest = max(len(a), len(b))
     most = int((1 - least) * longest + 1e-9)
     if longest - min(len(a), len(b)) > most:
         return False
-    both = np.concatenate([word_pairs(a) if pairs is None else pairs, word_pairs(b)])
-    both.sort(kind="stable")
-    if np.count_nonzero(both[1:] == both[:-1]) < longest - 1 - 2 * most:
+    a, b = _without_ends(a, b)
+    longest = max(len(a), len(b))
+    if longest <= most or not len(a) or not len(b):
+        return longest <= most
+    _, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = (np.bincount(part, minlength=len(place)) for part in (place[: len(a)], place[len(a) :]))
+    if longest - int(np.minimum(x, y).sum()) > most:
         return False
     return edit_distance(a, b, most) is not None
 
@@ -219,14 +212,13 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, left, own = None, None, None
+        last, left = None, None
         for batch in batches:
             keep = []
             for lead, x, y in zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)), strict=True):
                 if lead != last:
                     last, left = lead, word_hashes(words_of(x))
-                    own = word_pairs(left)
-                keep.append(similar(left, word_hashes(words_of(y)), pairs=own))
+                keep.append(similar(left, word_hashes(words_of(y))))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     load = pairs.groupBy("lead").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
@@ -237,95 +229,101 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return right.join(left, ["lead", "part"]).select("a", "b", "lead", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def early_pairs(texts: DataFrame) -> DataFrame:
-    """``id, n, gram, place, class_id`` for the places of a document's sorted word pairs where a first common one can be, given ``id, text, class_id``; n is the number of words.
-
-    Word pairs are sorted by their number over all of ``texts``, counted in COUNTERS hashed
-    counters (a bounded array), and then by value.  Any order that all documents share is
-    exact; that rare ones come first only keeps candidates few.
-    """
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = np.zeros(COUNTERS, dtype=np.int64)
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                np.add.at(counters, (word_pairs(word_hashes(words_of(text))) % np.uint64(COUNTERS)).astype(np.int64), 1)
-        yield packed(dict(enumerate(counters.reshape(BLOCKS, -1))))
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                part = np.frombuffer(zlib.decompress(data), dtype=np.int64)
-                total[block] = total[block] + part if block in total else part
-        yield packed(total)
-
-    def packed(parts: dict[int, np.ndarray]) -> pa.RecordBatch:
-        parts = {k: v for k, v in parts.items() if v.any()}
-        return pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array([zlib.compress(v.tobytes(), 1) for v in parts.values()], pa.binary())], ["block", "counters"])
-
-    spark, schema = texts.sparkSession, "block int, counters binary"
-    sums = texts.select("text").mapInArrow(count, schema).repartition(BLOCKS, "block").mapInArrow(add, schema)
-    numbers = np.zeros((BLOCKS, COUNTERS // BLOCKS), dtype=np.int64)
-    for r in sums.collect():  # at most BLOCKS rows, COUNTERS numbers in all
-        numbers[r.block] = np.frombuffer(zlib.decompress(r.counters), dtype=np.int64)
-    numbers = numbers.reshape(-1)
-    shared = spark.sparkContext.broadcast(numbers)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = shared.value
-        for batch in batches:
-            for doc_id, text, class_id in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                hashes = word_hashes(words_of(text))
-                grams, n = word_pairs(hashes), len(hashes)
-                order = np.lexsort((grams, numbers[(grams % np.uint64(COUNTERS)).astype(np.int64)]))
-                early = grams[order[: int((1 - COMMON) * n + 1e-9) + 1]].view(np.int64)
-                for at in range(0, len(early), 100_000):
-                    part = early[at : at + 100_000]
-                    same = [pa.array(np.full(len(part), x, dtype=np.int64)) for x in (doc_id, n, class_id)]
-                    yield pa.RecordBatch.from_arrays([same[0], same[1], pa.array(part), pa.array(np.arange(at, at + len(part))), same[2]], ["id", "n", "gram", "place", "class_id"])
-
-    return texts.select("id", "text", "class_id").mapInArrow(run, "id long, n long, gram long, place long, class_id long")
-
-
-def filtered_pairs(early: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` across classes that can reach the similarity, from ``id, n, gram, place, class_id``; every such pair is there.
+def large_links(rows: DataFrame, members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links ``a, b`` across classes within large buckets, given ``bucket, id, n_words, class_id`` of these.
 
-    The most frequent class of a word pair is not joined with itself, so one large class costs a
-    row of its own for each row of other classes only.  Frequent word pairs are dealt out in parts.
+    Rows of a bucket's largest class make parts of their own, as do the others; each part of the
+    others meets all parts.  A pair is looked at in the first bucket that it shares.
     """
-    of_class = early.groupBy("gram", "class_id").agg(F.count("*").alias("rows"))
-    main = of_class.groupBy("gram").agg(F.max_by("class_id", F.struct("rows", "class_id")).alias("main"), F.count("*").alias("classes"), F.ceil(F.sum("rows") / PART).cast("int").alias("parts")).where("classes > 1").select("gram", "main", "parts")
-    mixed = early.join(main, "gram")
-    other = mixed.select("gram", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("place").alias("place2"), F.col("class_id").alias("class2"))
-    # a text of n words has n - 1 word pairs, of which place are before this one
-    left = F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2")) - 1
-    enough = (left >= COMMON * F.greatest("n", "n2") - 1 - 1e-6) & _lengths_fit("n", "n2")
-    own = mixed.where("class_id <> main").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    met = own.join(other, ["gram", "part"]).where((F.col("class_id") != F.col("class2")) & enough)
-    return met.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
+    of_class = rows.groupBy("bucket", "class_id").agg(F.count("*").alias("rows"), F.sum("n_words").alias("words"))
+    main = F.max_by(F.struct("class_id", "rows", "words"), F.struct("rows", "class_id"))
+    shape = of_class.groupBy("bucket").agg(main.alias("main"), F.sum("rows").alias("rows"), F.sum("words").alias("words"), F.count("*").alias("classes")).where("classes > 1")
+    parts = lambda n, words: F.ceil(F.greatest(n / PART, words / PART_WORDS)).cast("int")
+    shape = shape.select("bucket", F.col("main.class_id").alias("main"), parts(F.col("main.rows"), F.col("main.words")).alias("p"), parts(F.col("rows") - F.col("main.rows"), F.col("words") - F.col("main.words")).alias("q"))
+    own = rows.join(shape, "bucket").withColumn("others", F.col("class_id") != F.col("main"))
+    part = F.when(F.col("others"), F.col("p") + F.pmod(F.xxhash64("id"), F.col("q"))).otherwise(F.pmod(F.xxhash64("id"), F.col("p"))).cast("int")
+    meets = F.when(F.col("others"), F.sequence(F.lit(0), F.col("p") + F.col("q") - 1)).otherwise(F.sequence(F.col("p"), F.col("p") + F.col("q") - 1))
+    dealt = own.withColumn("part", part).select("bucket", "id", "class_id", "part", F.explode(meets).alias("other"))
+    held = members.select("id", F.transform("buckets", lambda x: x["bucket"]).alias("held"))
+    dealt = dealt.join(held, "id").join(texts, "id")
+    dealt = dealt.select("bucket", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "id", "class_id", "held", "text")
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("id")
+        bucket = group.column("bucket")[0].as_py()
+        low, high = group.column("low")[0].as_py(), group.column("high")[0].as_py()
+        ids, part, classes = (group.column(c).to_numpy() for c in ("id", "part", "class_id"))
+        held = [set(x) for x in group.column("held").to_pylist()]
+        words = [word_hashes(words_of(t)) for t in group.column("text").to_pylist()]
+        length = np.array([len(w) for w in words])
+        counts = np.stack([np.bincount((w % np.uint64(BINS)).astype(np.int64), minlength=BINS) for w in words]).astype(np.int32)
+        label = {c: c for c in classes.tolist()}
+
+        def root(c: int) -> int:
+            while label[c] != c:
+                c = label[c]
+            return c
+
+        left = np.flatnonzero(part == high)
+        right = left if low == high else np.flatnonzero(part == low)
+        found: list[tuple[int, int]] = []
+        for i in left.tolist():
+            j = right[right > i] if low == high else right
+            longest = np.maximum(length[j], length[i])
+            j = j[(classes[j] != classes[i]) & (np.minimum(length[j], length[i]) >= SIMILARITY * longest - 1e-6)]
+            # one edit changes two counts at most
+            far = np.abs(counts[j] - counts[i]).sum(axis=1)
+            j = j[far <= 2 * ((1 - SIMILARITY) * np.maximum(length[j], length[i]) + 1e-6)]
+            for k in j.tolist():
+                a, b = root(int(classes[i])), root(int(classes[k]))
+                if a != b and min(held[i] & held[k]) == bucket and similar(words[i], words[k]):
+                    label[max(a, b)] = min(a, b)
+                    found.append((int(min(ids[i], ids[k])), int(max(ids[i], ids[k]))))
+        a, b = zip(*found, strict=True) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return dealt.groupBy("bucket", "low", "high").applyInArrow(run, "a long, b long").distinct()
 
 
 def components(links: DataFrame, out_dir: str) -> DataFrame:
     """``id, class_id`` of every id in ``links`` (a, b): the least id that it is connected with.
 
-    Each round takes the least label among neighbours and then the label's own label
-    (pointer jumping), and is written to the shared folder; rounds grow with the logarithm of
-    the longest chain.
+    Each round points every id to the least of its neighbours and itself, and on to where these
+    point in the end; edges are then drawn between what their ends point to, and those within one drop out.
+    Rounds, written to the shared folder, grow with the logarithm of the longest chain, and each
+    works on what is left of the edges.
     """
-    both = stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{out_dir}/edges")
-    labels = stored(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("a")).alias("class_id")), f"{out_dir}/labels-0")
-    for n in range(1, 200):
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("class_id").alias("near"))
-        better = labels.join(near, "id").select("id", "class_id", F.least("class_id", "near").alias("to"))
-        jump = labels.select(F.col("id").alias("to"), F.col("class_id").alias("jumped"))
-        new = better.join(jump, "to").select("id", F.least("to", "jumped").alias("class_id"), (F.least("to", "jumped") != F.col("class_id")).alias("changed"))
-        labels = stored(new, f"{out_dir}/labels-{n}")
-        changed = labels.where("changed").limit(1).count()
-        labels = labels.select("id", "class_id")
-        if not changed:
-            return labels
-    raise RuntimeError("components did not settle")
+    apart = lambda rows, a, b: rows.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct()
+    edges, rounds = stored(apart(links, "a", "b"), f"{out_dir}/edges-0"), []
+    while edges.limit(1).count():
+        n = len(rounds)
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        points = stored(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("class_id")), f"{out_dir}/points-{n}-0")
+        for k in range(1, 64):  # each pass doubles the way; most end after two
+            on = points.select(F.col("id").alias("class_id"), F.col("class_id").alias("on"))
+            points = stored(points.join(on, "class_id").select("id", F.col("on").alias("class_id"), (F.col("on") != F.col("class_id")).alias("moved")), f"{out_dir}/points-{n}-{k}")
+            if not points.where("moved").limit(1).count():
+                break
+        rounds.append(points.select("id", "class_id"))
+        ends = rounds[-1].select(F.col("id").alias("a"), F.col("class_id").alias("x")), rounds[-1].select(F.col("id").alias("b"), F.col("class_id").alias("y"))
+        edges = stored(apart(edges.join(ends[0], "a").join(ends[1], "b"), "x", "y"), f"{out_dir}/edges-{n + 1}")
+    if not rounds:
+        return edges.select(F.col("a").alias("id"), F.col("b").alias("class_id"))
+    labels = rounds.pop()
+    while rounds:  # from the last round, of few ids, to the first
+        further = labels.select(F.col("id").alias("class_id"), F.col("class_id").alias("last"))
+        labels = stored(rounds.pop().join(further, "class_id", "left").select("id", F.coalesce("last", "class_id").alias("class_id")), f"{out_dir}/labels-{len(rounds)}")
+    return labels
+
+
+def merged(labels: DataFrame, found: DataFrame, out_dir: str) -> DataFrame:
+    """``id, class_id`` after the links ``found`` (a, b), given those of the links before."""
+    a, b = (labels.select(F.col("id").alias(x), F.col("class_id").alias(f"of_{x}")) for x in "ab")
+    between = found.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    joined = components(between, out_dir).select(F.col("id").alias("class_id"), F.col("class_id").alias("to"))
+    ids = found.select(F.col("a").alias("id")).unionByName(found.select(F.col("b").alias("id"))).distinct().join(labels, "id", "left_anti")
+    every = labels.unionByName(ids.select("id", F.col("id").alias("class_id")))
+    return stored(every.join(joined, "class_id", "left").select("id", F.coalesce("to", "class_id").alias("class_id")), f"{out_dir}/merged")
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -382,16 +380,21 @@ def _compared(members: DataFrame, texts: DataFrame, out: str) -> tuple[DataFrame
         if turn < ROUNDS:  # every member against the leader of this turn
             pairs = _leader_pairs(now if turn == 0 else now.where(F.col("n") > SMALL), turn)
         else:  # all that buckets still hold in different classes
-            pairs = _mixed_pairs(now, members, texts, out)
+            mixed = now.groupBy("bucket").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high")).where("low <> high").select("bucket")
+            now = stored(now.join(mixed, "bucket"), f"{out}/mixed")
+            pairs = _small_pairs(now.where(F.col("n") <= SMALL))
         pairs = pairs.groupBy("a", "b").agg(F.min("lead").alias("lead"))
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stored(pairs, f"{out}/pairs-{turn}")
-        found = stored(verify(pairs, texts), f"{out}/links-{turn}")
+        found = verify(pairs, texts)
+        if turn == ROUNDS:
+            found = found.unionByName(large_links(now.where(F.col("n") > SMALL).select("bucket", "id", "n_words", "class_id"), members, texts)).distinct()
+        found = stored(found, f"{out}/links-{turn}")
         tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
         if found.limit(1).count():
             links = links.unionByName(found)
-            labels = components(links, f"{out}/classes-{turn}")
+            labels = merged(labels, found, f"{out}/classes-{turn}")
     return labels, links
 
 
@@ -417,21 +420,11 @@ def _leader_pairs(now: DataFrame, turn: int) -> DataFrame:
     return met.select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b"), F.col("lead.id").alias("lead"))
 
 
-def _mixed_pairs(now: DataFrame, members: DataFrame, texts: DataFrame, out: str) -> DataFrame:
+def _small_pairs(few: DataFrame) -> DataFrame:
     """``a, b, lead`` of all pairs of different classes that share a bucket and can be similar."""
-    mixed = now.groupBy("bucket").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high")).where("low <> high").select("bucket")
-    now = stored(now.join(mixed, "bucket"), f"{out}/mixed")
-    few = now.where(F.col("n") <= SMALL)
     other = few.select("bucket", F.col("id").alias("b"), F.col("class_id").alias("other"), F.col("n_words").alias("length"))
-    pairs = few.withColumnRenamed("id", "a").join(other, "bucket").where("a < b and class_id <> other").where(_lengths_fit("n_words", "length")).select("a", "b")
-    many = now.where(F.col("n") > SMALL).select("id", "class_id").distinct()
-    early = stored(early_pairs(texts.join(many, "id")), f"{out}/early")
-    passed = stored(filtered_pairs(early), f"{out}/passed")
-    held = members.select("id", F.transform("buckets", lambda x: x["bucket"]).alias("own"))
-    for side in "ab":
-        passed = passed.join(held.select(F.col("id").alias(side), F.col("own").alias(f"own_{side}")), side)
-    pairs = pairs.unionByName(passed.where(F.arrays_overlap("own_a", "own_b")).select("a", "b"))
-    return pairs.withColumn("lead", F.col("a"))
+    pairs = few.withColumnRenamed("id", "a").join(other, "bucket").where("a < b and class_id <> other").where(_lengths_fit("n_words", "length"))
+    return pairs.select("a", "b", F.col("a").alias("lead"))
 
 
 def _lengths_fit(a: str, b: str) -> Column:

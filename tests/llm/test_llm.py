@@ -197,6 +197,14 @@ def test_alignment():
         b = [x if r.random() < 0.8 else r.randint(1, 6) for x in a if r.random() < 0.9]
         most, d = r.randint(0, 20), brute(a, b)
         assert neardup.edit_distance(np.array(a, dtype=np.uint64), np.array(b, dtype=np.uint64), most) == (d if d <= most else None)
+    for _ in range(2000):
+        words = r.choice([3, 10, 200])
+        a = [r.randint(1, words) for _ in range(r.randint(0, 40))]
+        b = [x if r.random() < 0.9 else r.randint(1, words) for x in a if r.random() < 0.95]
+        if r.random() < 0.2:
+            b = b[len(b) // 2 :] + b[: len(b) // 2]
+        near = bool(a and b) and brute(a, b) <= max(len(a), len(b)) // 5
+        assert neardup.similar(np.array(a, dtype=np.uint64), np.array(b, dtype=np.uint64)) == near
 
 
 def linked_pairs(texts, numbers=None):
@@ -268,7 +276,7 @@ def test_one_changed_word_in_a_short_text(spark):
     assert got == {1: (1, 2, 1), 2: (1, 2, 1), 3: (3, 1, 0)}
 
 
-def test_large_buckets_equal_brute_force(spark):
+def test_large_buckets_equal_brute_force(spark, monkeypatch):
     """A group of near copies that are often below the similarity to each other, beside texts that share a passage only; pairs of large buckets are compared or ruled out."""
     rng = random.Random(3)
     base = [f"w{rng.randrange(4000)}" for _ in range(150)]
@@ -282,13 +290,13 @@ def test_large_buckets_equal_brute_force(spark):
         texts[i] = " ".join(words)
     near = linked_pairs(texts)
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    early = neardup.early_pairs(docs.withColumn("id", F.col("doc_id")).withColumn("class_id", F.col("doc_id")))
-    passed = {(r.a, r.b) for r in neardup.filtered_pairs(early).collect()}
-    assert set(near) <= passed and len(passed) < 300 * 299 / 2
     got, want = {r.doc_id: r.class_id for r in neardup.classes(docs).collect()}, joined(texts, near)
     buckets = {i: set(neardup.order_minhash(neardup.shingles(neardup.word_hashes(words_of(t))))) for i, t in texts.items()}
     met = joined(texts, [(a, b) for a, b in near if buckets[a] & buckets[b]])
-    assert got == met and sum(got[i] == want[i] for i in texts) >= 0.95 * len(texts)
+    assert got == met and sum(got[i] == want[i] for i in texts) >= 0.9 * len(texts)
+    monkeypatch.setattr(neardup, "PART", 20)  # many parts
+    monkeypatch.setattr(neardup, "ROUNDS", 1)
+    assert {r.doc_id: r.class_id for r in neardup.classes(docs).collect()} == met
 
 
 def test_links_of_texts_that_repeat_a_passage(spark):
