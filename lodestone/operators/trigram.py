@@ -3,16 +3,23 @@
 A word is a run of letters and digits, lower-cased and padded with two blanks in front and one
 behind.  The score is the greatest Jaccard similarity of the query's trigram set with the set
 of a contiguous stretch of the content's trigrams, as float32.
+
+A batch of queries is answered by a scan (``search``, ``overlap``): contents stay with their task
+and meet blocks of queries, so only found rows leave it.  ``TrigramIndex`` answers few queries
+with rare trigrams over contents that are indexed once.
 """
 
 from __future__ import annotations
 
+import functools
 import heapq
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +27,8 @@ from lodestone.constants import TRIGRAM_THRESHOLD
 from lodestone.shared import shared_dir, stored
 
 _WORD = re.compile(r"[^\W_]+")
+QUERY_BLOCK, BLOCK_GRAMS, ROWS, CHARACTERS, CELLS = 256, 65_536, 256, 262_144, 4_000_000
+COARSE, FINE = 14, 56  # parts that a content is cut into for bounds
 
 
 def trigrams(text: str) -> list[str]:
@@ -48,23 +57,51 @@ def word_similarity(query: set[str], content: list[str], before: np.ndarray | No
     distinct ones of all stretches of a block of starts are running sums.
     """
     inside = np.fromiter((t in query for t in content), dtype=bool, count=len(content))
+    return _best(inside, (previous(content) if before is None else before).astype(np.int32), len(query), *_runs(inside))
+
+
+def _runs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of query trigrams start, and where they have ended."""
     edge = np.diff(np.r_[False, inside, False].astype(np.int8))
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)  # runs [start, end)
-    if not len(starts):
-        return 0.0
-    before = (previous(content) if before is None else before).astype(np.int32)
-    best, total, rows = 0.0, len(query), max(1, 4_000_000 // len(content))
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+
+def _best(inside: np.ndarray, before: np.ndarray, total: int, starts: np.ndarray, ends: np.ndarray) -> float:
+    """The best stretch from one of ``starts`` to one of ``ends``."""
+    best, rows = 0.0, max(1, CELLS // max(1, len(inside)))
     for k in range(0, len(starts), rows):
         own, first = starts[k : k + rows, None], starts[k]
-        new = before[None, first : ends[-1]] < own
-        new &= np.arange(first, ends[-1])[None, :] >= own
-        cuts = np.r_[0, ends[k:-1] - first]
+        last = ends[ends > first]
+        if not len(last):
+            break
+        new = before[None, first : last[-1]] < own
+        new &= np.arange(first, last[-1])[None, :] >= own
+        cuts = np.r_[0, last[:-1] - first]
         size = np.cumsum(np.add.reduceat(new, cuts, axis=1, dtype=np.int32), axis=1)
-        common = np.cumsum(np.add.reduceat(new & inside[None, first : ends[-1]], cuts, axis=1, dtype=np.int32), axis=1)
+        common = np.cumsum(np.add.reduceat(new & inside[None, first : last[-1]], cuts, axis=1, dtype=np.int32), axis=1)
         best = max(best, float((common / (total + size - common)).max()))
     return float(np.float32(best))
 
 
+@functools.cache
+def _letters() -> np.ndarray:
+    """Which code points are letters or digits, as ``_WORD`` has them."""
+    return np.fromiter((chr(c).isalnum() for c in range(0x110000)), dtype=bool, count=0x110000)
+
+
+def coded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The trigrams of all texts in order as numbers, and where each text's begin, with the end of the last."""
+    lower = [t.lower() for t in texts]
+    points = np.frombuffer("\n\n\n".join([*lower, ""]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    points = np.r_[np.full(2, 32, dtype=np.int64), points]
+    letter = _letters()[points]
+    points[~letter] = 32
+    at = np.flatnonzero(letter[2:] | letter[1:-1])  # a trigram ends at each letter and behind each word
+    code = (np.where(letter[at + 1], points[at], 32) << 42) | (points[at + 1] << 21) | points[at + 2]
+    starts = np.cumsum([0, *(len(t) + 3 for t in lower)])
+    return code, np.searchsorted(at, starts)
+
+
 class TrigramIndex:
     """Postings of contents: which contents have a trigram, in a written table.
 
@@ -181,11 +218,185 @@ def _asked(batch: pa.RecordBatch) -> Iterator[tuple[int, str, list[str], list[tu
         yield own, content, trigrams(content or ""), queries
 
 
+class _Queries:
+    """A block of queries: ids, numbers of trigrams, and which of the block's trigrams (rows) each query (column) has."""
+
+    def __init__(self, rows: list[tuple[int, np.ndarray]]) -> None:
+        self.ids, self.sizes = np.array([q for q, _ in rows]), np.array([len(g) for _, g in rows], dtype=np.float32)
+        self.grams, column = np.unique(np.concatenate([g for _, g in rows]), return_inverse=True)
+        self.has = np.zeros((len(self.grams), len(rows)), dtype=np.float32)
+        self.has[column, np.repeat(np.arange(len(rows)), self.sizes.astype(np.int64))] = 1
+
+    def rows_of(self, code: np.ndarray) -> np.ndarray:
+        """The row of each trigram, or -1."""
+        at = np.minimum(np.searchsorted(self.grams, code), len(self.grams) - 1)
+        return np.where(self.grams[at] == code, at, -1)
+
+    def common(self, row: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+        """Trigrams in common of ``n`` contents (rows) and the queries (columns)."""
+        hit = row >= 0
+        used, column = np.unique(row[hit], return_inverse=True)
+        present = np.zeros((n, len(used)), dtype=np.float32)
+        present[owner[hit], column] = 1
+        return present @ self.has[used]
+
+
+class _Scan:
+    """The tasks' part: contents, a few at a time, against blocks of queries that are read from the shared folder."""
+
+    def __init__(self, queries: DataFrame) -> None:
+        own = queries.where("query <> '' and query_id is not null").select(F.col("query_id").cast("long").alias("query_id"), "query")
+        self.files = sorted(stored(own, f"{shared_dir(queries.sparkSession, 'queries')}/queries").inputFiles())
+
+    def blocks(self) -> Iterator[_Queries]:
+        from pyarrow import fs
+
+        held, n = [], 0
+        for uri in self.files:
+            system, path = fs.FileSystem.from_uri(uri)
+            with system.open_input_file(path) as source:
+                for batch in pq.ParquetFile(source).iter_batches(batch_size=QUERY_BLOCK):
+                    for query_id, query in zip(batch.column("query_id").to_pylist(), batch.column("query").to_pylist(), strict=True):
+                        grams = np.unique(coded([query])[0])
+                        if len(held) == QUERY_BLOCK or held and n + len(grams) > BLOCK_GRAMS:
+                            yield _Queries(held)
+                            held, n = [], 0
+                        if len(grams):
+                            held.append((query_id, grams))
+                            n += len(grams)
+        if held:
+            yield _Queries(held)
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[_Queries] | None = None
+        self.least: dict[int, list[float]] = {}
+        for batch in batches:
+            if kept is None:  # up to four blocks are kept, more are read again
+                kept = [b for b, _ in zip(self.blocks(), range(5), strict=False)]
+            for ids, texts in _slices(batch):
+                code, starts = coded(texts)
+                owner = np.repeat(np.arange(len(ids)), np.diff(starts))
+                before = _before(code, owner) - starts[owner] if self.needs_before else None
+                for block in kept if len(kept) < 5 else self.blocks():
+                    row = block.rows_of(code)
+                    yield self.found(block, ids, starts, row, before, block.common(row, owner, len(ids)))
+
+
+class _Overlap(_Scan):
+    schema, needs_before = "query_id long, id long, common long, query_size long", False
+
+    def found(self, block: _Queries, ids: np.ndarray, starts, row, before, common: np.ndarray) -> pa.RecordBatch:
+        i, j = np.nonzero((10 * common >= 3 * block.sizes) & (common > 0))
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (block.ids[j], ids[i], common[i, j].astype(np.int64), block.sizes[j].astype(np.int64))], ["query_id", "id", "common", "query_size"])
+
+
+class _Search(_Scan):
+    """Passes on what may be among the k best: bounds of the best stretch, coarse and then fine, rule out nearly all pairs before they are scored."""
+
+    schema, needs_before = "query_id long, id long, score double", True
+
+    def __init__(self, queries: DataFrame, k: int) -> None:
+        super().__init__(queries)
+        self.k = k
+
+    def found(self, block: _Queries, ids: np.ndarray, starts: np.ndarray, row: np.ndarray, before: np.ndarray, common: np.ndarray) -> pa.RecordBatch:
+        if len(self.least) > 100_000:
+            self.least.clear()
+        bound = np.array([self._bound(q) for q in block.ids.tolist()])
+        out = []
+        for i in np.argsort(-(common / block.sizes).max(axis=1), kind="stable").tolist():  # the best first, so that bounds rise early
+            asked = np.flatnonzero(common[i] >= (bound - 1e-5) * block.sizes)
+            own, last = row[starts[i] : starts[i + 1]], before[starts[i] : starts[i + 1]]
+            step = max(1, CELLS // max(1, len(own)))
+            for k in range(0, len(asked), step):
+                self._score(block, int(ids[i]), own, last, asked[k : k + step], bound, out)
+        columns = list(zip(*out, strict=True)) or [()] * 3
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], ["query_id", "id", "score"])
+
+    def _bound(self, query_id: int) -> float:
+        top = self.least.get(query_id, ())
+        return max(TRIGRAM_THRESHOLD, top[0] if len(top) == self.k else 0.0)
+
+    def _score(self, block: _Queries, own_id: int, row: np.ndarray, before: np.ndarray, asked: np.ndarray, bound: np.ndarray, out: list) -> None:
+        """Scores one content against the queries ``asked`` of the block, those that the bounds leave."""
+        inside = np.where((row >= 0)[:, None], block.has[row][:, asked], np.float32(0))
+        for parts in (COARSE, FINE):
+            ok, width = _cells(inside, before, block.sizes[asked], bound[asked] - 1e-5, parts)
+            left = ok.any(axis=(0, 1))
+            asked, inside, ok = asked[left], inside[:, left], ok[:, :, left]
+            if not len(asked):
+                return
+        for n, j in enumerate(asked.tolist()):
+            begin, end = ok[:, :, n].any(axis=1), ok[:, :, n].any(axis=0)
+            mine = inside[:, n] > 0
+            starts, ends = _runs(mine)
+            score = _best(mine, before, int(block.sizes[j]), starts[begin[starts // width]], ends[end[(ends - 1) // width]])
+            if score >= bound[j]:
+                query_id = int(block.ids[j])
+                out.append((query_id, own_id, score))
+                top = self.least.setdefault(query_id, [])
+                (heapq.heappush if len(top) < self.k else heapq.heappushpop)(top, score)
+                bound[j] = self._bound(query_id)
+
+
+def _cells(inside: np.ndarray, before: np.ndarray, sizes: np.ndarray, bound: np.ndarray, parts: int) -> tuple[np.ndarray, int]:
+    """Whether a stretch that starts in part a and ends in part b can reach the bound, as [a, b, query], and the width of a part.
+
+    It has at most the query's trigrams of the parts a to b, and at least the other ones of the
+    parts between.
+    """
+    n, (length, queries) = min(parts, len(inside)), inside.shape
+    width = -(-length // n)
+    n = -(-length // width)
+    padded = np.zeros((n * width, queries), dtype=np.float32)
+    padded[:length] = inside
+    first = np.arange(n)[:, None] * width
+    new = np.zeros((n, n * width), dtype=np.float32)  # [a, place]: first of its kind from part a on
+    new[:, :length] = (before[None, :] < first) & (np.arange(length)[None, :] >= first)
+    new = new.reshape(n, n, width)
+    common = np.matmul(new.transpose(1, 0, 2), padded.reshape(n, width, queries)).transpose(1, 0, 2).cumsum(axis=1)
+    other = new.sum(axis=2).cumsum(axis=1)[:, :, None] - common
+    common[:-1, 1:] -= bound.astype(np.float32) * other[1:, :-1]
+    return common >= bound.astype(np.float32) * sizes, width
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[str]]]:
+    """Ids and texts of up to ROWS rows that have up to CHARACTERS bytes or so, one row at least."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+    part, held, first = [], 0, 0
+    for at, size in enumerate(sizes.tolist()):
+        if at > first and (at - first == ROWS or held + size > CHARACTERS):
+            part.append((first, at))
+            first, held = at, 0
+        held += size
+    for start, end in [*part, (first, batch.num_rows)] if batch.num_rows else []:
+        rows = batch.slice(start, end - start)
+        yield rows.column(0).to_numpy(), [t or "" for t in rows.column(1).to_pylist()]
+
+
+def _before(code: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Place of the last equal trigram of the same text; before all places where there is none."""
+    order = np.lexsort((code, owner))
+    same = (code[order][1:] == code[order][:-1]) & (owner[order][1:] == owner[order][:-1])
+    out = np.full(len(code), -1, dtype=np.int64)
+    out[order[1:][same]] = order[:-1][same]
+    return out
+
+
+def _dealt(chunks: DataFrame) -> DataFrame:
+    """Contents dealt out by number: scoring outweighs the bytes, and few large files would be few tasks."""
+    spark = chunks.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return chunks.where("id is not null").select(F.col("id").cast("long").alias("id"), "content").repartition(n)
+
+
 def search(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """``query_id, id, score, rank``: the k best contents per query at or above the trigram threshold, through an index of ``chunks`` made for it."""
-    return TrigramIndex(chunks).search(queries, k)
+    """``query_id, id, score, rank``: the k best contents per query at or above the trigram threshold, by a scan of ``chunks``."""
+    found = _dealt(chunks).mapInArrow(_Search(queries, k), _Search.schema)
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def overlap(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """``query_id, id, common, query_size`` of the pairs that pass the lossless prefilter."""
-    return TrigramIndex(chunks).overlap(queries)
+    """``query_id, id, common, query_size`` of the pairs that pass the lossless prefilter, by a scan of ``chunks``; no pair is shuffled."""
+    return _dealt(chunks).mapInArrow(_Overlap(queries), _Overlap.schema)

@@ -308,6 +308,45 @@ def test_trigram_index_equals_all_pairs(spark, monkeypatch):
         assert got == sorted(want) and got
 
 
+def test_trigram_scan_equals_all_pairs_and_scores_few(spark, monkeypatch):
+    r = random.Random(8)
+    words = ["".join(r.choices("abcdeé日", k=r.randint(1, 8))) for _ in range(60)]
+    contents = [(i, " ".join(r.choices(words, k=r.randint(0, 40)))) for i in range(400)] + [(900, None), (901, "!!"), (902, "İ_x " + words[0])]
+    queries = [(i, " ".join(r.choices(words, k=r.randint(1, 9)))) for i in range(25)] + [(50, ""), (51, "?!")]
+    grams = {i: trigram.trigrams(c or "") for i, c in contents}
+    pairs, scores = set(), {}
+    for q, t in queries:
+        own = set(trigram.trigrams(t))
+        for i, g in grams.items():
+            common = len(own & set(g))
+            if common and 10 * common >= 3 * len(own):
+                pairs.add((q, i, common, len(own)))
+                scores[q, i] = trigram.word_similarity(own, g)
+    want = []
+    for q in {q for q, _ in scores}:
+        best = sorted((-s, i) for (p, i), s in scores.items() if p == q and s >= constants.TRIGRAM_THRESHOLD)[:4]
+        want += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
+    asked, chunks = spark.createDataFrame(queries, "query_id long, query string"), spark.createDataFrame(contents, "id long, content string")
+    found = trigram.overlap(asked, chunks)
+    assert {tuple(x) for x in found.collect()} == pairs and found.count() == len(pairs)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan  # contents are dealt out, pairs never
+    assert sorted((x.query_id, x.rank, x.id, x.score) for x in trigram.search(asked, chunks, 4).collect()) == sorted(want)
+    batches = chunks.toArrow().to_batches()
+    code, starts = trigram.coded([c or "" for _, c in contents])
+    assert [[tuple(map(ord, g)) for g in grams[i]] for i, _ in contents] == [[(c >> 42, c >> 21 & 0x1FFFFF, c & 0x1FFFFF) for c in code[a:b].tolist()] for a, b in zip(starts, starts[1:])]
+    scored, best = [], trigram._best
+    monkeypatch.setattr(trigram, "_best", lambda *a: scored.append(1) or best(*a))
+    for name, value in (("QUERY_BLOCK", 4), ("ROWS", 30)):  # many blocks, read again for each slice
+        monkeypatch.setattr(trigram, name, value)
+    got = {}
+    for batch in trigram._Search(asked, 4)(iter(batches)):
+        for row in batch.to_pylist():
+            got.setdefault(row["query_id"], []).append((-row["score"], row["id"]))
+    assert sorted((q, n, i, -s) for q, rows in got.items() for n, (s, i) in enumerate(sorted(rows)[:4], 1)) == sorted(want)
+    assert len(scored) < len(pairs) / 2
+
+
 def test_attributes_cursors_and_judge_texts(spark):
     row = spark.createDataFrame([({"b": "0", "a": "", "q": 'x"y', "n": None}, {"z": 0, "c": 7, "m": None}, "s" * 499 + "éa", " ok \n", [], ["t"])], "s map<string,string>, i map<string,long>, long string, short string, none array<string>, turns array<string>")
     got = row.select(text.clean_attrs(F.col("s"), F.col("i")), text.clean_attrs(F.map_filter("s", lambda k, v: v == ""), F.map_filter("i", lambda k, v: v == 0)), text.judge_cut(F.col("long")), text.judge_cut(F.col("short")), text.case_turns(F.lit("p"), F.col("none")), text.case_turns(F.lit("p"), F.col("turns"))).first()
