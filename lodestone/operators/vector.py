@@ -2,7 +2,8 @@
 
 Queries are written to the shared folder once and read by tasks in blocks; vectors stay where
 they are.  A task takes its vectors in blocks of ROWS, multiplies each with each block of
-queries and passes on at most k rows a query, so only candidates are shuffled.  ``group``
+queries, at most PAIRS pairs at once, and passes on at most k rows a query, so only candidates
+are shuffled.  ``group``
 separates models: a vector's group selects the queries it is multiplied with, all in one pass.
 
 The pivot index keeps vectors by their nearest pivot (of a sample of the vectors), with the
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from lodestone.shared import shared_dir, stored
 
 QUERY_BLOCK, ROWS, PIVOTS = 2048, 16_384, 1024
+PAIRS = 2_000_000  # scores that a task holds at once, whatever the numbers of vectors and queries
 SLACK = 1e-6  # of angles near 0 and pi, where rounding of cosines shows most
 
 
@@ -123,12 +125,13 @@ class _Scan:
                     near, far = angle[at].min(), angle[at].max()
                     gap = np.maximum(np.maximum(angles[:, cell] - far, near - angles[:, cell]), 0)
                     open_ &= np.cos(np.clip(gap - SLACK, 0, np.pi)) >= least - 1e-9
-                open_ = np.flatnonzero(open_)
-                if not len(open_):
-                    continue
-                score = np.nan_to_num(q[open_] @ unit[at].T, nan=-np.inf)
-                i, j = _chosen(score, ids[at], self.k, least[open_] - 1e-12)
-                yield pa.RecordBatch.from_arrays([pa.array(query_id[open_][i]), pa.array([group] * len(i), pa.string()), pa.array(ids[at][j]), pa.array(score[i, j])], ["query_id", "group", "id", "score"])
+                open_, mine, step = np.flatnonzero(open_), unit[at].T, max(1, PAIRS // len(at))
+                for first in range(0, len(open_), step):
+                    some = open_[first : first + step]
+                    score = q[some] @ mine
+                    np.nan_to_num(score, copy=False, nan=-np.inf)
+                    i, j = _chosen(score, ids[at], self.k, least[some] - 1e-12)
+                    yield pa.RecordBatch.from_arrays([pa.array(query_id[some][i]), pa.array([group] * len(i), pa.string()), pa.array(ids[at][j]), pa.array(score[i, j])], ["query_id", "group", "id", "score"])
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:

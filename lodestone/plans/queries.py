@@ -458,7 +458,8 @@ def _cases(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Per query vector: expected are the vectors of its label (none for label 0); results the ten nearest."""
     own, asked = _vectors(spark, d), _asked(spark, d)
     cases = asked.select(F.col("query_id").alias("name"), (F.col("label") != 0).alias("configured"), F.col("label").alias("wanted"))
-    found = vector.top_k(asked, own, 10, 64).where("id <> query_id").join(own.select("id", "label"), "id").select(F.col("query_id").alias("name"), "rank", F.col("id").alias("document_id"), "label")
+    nearest = stored(vector.top_k(asked, own, 10, 64), f"{shared_dir(spark, 'cases')}/nearest")  # at most ten rows a case; searched once for all uses
+    found = nearest.where("id <> query_id").join(own.select("id", "label"), "id").select(F.col("query_id").alias("name"), "rank", F.col("id").alias("document_id"), "label")
     found = found.join(cases.select("name", "wanted"), "name").select("name", "rank", "document_id", (F.col("label") == F.col("wanted")).alias("expected"))
     return found, cases.drop("wanted")
 

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -280,6 +281,22 @@ def test_pivot_index_equals_a_scan(spark):
     assert index.search(alone.limit(0), 3).count() == 0 and vector.PivotIndex(chunks.limit(0), 6).search(alone, 3).count() == 0
 
 
+def test_vector_scan_holds_few_scores_at_once(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    vectors = r.normal(size=(700, 6)).astype(np.float32)
+    chunks = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)] + [(900, [0.0] * 6)], "id long, embedding array<float>")
+    asked = chunks.where("id < 300 or id = 900").withColumnRenamed("id", "query_id")
+    want = sorted((x.query_id, x.id) for x in vector.top_k(asked, chunks, 5, 6).collect())
+    assert len(want) == 1500 and {(q, i) for q, i in want if q == 7} == {(7, i) for i in np.argsort(-(vectors @ vectors[7] / np.linalg.norm(vectors, axis=1)))[:5].tolist()}
+    held, chosen = [], vector._chosen
+    monkeypatch.setattr(vector, "_chosen", lambda score, *a: held.append(score.size) or chosen(score, *a))
+    monkeypatch.setattr(vector, "PAIRS", 5000)
+    scan = vector._Scan(vector._prepared(asked, 6, False), 5, 6)
+    batches = list(scan(iter(vector._rows(chunks, 6, None).toArrow().to_batches())))
+    assert max(held) <= 5000 and sum(held) == 301 * 701
+    assert sorted((x["query_id"], x["id"]) for x in spark.createDataFrame(pa.Table.from_batches(batches)).groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("score", "id")), False), 1, 5).alias("s")).select("query_id", F.explode("s.id").alias("id")).collect()) == want
+
+
 def test_trigram_index_equals_all_pairs(spark, monkeypatch):
     r = random.Random(7)
     words = ["".join(r.choices("abcdeé日", k=r.randint(1, 8))) for _ in range(60)]
