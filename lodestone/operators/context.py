@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,8 +35,12 @@ def recent_history(messages: DataFrame, keys: list[str], order: list[Column], le
     return own.withColumn("running", running).where((F.lit(budget) > 0) & (F.col("running") <= budget)).drop("__n")
 
 
-def _escaped(text: str) -> list[int]:
-    return [5 if c == "&" else 4 if c in "<>" else 1 for c in text]
+_WIDTHS = {"&": 5, "<": 4, ">": 4}
+
+
+def _escaped(text: str) -> int:
+    """Length of the escaped text."""
+    return len(text) + sum((w - 1) * text.count(c) for c, w in _WIDTHS.items())
 
 
 def _attribute(text: str) -> int:
@@ -52,7 +58,7 @@ def head_length(ref: str, name: str, section: str | None, page: int | None, trun
     return n + (len(' truncated="true"') if truncated else 0)
 
 
-def fill(items: list[dict], cap: int) -> list[dict]:
+def fill(items: Iterable[dict], cap: int) -> list[dict]:
     """Greedy fill in order: items below the floor and repeated ids go, one too large for what is left is skipped,
     and one too large for the whole cap is cut to what is left.  Refs count the items taken."""
     left, taken, seen = cap, [], set()
@@ -62,16 +68,15 @@ def fill(items: list[dict], cap: int) -> list[dict]:
         seen.add(item["id"])
         ref, content = f"S{len(taken) + 1}", item["content"] or ""
         head = (ref, item["name"] or str(item["document_id"]), item["section"], item["page"])
-        widths = _escaped(content)
-        size, cut = head_length(*head, False) + sum(widths), False
+        size, cut = head_length(*head, False) + _escaped(content), False
         if size > left:
             if size <= cap:
                 continue
             size, n, cut = head_length(*head, True), 0, True
             if size > left:
                 continue
-            while n < len(widths) and size + widths[n] <= left:
-                size += widths[n]
+            while n < len(content) and size + _WIDTHS.get(content[n], 1) <= left:
+                size += _WIDTHS.get(content[n], 1)
                 n += 1
             content = content[:n]
         left -= size
@@ -82,17 +87,37 @@ def fill(items: list[dict], cap: int) -> list[dict]:
 def select_evidence(rows: DataFrame, cap: int) -> DataFrame:
     """``turn_id, pos, id, document_id, name, section, page, content, score`` to the evidence taken per turn, by ``fill``.
 
-    A turn has at most a few hundred rows (three times the greatest top-k), so a group is small.
+    Rows below the floor, or without a score, go before they are shuffled; a turn's others are sorted within their
+    partition and filled as they come, many turns in one batch.
     """
+    names = ["turn_id", "pos", "id", "document_id", "name", "section", "page", "content", "score"]
+
+    def items(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                yield from batch.slice(at, 256).to_pylist()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = []
+        for _, turn in groupby(items(batches), key=lambda x: x["turn_id"]):
+            out += fill(turn, cap)
+            if len(out) >= 4096:
+                yield _taken(out)
+                out = []
+        yield _taken(out)
+
+    own = rows.select(*names).where(F.col("score") >= SCORE_FLOOR)
+    types = {"turn_id": "long", "id": "long", "document_id": "long", "page": "int", "score": "double"}
+    own = own.select(*(F.col(c).cast(types[c]).alias(c) if c in types else c for c in names))
+    return own.repartition("turn_id").sortWithinPartitions("turn_id", F.col("pos").asc_nulls_last()).mapInArrow(run, _TAKEN)
+
+
+_TAKEN = "turn_id long, ref string, id long, document_id long, content string, score double, truncated boolean, rendered long"
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        items = group.sort_values("pos").astype(object).where(group.notna(), None).to_dict("records")
-        for x in items:
-            x["page"] = None if x["page"] is None else int(x["page"])
-        taken = fill(items, cap)
-        return pd.DataFrame([(x["turn_id"], x["ref"], x["id"], x["document_id"], x["content"], x["score"], x["truncated"], x["rendered"]) for x in taken], columns=["turn_id", "ref", "id", "document_id", "content", "score", "truncated", "rendered"])
 
-    return rows.groupBy("turn_id").applyInPandas(run, "turn_id long, ref string, id long, document_id long, content string, score double, truncated boolean, rendered long")
+def _taken(items: list[dict]) -> pa.RecordBatch:
+    kinds = {"turn_id": pa.int64(), "ref": pa.string(), "id": pa.int64(), "document_id": pa.int64(), "content": pa.string(), "score": pa.float64(), "truncated": pa.bool_(), "rendered": pa.int64()}
+    return pa.RecordBatch.from_arrays([pa.array([x[c] for x in items], k) for c, k in kinds.items()], list(kinds))
 
 
 def cited(evidence: DataFrame, refs: DataFrame) -> DataFrame:

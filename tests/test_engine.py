@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -297,6 +298,31 @@ def test_vector_scan_holds_few_scores_at_once(spark, monkeypatch):
     assert sorted((x["query_id"], x["id"]) for x in spark.createDataFrame(pa.Table.from_batches(batches)).groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("score", "id")), False), 1, 5).alias("s")).select("query_id", F.explode("s.id").alias("id")).collect()) == want
 
 
+def test_chunkers_read_long_texts_once_and_count_across_pages(spark):
+    start = time.process_time()
+    for kind in ("sentence", "txt"):
+        assert len(chunkers.chunk_one(kind, "word " * 60_000, 500, 50)) == math.ceil((300_000 - 50) / 450)
+    assert time.process_time() - start < 5
+    pages = [(d, "txt", f"page {p} of {d}" if p != 2 else None, p) for d in range(40) for p in (3, 1, 2)]
+    docs = spark.createDataFrame(pages, "document_id long, file_type string, text string, page_number int").repartition(5)
+    found = chunkers.chunk_documents(docs, 500, 50)
+    assert sorted((r.document_id, r.page_number, r.chunk_index, r.content) for r in found.collect()) == [(d, p, i, f"page {p} of {d}") for d in range(40) for i, p in enumerate((1, 3))]
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+    batch = pa.RecordBatch.from_arrays([pa.array(["x" * 30, None, "", "y" * 80, "z"])], ["text"])
+    assert [p.num_rows for p in chunkers.slices(batch, 0, 50)] == [3, 1, 1]
+
+
+def test_evidence_of_many_turns_in_one_stream(spark):
+    r = random.Random(9)
+    rows = [(t, p, t * 10 + p % 6, t, r.choice(["n&", None, ""]), None if p % 2 else "s", 3 if p % 3 else None, "<&a" * r.randint(0, 90), r.choice([0.1, 0.2, 0.9])) for t in range(60) for p in range(8)]
+    names = ["turn_id", "pos", "id", "document_id", "name", "section", "page", "content", "score"]
+    found = context.select_evidence(spark.createDataFrame(r.sample(rows, len(rows)), "turn_id long, pos int, id long, document_id long, name string, section string, page int, content string, score double"), 700)
+    want = [x for t in range(60) for x in context.fill([dict(zip(names, y, strict=True)) for y in rows if y[0] == t], 700)]
+    assert sorted(tuple(x) for x in found.collect()) == sorted((x["turn_id"], x["ref"], x["id"], x["document_id"], x["content"], x["score"], x["truncated"], x["rendered"]) for x in want)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan and any(x["truncated"] for x in want)  # no call of pandas for each turn
+
+
 def test_trigram_index_equals_all_pairs(spark, monkeypatch):
     r = random.Random(7)
     words = ["".join(r.choices("abcdeé日", k=r.randint(1, 8))) for _ in range(60)]
