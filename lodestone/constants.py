@@ -11,6 +11,7 @@ MAX_WORKFLOW_STEPS, PAGE_DEFAULT, PAGE_MAX = 50, 20, 200
 LIMITER_COUNT, LIMITER_MINUTES, BREAKER_FAILURES, BREAKER_SECONDS = 10, 15, 5, 30
 #: White space that trimming of contents removes at both ends.
 TRIM_CLASS = "\\t\\n\\x0b\\f\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+TRIM_CHARS = "".join(chr(c) for c in (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 
 
 def clamp_top_k(k: int) -> int:

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lodestone.constants import TRIM_CLASS
+from lodestone.constants import TRIM_CHARS
 
 
 def trimmed(text: Column) -> Column:
     """Without Unicode white space at both ends."""
-    return F.regexp_replace(text, f"^[{TRIM_CLASS}]+|[{TRIM_CLASS}]+$", "")
+    return F.btrim(text, F.lit(TRIM_CHARS))  # looks at the ends only
 
 
 def dedup_key(content: Column) -> Column:
