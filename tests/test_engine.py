@@ -312,6 +312,14 @@ def test_chunkers_read_long_texts_once_and_count_across_pages(spark):
     assert [p.num_rows for p in chunkers.slices(batch, 0, 50)] == [3, 1, 1]
 
 
+def test_sentences_of_a_long_text_are_split_once(spark):
+    start = time.time()
+    rows = spark.createDataFrame([("...a?! b。 c",), ("",), ("no mark",)], "t string")
+    assert [r[0] for r in rows.select(text.sentences(F.col("t"))).collect()] == [["...", "a?!", "b。", "c"], [], ["no mark"]]
+    assert spark.range(1).select(F.size(text.sentences(F.repeat(F.lit("é a. "), 200_000)))).first()[0] == 200_000
+    assert time.time() - start < 20
+
+
 def test_evidence_of_many_turns_in_one_stream(spark):
     r = random.Random(9)
     rows = [(t, p, t * 10 + p % 6, t, r.choice(["n&", None, ""]), None if p % 2 else "s", 3 if p % 3 else None, "<&a" * r.randint(0, 90), r.choice([0.1, 0.2, 0.9])) for t in range(60) for p in range(8)]
