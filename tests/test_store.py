@@ -114,3 +114,15 @@ def test_messages_and_citations_together(spark, tmp_path):
     assert log.read("messages").count() == log.read("citations").count() == 0
     assert log.append("turn-1", {"messages": ok, "citations": rows}) and not log.append("turn-1", {"messages": ok, "citations": rows})
     assert [tuple(r) for r in log.read("messages", named=True).collect()] == [(1, "a", "turn-1")] and log.read("citations").count() == 1
+
+
+def test_embedding_hashes_every_three_bytes():
+    import zlib
+
+    for text in ("", "a", "é", "Abc", "日本 text " * 9):
+        data, plain = text.lower().encode(), [0.0] * 8
+        for j in range(max(1, len(data) - 2)):
+            h = zlib.crc32(data[j : j + 3])
+            plain[h % 8] += 1 if h & 0x10000 else -1
+        norm = sum(x * x for x in plain) ** 0.5
+        assert all(abs(a - (b / norm if norm else 0)) < 1e-12 for a, b in zip(EMBED([text])[0], plain, strict=True))
