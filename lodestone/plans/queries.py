@@ -939,9 +939,12 @@ def glyph_file_pages(spark: SparkSession, d: str) -> DataFrame:
     """Glyph layers written as files, words as glyphs with gaps between, twenty lines a page, and read back through the data source; pages without glyphs stay."""
     lines = tables.load(spark, d, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("n", "line"))
     words = F.filter(F.split("line", " "), lambda x: x != "")
-    before = lambda i: F.aggregate(F.slice(words, 1, i), F.lit(0), lambda a, x: a + F.length(x) + 2)
     number = lambda v: v.cast("double").cast("string")
-    placed = F.transform(words, lambda w, i: F.concat(F.lit("["), number(before(i)), F.lit(","), number(-10 * F.col("n")), F.lit(","), number(F.length(w)), F.lit(","), F.substring(F.to_json(F.array(w)), F.lit(2), F.length(F.to_json(F.array(w))) - 2), F.lit("]")))
+    quoted = lambda w: F.substring(F.to_json(F.array(w)), F.lit(2), F.length(F.to_json(F.array(w))) - 2)
+    glyph = lambda w, x: F.concat(F.lit("["), number(x), F.lit(","), number(-10 * F.col("n")), F.lit(","), number(F.length(w)), F.lit(","), quoted(w), F.lit("]"))
+    # a line's words are split once and lie in columns as wide as its longest word and the gap
+    laid = F.transform(F.array(words), lambda ws: F.struct(ws.alias("words"), (F.array_max(F.transform(ws, F.length)) + 2).alias("width")))
+    placed = F.flatten(F.transform(laid, lambda l: F.transform(l["words"], lambda w, i: glyph(w, i * l["width"]))))
     pages = lines.select("doc_id", (F.floor(F.col("n") / 20) + 1).alias("page"), placed.alias("glyphs")).groupBy("doc_id", "page").agg(F.flatten(F.collect_list("glyphs")).alias("glyphs"))
     row = F.concat(F.lit('{"document_id":'), F.col("doc_id").cast("string"), F.lit(',"page":'), F.col("page").cast("string"), F.lit(',"glyphs":['), F.array_join("glyphs", ","), F.lit("]}"))
     path = f"{shared_dir(spark, 'glyphs')}/files"

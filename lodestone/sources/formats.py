@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -17,6 +18,9 @@ CASES = "path string, name string, agent_id string, prompt string, turns array<s
 REPORTS = "path string, name string, score double, reasoning string, metrics map<string,double>, problem string"
 
 
+GLYPH_KINDS = {"path": pa.string(), "document_id": pa.int64(), "page": pa.int32(), "seq": pa.int32(), "x": pa.float64(), "y": pa.float64(), "w": pa.float64(), "s": pa.string(), "problem": pa.string()}
+
+
 def _open(uri: str) -> bytes:
     from pyarrow import fs
 
@@ -45,18 +49,30 @@ class FilesReader(DataSourceReader):
                 rows = list(self.parse(path, _open(path)))
             except Exception as error:  # noqa: BLE001  one bad file is a row of its own
                 rows = [(path, *[None] * (self.width - 2), f"{type(error).__name__}: {error}")]
-            yield from rows
+            yield from self.shown(rows)
+
+    def shown(self, rows: list[tuple]) -> Iterator:
+        return iter(rows)
+
+
+class ColumnsReader(FilesReader):
+    """The same in Arrow batches, for sources of many small rows."""
+
+    def shown(self, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(rows), 10_000):
+            columns = zip(*rows[at : at + 10_000], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, GLYPH_KINDS.values(), strict=True)], list(GLYPH_KINDS))
 
 
 class _Source(DataSource):
-    columns, parse = "", None
+    columns, parse, reading = "", None, FilesReader
 
     def schema(self) -> str:
         return self.columns
 
     def reader(self, schema) -> FilesReader:
         paths = json.loads(self.options["paths"])
-        return FilesReader(paths, type(self).parse, len(schema.fields), int(self.options.get("files", "16")))
+        return type(self).reading(paths, type(self).parse, len(schema.fields), int(self.options.get("files", "16")))
 
 
 def _number(value) -> float | None:
@@ -96,7 +112,7 @@ def reports(path: str, data: bytes) -> Iterator[tuple]:
 
 
 class GlyphSource(_Source):
-    columns, parse = GLYPHS, staticmethod(glyphs)
+    columns, parse, reading = GLYPHS, staticmethod(glyphs), ColumnsReader
 
     @classmethod
     def name(cls) -> str:
