@@ -22,10 +22,15 @@ def dedup_key(content: Column) -> Column:
 def fixed_windows(text: Column, size: int, overlap: int) -> Column:
     """Windows of ``size`` code points at steps of ``size - overlap`` up to the one that reaches the end; trimmed, blank ones dropped."""
     size, overlap = chunk_params(size, overlap)
-    step, n = size - overlap, F.length(text)
-    starts = F.filter(F.sequence(F.lit(0), n - 1, F.lit(step)), lambda p: (p == 0) | (p - step + size < n))
-    chunks = F.filter(F.transform(starts, lambda p: trimmed(F.substring(text, p + 1, size))), lambda c: c != "")
-    return F.when(n > 0, chunks).otherwise(F.array().cast("array<string>"))
+    step = size - overlap
+    # a place in a text is found by counting from its start: the text is measured once and cut into
+    # stretches of as many windows as there are stretches, and these into windows
+    measured = F.transform(F.array(F.struct(text.alias("text"), F.length(text).alias("n"))), lambda o: F.struct(o["text"].alias("text"), F.greatest(F.lit(1), F.ceil((o["n"] - size) / step).cast("int") + 1).alias("windows")))
+    many = lambda o: F.ceil(F.sqrt(o["windows"])).cast("int")
+    stretches = lambda o: F.transform(F.sequence(F.lit(0), o["windows"] - 1, many(o)), lambda first: F.struct(F.substring(o["text"], first * step + 1, many(o) * step + overlap).alias("text"), F.least(many(o), o["windows"] - first).alias("windows")))
+    cut = lambda s: F.transform(F.sequence(F.lit(0), s["windows"] - 1), lambda i: trimmed(F.substring(s["text"], i * step + 1, F.lit(size))))
+    chunks = F.flatten(F.transform(F.flatten(F.transform(measured, stretches)), cut))
+    return F.when(F.length(text) > 0, F.filter(chunks, lambda c: c != "")).otherwise(F.array().cast("array<string>"))
 
 
 def chunk_params(size: int, overlap: int) -> tuple[int, int]:

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import functools
 import heapq
+import math
 import re
 from collections.abc import Iterator
 
@@ -28,7 +29,10 @@ from lodestone.shared import shared_dir, stored
 
 _WORD = re.compile(r"[^\W_]+")
 QUERY_BLOCK, BLOCK_GRAMS, ROWS, CHARACTERS, CELLS = 256, 65_536, 256, 262_144, 4_000_000
-COARSE, FINE = 14, 56  # parts that a content is cut into for bounds
+LETTERS = 100  # different letters up to which trigrams are numbered by a table
+COARSE, FINE = 16, 32  # parts that a content is cut into for bounds
+FIRST = 16  # of so many contents one is scanned first
+TOGETHER, PLACES = 32, 16_384  # contents whose coarse bounds are made at once, and trigrams of the pairs whose fine ones are
 
 
 def trigrams(text: str) -> list[str]:
@@ -62,8 +66,10 @@ def word_similarity(query: set[str], content: list[str], before: np.ndarray | No
 
 def _runs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where runs of query trigrams start, and where they have ended."""
-    edge = np.diff(np.r_[False, inside, False].astype(np.int8))
-    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    edge = np.zeros(len(inside) + 2, dtype=bool)
+    edge[1:-1] = inside
+    turns = np.flatnonzero(edge[1:] != edge[:-1])
+    return turns[::2], turns[1::2]
 
 
 def _best(inside: np.ndarray, before: np.ndarray, total: int, starts: np.ndarray, ends: np.ndarray) -> float:
@@ -219,13 +225,19 @@ def _asked(batch: pa.RecordBatch) -> Iterator[tuple[int, str, list[str], list[tu
 
 
 class _Queries:
-    """A block of queries: ids, numbers of trigrams, and which of the block's trigrams (rows) each query (column) has."""
+    """A block of queries: ids, numbers of trigrams, least scores, and which of the block's trigrams (rows) each query (column) has."""
 
-    def __init__(self, rows: list[tuple[int, np.ndarray]]) -> None:
-        self.ids, self.sizes = np.array([q for q, _ in rows]), np.array([len(g) for _, g in rows], dtype=np.float32)
-        self.grams, column = np.unique(np.concatenate([g for _, g in rows]), return_inverse=True)
+    def __init__(self, rows: list[tuple[int, np.ndarray, float]]) -> None:
+        self.ids, self.sizes = np.array([q for q, *_ in rows]), np.array([len(g) for _, g, _ in rows], dtype=np.float32)
+        self.least = np.array([max(TRIGRAM_THRESHOLD, x) for *_, x in rows])
+        self.grams, column = np.unique(np.concatenate([g for _, g, _ in rows]), return_inverse=True)
         self.has = np.zeros((len(self.grams), len(rows)), dtype=np.float32)
         self.has[column, np.repeat(np.arange(len(rows)), self.sizes.astype(np.int64))] = 1
+        # the same with a few queries in each word, [word, row]: a lane is wide enough for the number of a query's trigrams
+        self.lane = np.dtype(np.uint8 if (most := self.sizes.max()) < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32)
+        lanes = np.zeros((len(self.grams), -(-len(rows) * self.lane.itemsize // 8) * 8 // self.lane.itemsize), dtype=self.lane)
+        lanes[:, : len(rows)] = self.has
+        self.words, self.rooms = np.ascontiguousarray(lanes.view(np.uint64).T), {}
 
     def rows_of(self, code: np.ndarray) -> np.ndarray:
         """The row of each trigram, or -1."""
@@ -240,12 +252,82 @@ class _Queries:
         present[owner[hit], column] = 1
         return present @ self.has[used]
 
+    def bounds(self, row: np.ndarray, before: np.ndarray, starts: np.ndarray, low: bool = False) -> np.ndarray:
+        """For each content and query a score that no stretch exceeds; ``low``: that of the best stretch of whole parts.
+
+        A stretch that starts in part a and ends in part b has at most the query's trigrams of
+        the parts a to b, and at least the other ones of the parts between.
+        """
+        n, parts = len(starts) - 1, COARSE
+        owner, width = np.repeat(np.arange(n), np.diff(starts)), _width(np.diff(starts), parts)
+        cell, first = _cell_of(np.arange(len(row)) - starts[owner], before, width[owner], parts)
+        cell = cell * n + owner  # [part, part of the last equal, content]
+        every = _summed(np.bincount(cell[first], minlength=n * parts**2).astype(np.float32).reshape(parts, parts, n))[..., None]
+        own = np.flatnonzero(first & (row >= 0))
+        own = own[np.argsort(cell[own], kind="stable")]
+        last = np.flatnonzero(np.diff(cell[own], append=-1))
+        out = np.zeros((n, len(self.words) * 8 // self.lane.itemsize), dtype=np.float32)
+        sizes = np.ones(out.shape[1], dtype=np.float32)
+        sizes[: len(self.ids)] = self.sizes
+        step = max(1, CELLS // len(own)) if len(own) else len(self.words)
+        for k in range(0, len(self.words) if len(own) else 0, step):
+            # a cell's sum is a difference of running sums, right in each lane even where these have run over
+            words = self.words[k : k + step]
+            sums = np.take(words, row[own], axis=1, out=self._room("sums", (len(words), len(own)), np.uint64), mode="clip")
+            np.cumsum(sums, axis=1, out=sums)
+            ends = np.take(sums, last, axis=1, out=self._room("ends", (len(words), len(last)), np.uint64), mode="clip")
+            common = self._room("common", (n * parts**2, len(words)), np.uint64)
+            common[:] = 0
+            common[cell[own[last]]] = np.diff(ends, axis=1, prepend=np.uint64(0)).T
+            common = _summed(common.reshape(parts, parts, n, -1)).view(self.lane)
+            some = slice(k * 8 // self.lane.itemsize, k * 8 // self.lane.itemsize + common.shape[3])
+            for b in range(parts):
+                top = self._room("top", common[b, : b + 1].shape, np.float32)
+                top[:] = common[b, : b + 1]
+                others = (b, slice(0, b + 1)) if low else (b - 1, slice(1, b))
+                if low or b > 1:
+                    total = np.subtract(every[others], common[others], out=self._room("total", common[others].shape, np.float32))
+                    total += sizes[some]
+                    top[: len(total)] /= total
+                if not low:
+                    top[max(0, b - 1) :] /= sizes[some]
+                np.maximum(out[:, some], top.max(axis=0), out=out[:, some])
+        return out[:, : len(self.ids)]
+
+    def _room(self, name: str, shape: tuple[int, ...], kind: type) -> np.ndarray:
+        """An array of whatever was in it: pages that the system has to give anew cost more than the sums."""
+        n = math.prod(shape) * np.dtype(kind).itemsize
+        if len(self.rooms.get(name, ())) < n:
+            self.rooms[name] = np.empty(n, dtype=np.uint8)
+        return self.rooms[name][:n].view(kind).reshape(shape)
+
+
+def _width(sizes, parts: int):
+    """How many trigrams a part has, for contents of ``sizes`` trigrams."""
+    return np.maximum(1, -(-sizes // parts))
+
+
+def _cell_of(place: np.ndarray, before: np.ndarray, width, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each trigram its part and that of its last equal, from 1 (0: none), as one number; and whether it is the first of its kind in its part."""
+    part, back = place // width, np.where(before >= 0, before // width + 1, 0)
+    return part * parts + back, back <= part
+
+
+def _summed(cells: np.ndarray) -> np.ndarray:
+    """From numbers of ``_cell_of`` [part, part of the last equal, ...] the different ones of the parts a to b, as [b, a, ...], in place."""
+    for a in range(1, len(cells)):
+        cells[a:, a] += cells[a:, a - 1]
+    for b in range(1, len(cells)):
+        cells[b] += cells[b - 1]
+    return cells
+
 
 class _Scan:
     """The tasks' part: contents, a few at a time, against blocks of queries that are read from the shared folder."""
 
-    def __init__(self, queries: DataFrame) -> None:
+    def __init__(self, queries: DataFrame, least: DataFrame | None = None) -> None:
         own = queries.where("query <> '' and query_id is not null").select(F.col("query_id").cast("long").alias("query_id"), "query")
+        own = own.withColumn("least", F.lit(0.0)) if least is None else own.join(least, "query_id", "left").fillna(0.0, ["least"])
         self.files = sorted(stored(own, f"{shared_dir(queries.sparkSession, 'queries')}/queries").inputFiles())
 
     def blocks(self) -> Iterator[_Queries]:
@@ -256,108 +338,139 @@ class _Scan:
             system, path = fs.FileSystem.from_uri(uri)
             with system.open_input_file(path) as source:
                 for batch in pq.ParquetFile(source).iter_batches(batch_size=QUERY_BLOCK):
-                    for query_id, query in zip(batch.column("query_id").to_pylist(), batch.column("query").to_pylist(), strict=True):
+                    for query_id, query, least in zip(*(batch.column(c).to_pylist() for c in ("query_id", "query", "least")), strict=True):
                         grams = np.unique(coded([query])[0])
                         if len(held) == QUERY_BLOCK or held and n + len(grams) > BLOCK_GRAMS:
                             yield _Queries(held)
                             held, n = [], 0
                         if len(grams):
-                            held.append((query_id, grams))
+                            held.append((query_id, grams, least))
                             n += len(grams)
         if held:
             yield _Queries(held)
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[_Queries] | None = None
-        self.least: dict[int, list[float]] = {}
+        self.best: dict = {}
         for batch in batches:
             if kept is None:  # up to four blocks are kept, more are read again
                 kept = [b for b, _ in zip(self.blocks(), range(5), strict=False)]
             for ids, texts in _slices(batch):
                 code, starts = coded(texts)
                 owner = np.repeat(np.arange(len(ids)), np.diff(starts))
-                before = _before(code, owner) - starts[owner] if self.needs_before else None
+                grams, number, before = _numbered(code, owner)
+                before -= starts[owner]
                 for block in kept if len(kept) < 5 else self.blocks():
-                    row = block.rows_of(code)
-                    yield self.found(block, ids, starts, row, before, block.common(row, owner, len(ids)))
+                    yield from self.found(block, ids, starts, block.rows_of(grams)[number], owner, before)
+        yield from self.last()
+
+    def bounds(self, block: _Queries, starts: np.ndarray, row: np.ndarray, before: np.ndarray, low: bool = False) -> np.ndarray:
+        """``_Queries.bounds`` of all contents, TOGETHER of them at once."""
+        at = [starts[k : k + TOGETHER + 1] for k in range(0, len(starts) - 1, TOGETHER)]
+        return np.concatenate([block.bounds(row[x[0] : x[-1]], before[x[0] : x[-1]], x - x[0], low) for x in at])
+
+    def last(self) -> Iterator[pa.RecordBatch]:
+        """What is left when a task's contents have been scanned."""
+        return iter(())
 
 
 class _Overlap(_Scan):
-    schema, needs_before = "query_id long, id long, common long, query_size long", False
+    schema = "query_id long, id long, common long, query_size long"
 
-    def found(self, block: _Queries, ids: np.ndarray, starts, row, before, common: np.ndarray) -> pa.RecordBatch:
+    def found(self, block: _Queries, ids: np.ndarray, starts: np.ndarray, row: np.ndarray, owner: np.ndarray, before: np.ndarray) -> Iterator[pa.RecordBatch]:
+        common = block.common(row, owner, len(ids))
         i, j = np.nonzero((10 * common >= 3 * block.sizes) & (common > 0))
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (block.ids[j], ids[i], common[i, j].astype(np.int64), block.sizes[j].astype(np.int64))], ["query_id", "id", "common", "query_size"])
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (block.ids[j], ids[i], common[i, j].astype(np.int64), block.sizes[j].astype(np.int64))], ["query_id", "id", "common", "query_size"])
 
 
-class _Search(_Scan):
-    """Passes on what may be among the k best: bounds of the best stretch, coarse and then fine, rule out nearly all pairs before they are scored."""
+class _First(_Scan):
+    """The k best scores of stretches of whole parts: of so many contents none scores less."""
 
-    schema, needs_before = "query_id long, id long, score double", True
+    schema = "query_id long, score double"
 
     def __init__(self, queries: DataFrame, k: int) -> None:
         super().__init__(queries)
         self.k = k
 
-    def found(self, block: _Queries, ids: np.ndarray, starts: np.ndarray, row: np.ndarray, before: np.ndarray, common: np.ndarray) -> pa.RecordBatch:
-        if len(self.least) > 100_000:
-            self.least.clear()
-        bound = np.array([self._bound(q) for q in block.ids.tolist()])
-        out = []
-        for i in np.argsort(-(common / block.sizes).max(axis=1), kind="stable").tolist():  # the best first, so that bounds rise early
-            asked = np.flatnonzero(common[i] >= (bound - 1e-5) * block.sizes)
-            own, last = row[starts[i] : starts[i + 1]], before[starts[i] : starts[i + 1]]
-            step = max(1, CELLS // max(1, len(own)))
-            for k in range(0, len(asked), step):
-                self._score(block, int(ids[i]), own, last, asked[k : k + step], bound, out)
+    def found(self, block: _Queries, ids: np.ndarray, starts: np.ndarray, row: np.ndarray, owner: np.ndarray, before: np.ndarray) -> Iterator[pa.RecordBatch]:
+        scores, key = self.bounds(block, starts, row, before, low=True).T, block.ids.tobytes()
+        if key in self.best:
+            scores = np.concatenate([self.best[key][1], scores], axis=1)
+        if scores.shape[1] > self.k:
+            scores = np.partition(scores, scores.shape[1] - self.k, axis=1)[:, -self.k :]
+        self.best[key] = block.ids, scores
+        if len(self.best) > 400:
+            yield from self.last()
+
+    def last(self) -> Iterator[pa.RecordBatch]:
+        for ids, scores in self.best.values():
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, scores.shape[1])), pa.array(scores.ravel().astype(np.float64) - 1e-6)], ["query_id", "score"])
+        self.best.clear()
+
+
+class _Search(_Scan):
+    """Passes on what may be among the k best: bounds of the best stretch, coarse and then fine, rule out nearly all pairs before they are scored."""
+
+    schema = "query_id long, id long, score double"
+
+    def __init__(self, queries: DataFrame, k: int, least: DataFrame | None = None) -> None:
+        super().__init__(queries, least)
+        self.k = k
+
+    def found(self, block: _Queries, ids: np.ndarray, starts: np.ndarray, row: np.ndarray, owner: np.ndarray, before: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(self.best) > 100_000:
+            self.best.clear()
+        bound = np.array([max(x, self._bound(q)) for q, x in zip(block.ids.tolist(), block.least.tolist(), strict=True)])
+        out, most = [], self.bounds(block, starts, row, before)
+        i, j = np.nonzero(most >= bound - 1e-5)
+        order = np.argsort(-most[i, j], kind="stable")  # the highest first, so that the k-th best scores rise early
+        i, j = i[order], j[order]
+        ends = np.cumsum(np.diff(starts)[i])
+        while len(i):
+            n = max(1, int(np.searchsorted(ends, ends[0] + PLACES)))
+            here = np.flatnonzero(most[i[:n], j[:n]] >= bound[j[:n]] - 1e-5)
+            self._score(block, ids, starts, row, before, i[here], j[here], bound, out)
+            i, j, ends = i[n:], j[n:], ends[n:]
         columns = list(zip(*out, strict=True)) or [()] * 3
-        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], ["query_id", "id", "score"])
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], ["query_id", "id", "score"])
 
     def _bound(self, query_id: int) -> float:
-        top = self.least.get(query_id, ())
-        return max(TRIGRAM_THRESHOLD, top[0] if len(top) == self.k else 0.0)
-
-    def _score(self, block: _Queries, own_id: int, row: np.ndarray, before: np.ndarray, asked: np.ndarray, bound: np.ndarray, out: list) -> None:
-        """Scores one content against the queries ``asked`` of the block, those that the bounds leave."""
-        inside = np.where((row >= 0)[:, None], block.has[row][:, asked], np.float32(0))
-        for parts in (COARSE, FINE):
-            ok, width = _cells(inside, before, block.sizes[asked], bound[asked] - 1e-5, parts)
-            left = ok.any(axis=(0, 1))
-            asked, inside, ok = asked[left], inside[:, left], ok[:, :, left]
-            if not len(asked):
-                return
-        for n, j in enumerate(asked.tolist()):
-            begin, end = ok[:, :, n].any(axis=1), ok[:, :, n].any(axis=0)
-            mine = inside[:, n] > 0
-            starts, ends = _runs(mine)
-            score = _best(mine, before, int(block.sizes[j]), starts[begin[starts // width]], ends[end[(ends - 1) // width]])
-            if score >= bound[j]:
-                query_id = int(block.ids[j])
-                out.append((query_id, own_id, score))
-                top = self.least.setdefault(query_id, [])
-                (heapq.heappush if len(top) < self.k else heapq.heappushpop)(top, score)
-                bound[j] = self._bound(query_id)
-
-
-def _cells(inside: np.ndarray, before: np.ndarray, sizes: np.ndarray, bound: np.ndarray, parts: int) -> tuple[np.ndarray, int]:
-    """Whether a stretch that starts in part a and ends in part b can reach the bound, as [a, b, query], and the width of a part.
-
-    It has at most the query's trigrams of the parts a to b, and at least the other ones of the
-    parts between.
-    """
-    n, (length, queries) = min(parts, len(inside)), inside.shape
-    width = -(-length // n)
-    n = -(-length // width)
-    padded = np.zeros((n * width, queries), dtype=np.float32)
-    padded[:length] = inside
-    first = np.arange(n)[:, None] * width
-    new = np.zeros((n, n * width), dtype=np.float32)  # [a, place]: first of its kind from part a on
-    new[:, :length] = (before[None, :] < first) & (np.arange(length)[None, :] >= first)
-    new = new.reshape(n, n, width)
-    common = np.matmul(new.transpose(1, 0, 2), padded.reshape(n, width, queries)).transpose(1, 0, 2).cumsum(axis=1)
-    other = new.sum(axis=2).cumsum(axis=1)[:, :, None] - common
-    common[:-1, 1:] -= bound.astype(np.float32) * other[1:, :-1]
-    return common >= bound.astype(np.float32) * sizes, width
+        top = self.best.get(query_id, ())
+        return top[0][0] if len(top) == self.k else 0.0
+
+    def _score(self, block: _Queries, ids: np.ndarray, starts: np.ndarray, row: np.ndarray, before: np.ndarray, i: np.ndarray, j: np.ndarray, bound: np.ndarray, out: list) -> None:
+        """Scores the pairs of contents ``i`` and queries ``j`` that fine bounds leave."""
+        n, length, parts = len(i), np.diff(starts)[i], FINE
+        if not n:
+            return
+        firsts = np.cumsum(length) - length
+        pair, width = np.repeat(np.arange(n), length), _width(length, parts)
+        place = np.arange(len(pair)) - firsts[pair]
+        own = place + starts[i][pair]
+        row, before = row[own], before[own]
+        mine = (row >= 0) & (block.has[row, j[pair]] > 0)
+        cell, first = _cell_of(place, before, width[pair], parts)
+        cell = cell * n + pair
+        every, common = (_summed(np.bincount(cell[chosen], minlength=n * parts**2).astype(np.float32).reshape(parts, parts, n)) for chosen in (first, first & mine))
+        total = np.broadcast_to(block.sizes[j], common.shape).copy()
+        total[2:, :-2] += every[1:-1, 1:-1] - common[1:-1, 1:-1]
+        most = common / total
+        top = most.max(axis=(0, 1))
+        for at in np.argsort(-top, kind="stable").tolist():
+            least = bound[j[at]]
+            if top[at] < least - 1e-5:
+                continue
+            here, ok = slice(firsts[at], firsts[at] + length[at]), most[:, :, at] >= least - 1e-5
+            begin, end = ok.any(axis=0), ok.any(axis=1)
+            begins, ends = _runs(mine[here])
+            score = _best(mine[here], before[here], int(block.sizes[j[at]]), begins[begin[begins // width[at]]], ends[end[(ends - 1) // width[at]]])
+            if score >= least:
+                query_id, own_id = int(block.ids[j[at]]), int(ids[i[at]])
+                best = self.best.setdefault(query_id, [])
+                if len(best) < self.k or (score, -own_id) > best[0]:  # of equal scores the k smallest ids are enough
+                    out.append((query_id, own_id, score))
+                    (heapq.heappush if len(best) < self.k else heapq.heappushpop)(best, (score, -own_id))
+                    bound[j[at]] = max(least, self._bound(query_id))
 
 
 def _slices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[str]]]:
@@ -374,25 +487,48 @@ def _slices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[str]]]:
         yield rows.column(0).to_numpy(), [t or "" for t in rows.column(1).to_pylist()]
 
 
-def _before(code: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """Place of the last equal trigram of the same text; before all places where there is none."""
-    order = np.lexsort((code, owner))
-    same = (code[order][1:] == code[order][:-1]) & (owner[order][1:] == owner[order][:-1])
-    out = np.full(len(code), -1, dtype=np.int64)
-    out[order[1:][same]] = order[:-1][same]
-    return out
-
-
-def _dealt(chunks: DataFrame) -> DataFrame:
+def _numbered(code: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different trigrams, the number of each place's among them, and the place of the last equal trigram of the same text (-1: none)."""
+    parts = [code >> 42, code >> 21 & 0x1FFFFF, code & 0x1FFFFF]
+    used = np.flatnonzero(np.bincount(parts[2]))  # all letters, as each ends a trigram
+    n = len(used)
+    if 0 < n <= LETTERS:  # few letters: their numbers make a table of all trigrams, no search or sort of codes
+        small = np.zeros(used[-1] + 1, dtype=np.int64)
+        small[used] = np.arange(n)
+        key = (small[parts[0]] * n + small[parts[1]]) * n + small[parts[2]]
+        seen = np.zeros(n**3, dtype=bool)
+        seen[key] = True
+        there = np.flatnonzero(seen)
+        number = np.zeros(n**3, dtype=np.int64)
+        number[there] = np.arange(len(there))
+        grams, number = used[there // n**2] << 42 | used[there // n % n] << 21 | used[there % n], number[key]
+    else:
+        grams, number = np.unique(code, return_inverse=True)
+    order = np.argsort(number.astype(np.uint16) if len(grams) < 1 << 16 else number, kind="stable")
+    before = np.full(len(code), -1, dtype=np.int64)
+    same = (number[order][1:] == number[order][:-1]) & (owner[order][1:] == owner[order][:-1])
+    before[order[1:][same]] = order[:-1][same]
+    return grams, number, before
+
+
+def _dealt(chunks: DataFrame, most: int | None = None) -> DataFrame:
     """Contents dealt out by number: scoring outweighs the bytes, and few large files would be few tasks."""
     spark = chunks.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    n = most or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     return chunks.where("id is not null").select(F.col("id").cast("long").alias("id"), "content").repartition(n)
 
 
 def search(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """``query_id, id, score, rank``: the k best contents per query at or above the trigram threshold, by a scan of ``chunks``."""
-    found = _dealt(chunks).mapInArrow(_Search(queries, k), _Search.schema)
+    """``query_id, id, score, rank``: the k best contents per query at or above the trigram threshold, by scans of ``chunks``.
+
+    The first scan is of one content in FIRST, by hash of the id, and of stretches of whole parts:
+    as all others can only be better beside, its k-th best scores are limits for the second scan,
+    that of all contents and stretches, and no task of that begins at the threshold.
+    """
+    some = _dealt(chunks.where(F.pmod(F.xxhash64("id"), F.lit(FIRST)) == 0), chunks.sparkSession.sparkContext.defaultParallelism)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc()))
+    least = some.mapInArrow(_First(queries, k), _First.schema).withColumn("rank", place).where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
+    found = _dealt(chunks).mapInArrow(_Search(queries, k, least), _Search.schema)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

@@ -398,6 +398,62 @@ def test_trigram_scan_equals_all_pairs_and_scores_few(spark, monkeypatch):
     assert len(scored) < len(pairs) / 2
 
 
+def test_bounds_of_word_similarity_hold_in_lanes(monkeypatch):
+    r = random.Random(10)
+    words = ["".join(r.choices("abcdeé日", k=r.randint(1, 8))) for _ in range(60)]
+    many = ["".join(chr(r.randint(0x4E00, 0x4FFF)) for _ in range(r.randint(1, 4))) for _ in range(120)]  # more letters than the table takes
+    for own, longest in ((words, 9), (many, 9), (many, 400)):  # with 400 words, over 255 trigrams in a query
+        texts = [" ".join(r.choices(own, k=r.randint(0, 60))) for _ in range(90)] + ["", "!!", own[0], " ".join(own[:1] * 300)]
+        asked = [" ".join(r.choices(own, k=r.randint(1, longest))) for _ in range(21)]
+        code, starts = trigram.coded(texts)
+        owner = np.repeat(np.arange(len(texts)), np.diff(starts))
+        grams, number, before = trigram._numbered(code, owner)
+        before = before - starts[owner]
+        assert grams.tolist() == sorted(set(code.tolist())) and (grams[number] == code).all()
+        plain = [trigram.trigrams(t) for t in texts]
+        assert [np.maximum(before[a:b], -1).tolist() for a, b in zip(starts, starts[1:])] == [trigram.previous(g).tolist() for g in plain]
+        block = trigram._Queries([(q, np.unique(trigram.coded([t])[0]), 0.0) for q, t in enumerate(asked)])
+        exact = np.array([[trigram.word_similarity(set(trigram.trigrams(q)), g) for q in asked] for g in plain])
+        row, scan = block.rows_of(grams)[number], trigram._First.__new__(trigram._First)
+        for cells in (4_000_000, 50):  # all lanes at once, and one word of them at a time
+            monkeypatch.setattr(trigram, "CELLS", cells)
+            low, most = scan.bounds(block, starts, row, before, low=True), scan.bounds(block, starts, row, before)
+            assert (low <= exact + 1e-6).all() and (exact <= most + 1e-6).all()
+            monkeypatch.undo()
+        assert block.lane == (np.uint8 if longest == 9 else np.uint16) and (most - exact).mean() < 0.1
+
+
+def test_limits_of_the_first_scan_and_ties(spark, monkeypatch):
+    r = random.Random(12)
+    words = ["".join(r.choices("abcdef", k=r.randint(2, 8))) for _ in range(40)]
+    texts = [(i, " ".join(r.choices(words, k=30)) if i % 3 else " ".join(words[:30])) for i in range(600)]  # every third one a copy
+    queries = [(q, " ".join(words[q : q + 6])) for q in range(12)]
+    asked, chunks = spark.createDataFrame(queries, "query_id long, query string"), spark.createDataFrame(texts, "id long, content string")
+    want = []
+    for q, t in queries:
+        scores = sorted((-trigram.word_similarity(set(trigram.trigrams(t)), trigram.trigrams(c)), i) for i, c in texts)
+        want += [(q, n, i, -s) for n, (s, i) in enumerate(scores[:5], 1) if -s >= constants.TRIGRAM_THRESHOLD]
+    for first in (16, 2, 1):
+        monkeypatch.setattr(trigram, "FIRST", first)
+        assert sorted((x.query_id, x.rank, x.id, x.score) for x in trigram.search(asked, chunks, 5).collect()) == sorted(want)
+    copies = [(i, " ".join(words[:30])) for i in range(500)]
+    batches = spark.createDataFrame(copies, "id long, content string").toArrow().to_batches()
+    # of equal scores the k smallest ids are enough; all 500 copies were passed on before
+    assert sum(b.num_rows for b in trigram._Search(asked, 5)(iter(batches))) <= 5 * len(queries)
+    least = spark.createDataFrame([(q, 2.0) for q, _ in queries], "query_id long, least double")
+    assert sum(b.num_rows for b in trigram._Search(asked, 5, least)(iter(batches))) == 0
+
+
+def test_windows_of_a_long_text_are_cut_in_stretches(spark):
+    rows = spark.createDataFrame([(t,) for t in (None, "", " ", "é😀b " * 400, "a" * 500, "a" * 501, " " * 950 + "x", "日" * 951)], "t string")
+    plain = lambda t, size, step: [w for p in range(0, len(t or ""), step) if (p == 0 or p - step + size < len(t)) and (w := t[p : p + size].strip())]
+    for size, overlap in ((500, 50), (500, 0), (7, 6), (500, 499), (1, 0)):
+        assert [x[1] for x in rows.select("t", text.fixed_windows(F.col("t"), size, overlap)).collect()] == [plain(x.t, size, size - overlap) for x in rows.collect()]
+    start = time.time()  # counted from the start for each window, this takes minutes
+    assert spark.range(1).select(F.size(text.fixed_windows(F.repeat(F.lit("é a. "), 1_000_000), 500, 50))).first()[0] == math.ceil(4_999_500 / 450) + 1
+    assert time.time() - start < 20
+
+
 def test_attributes_cursors_and_judge_texts(spark):
     row = spark.createDataFrame([({"b": "0", "a": "", "q": 'x"y', "n": None}, {"z": 0, "c": 7, "m": None}, "s" * 499 + "éa", " ok \n", [], ["t"])], "s map<string,string>, i map<string,long>, long string, short string, none array<string>, turns array<string>")
     got = row.select(text.clean_attrs(F.col("s"), F.col("i")), text.clean_attrs(F.map_filter("s", lambda k, v: v == ""), F.map_filter("i", lambda k, v: v == 0)), text.judge_cut(F.col("long")), text.judge_cut(F.col("short")), text.case_turns(F.lit("p"), F.col("none")), text.case_turns(F.lit("p"), F.col("turns"))).first()
