@@ -55,6 +55,8 @@ def _combine(asked: DataFrame, shown: DataFrame, v: DataFrame, top_k: int, neigh
     k = trigram.search(asked.select("query_id", "query"), shown.select("id", "content"), cut)
     ranked = v.select("query_id", F.lit("vector").alias("path"), "id", F.col("rank").alias("pos"), "score").unionByName(k.select("query_id", F.lit("keyword").alias("path"), "id", F.col("rank").alias("pos"), "score"))
     fused = fusion.fuse(ranked).where(fusion.admitted(F.col("vector_score"), F.col("keyword_score")))
+    # at most two candidate lists a query: written, so that contents are joined to a side of known size, not shuffled
+    fused = stored(fused, f"{shared_dir(asked.sparkSession, 'retrieve')}/fused")
     facts = shown.select("id", "document_id", "document_version", "chunk_index", "content")
     anchors = fusion.admit_dedup_top_k(fused.join(facts, "id"), top_k)
     if not neighbors:

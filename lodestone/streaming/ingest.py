@@ -20,21 +20,20 @@ def trigram_embedding(dim: int = 64) -> Embed:
 
     table = np.array([zlib.crc32(bytes([b])) ^ zlib.crc32(b"\0") for b in range(256)], dtype=np.uint32)
 
-    def hashes(data: bytes) -> np.ndarray:
-        """CRC-32 of each three bytes in a row; of all, where there are fewer."""
-        if len(data) < 3:
-            return np.array([zlib.crc32(data)], dtype=np.uint32)
-        own = np.frombuffer(data, dtype=np.uint8)
-        crc = np.full(len(own) - 2, 0xFFFFFFFF, dtype=np.uint32)
+    def hashes(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """CRC-32 of each three bytes in a row of each text, of all where there are fewer; and the number of the text."""
+        sizes = np.array([len(d) for d in data], dtype=np.int64)
+        own, text = np.frombuffer(b"".join([*data, b"\0\0"]), dtype=np.uint8), np.repeat(np.arange(len(data)), sizes)
+        crc = np.full(len(text), 0xFFFFFFFF, dtype=np.uint32)
         for k in range(3):
-            crc = table[(crc ^ own[k : len(own) - 2 + k]) & 0xFF] ^ (crc >> 8)
-        return ~crc
+            crc = table[(crc ^ own[k : len(text) + k]) & 0xFF] ^ (crc >> 8)
+        inside = np.arange(len(text)) < np.repeat(np.cumsum(sizes) - 2, sizes)
+        short = np.flatnonzero(sizes < 3)
+        return np.r_[~crc[inside], np.array([zlib.crc32(data[i]) for i in short], dtype=np.uint32)], np.r_[text[inside], short]
 
     def embed(texts: list[str]) -> list[list[float]]:
-        out = np.zeros((len(texts), dim))
-        for i, text in enumerate(texts):
-            h = hashes(text.lower().encode())
-            out[i] = np.bincount(h % dim, weights=np.where(h & 0x10000, 1.0, -1.0), minlength=dim)
+        h, text = hashes([t.lower().encode() for t in texts])
+        out = np.bincount(text * dim + h % dim, weights=np.where(h & 0x10000, 1.0, -1.0), minlength=len(texts) * dim).astype(np.float64).reshape(len(texts), dim)
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, norm, out=out, where=norm > 0).tolist()
 

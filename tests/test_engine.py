@@ -15,7 +15,7 @@ from lodestone.functions import text
 from lodestone.operators import context, fusion, lifecycle, trigram, vector, workflow
 from lodestone.plans.retrieve import retrieve, retrieve_in
 from lodestone.sources import chunkers, files
-from lodestone.streaming import folds
+from lodestone.streaming import folds, ingest
 
 CHUNK = "id long, document_id long, document_version long, chunk_index int, content string, embedding array<float>, is_published boolean"
 
@@ -454,6 +454,24 @@ def test_windows_of_a_long_text_are_cut_in_stretches(spark):
     assert time.time() - start < 20
 
 
+def test_embedding_of_a_batch_and_candidates_before_contents(spark):
+    import zlib
+
+    r, embed = random.Random(3), ingest.trigram_embedding(16)
+    texts = ["".join(r.choices("abcé日😀 İ", k=k)) for k in (0, 1, 2, 3, 4, 50, 0, 300)]
+    for t, got in zip(texts, embed(texts), strict=True):
+        data, want = t.lower().encode(), np.zeros(16)
+        for piece in [data[i : i + 3] for i in range(len(data) - 2)] or [data]:
+            h = zlib.crc32(piece)
+            want[h % 16] += 1 if h & 0x10000 else -1
+        assert got == pytest.approx((want / (np.linalg.norm(want) or 1)).tolist())
+    assert embed([]) == []
+    rows = [(i, i, 1, 0, f"some words {i}", [1.0, float(i), 0.0], True) for i in range(9)]
+    asked = spark.createDataFrame([(1, "some words", [1.0, 0.0, 0.0])], "query_id long, query string, embedding array<float>")
+    plan = retrieve(asked, spark.createDataFrame(rows, CHUNK), 3, 3, neighbors=False)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and plan.count("Join") == 1  # candidates of a known size meet the contents; searches are over by then
+
+
 def test_attributes_cursors_and_judge_texts(spark):
     row = spark.createDataFrame([({"b": "0", "a": "", "q": 'x"y', "n": None}, {"z": 0, "c": 7, "m": None}, "s" * 499 + "éa", " ok \n", [], ["t"])], "s map<string,string>, i map<string,long>, long string, short string, none array<string>, turns array<string>")
     got = row.select(text.clean_attrs(F.col("s"), F.col("i")), text.clean_attrs(F.map_filter("s", lambda k, v: v == ""), F.map_filter("i", lambda k, v: v == 0)), text.judge_cut(F.col("long")), text.judge_cut(F.col("short")), text.case_turns(F.lit("p"), F.col("none")), text.case_turns(F.lit("p"), F.col("turns"))).first()
