@@ -936,21 +936,39 @@ def judge_verdicts(spark: SparkSession, d: str) -> DataFrame:
 w AS (SELECT doc_id, n, array_to_string(list_filter(string_split(line, ' '), lambda x: x <> ''), ' ') AS line FROM l)
 SELECT doc_id AS document_id, n // 20 + 1 AS page, string_agg(line, chr(10) ORDER BY n) FILTER (line <> '') AS text FROM w GROUP BY doc_id, n // 20""")
 def glyph_file_pages(spark: SparkSession, d: str) -> DataFrame:
-    """Glyph layers written as files, words as glyphs with gaps between, twenty lines a page, and read back through the data source; pages without glyphs stay."""
-    lines = tables.load(spark, d, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("n", "line"))
-    words = F.filter(F.split("line", " "), lambda x: x != "")
-    number = lambda v: v.cast("double").cast("string")
-    quoted = lambda w: F.substring(F.to_json(F.array(w)), F.lit(2), F.length(F.to_json(F.array(w))) - 2)
-    glyph = lambda w, x: F.concat(F.lit("["), number(x), F.lit(","), number(-10 * F.col("n")), F.lit(","), number(F.length(w)), F.lit(","), quoted(w), F.lit("]"))
-    # a line's words are split once and lie in columns as wide as its longest word and the gap
-    laid = F.transform(F.array(words), lambda ws: F.struct(ws.alias("words"), (F.array_max(F.transform(ws, F.length)) + 2).alias("width")))
-    placed = F.flatten(F.transform(laid, lambda l: F.transform(l["words"], lambda w, i: glyph(w, i * l["width"]))))
-    pages = lines.select("doc_id", (F.floor(F.col("n") / 20) + 1).alias("page"), placed.alias("glyphs")).groupBy("doc_id", "page").agg(F.flatten(F.collect_list("glyphs")).alias("glyphs"))
-    row = F.concat(F.lit('{"document_id":'), F.col("doc_id").cast("string"), F.lit(',"page":'), F.col("page").cast("string"), F.lit(',"glyphs":['), F.array_join("glyphs", ","), F.lit("]}"))
-    path = f"{shared_dir(spark, 'glyphs')}/files"
-    pages.select(row.alias("value")).write.text(path)
-    read = formats.read(spark, formats.GlyphSource, path, 1)
-    return files.page_text(read).select("document_id", F.col("page").cast("long").alias("page"), F.nullif("text", F.lit("")).alias("text"))
+    """Glyph layers written as files, words as glyphs with gaps between, twenty lines a page, and read back through the data source; pages without glyphs stay.
+
+    A page lies in its document's row and is read back as a row, so neither texts nor glyphs are
+    shuffled; only documents of an id that is there more than once meet, page by page, before they
+    are written.
+    """
+    docs, out = tables.load(spark, d, "documents").select("doc_id", "text"), shared_dir(spark, "glyphs")
+    if docs.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:  # a page of text outweighs its bytes here
+        docs = docs.repartition(spark.sparkContext.defaultParallelism)
+    number = lambda v: v.cast("long").cast("string")
+    # [x,y,w,s]: s and the last bracket are those of a JSON list of the word alone
+    glyph = lambda w, x, y: F.concat(F.lit("["), number(x), y, number(F.length(w)), F.lit(","), F.substr(F.to_json(F.array(w)), F.lit(2)))
+
+    def pages(own: DataFrame) -> DataFrame:
+        lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+        cut = F.transform(F.array(lines), lambda ls: F.transform(F.sequence(F.lit(1), F.size(ls), F.lit(20)), lambda n: F.slice(ls, n, 20)))[0]
+        # a line's words are split once and lie in columns as wide as its longest word and the gap
+        words = F.transform("lines", lambda line, n: F.struct(F.filter(F.split(line, " "), lambda x: x != "").alias("words"), F.concat(F.lit(","), number(-10 * (20 * F.col("at") + n)), F.lit(",")).alias("y")))
+        laid = F.transform(words, lambda l: F.struct(l["words"].alias("words"), l["y"].alias("y"), (F.array_max(F.transform(l["words"], F.length)) + 2).cast("long").alias("width")))
+        placed = F.flatten(F.transform(laid, lambda l: F.transform(l["words"], lambda w, i: glyph(w, i * l["width"], l["y"]))))
+        return own.select("doc_id", F.posexplode(cut).alias("at", "lines")).select("doc_id", (F.col("at") + 1).alias("page"), placed.alias("glyphs"))
+
+    many = stored(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("again")), f"{out}/again")
+    if many.isEmpty():
+        own = pages(docs)
+    else:
+        same = F.col("doc_id").eqNullSafe(F.col("again"))
+        own = pages(docs.join(many, same, "left_anti")).unionByName(pages(docs.join(many, same, "left_semi")).groupBy("doc_id", "page").agg(F.flatten(F.collect_list("glyphs")).alias("glyphs")))
+    row = F.concat(F.lit('{"document_id":'), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(',"page":'), F.col("page").cast("string"), F.lit(',"glyphs":['), F.array_join("glyphs", ","), F.lit("]}"))
+    # a file is read as a whole by a task: so many pages are some 10 MB of JSON
+    own.select(row.alias("value")).write.option("compression", "gzip").option("maxRecordsPerFile", 1000).text(f"{out}/files")
+    read = formats.read(spark, formats.GlyphPageSource, f"{out}/files", 1)
+    return read.select("document_id", F.col("page").cast("long").alias("page"), F.nullif(files.text_of_glyphs(F.col("glyphs")), F.lit("")).alias("text"))
 
 
 @query("""WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey, l_discount, l_orderkey % 5 = 0 AND l_linenumber = 1 AS broken FROM lineitem),

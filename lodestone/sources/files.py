@@ -41,6 +41,23 @@ def page_text(glyphs: DataFrame) -> DataFrame:
     return placed.groupBy("document_id", "page").agg(F.array_join(F.transform(parts, lambda p: p["part"]), "").alias("text"))
 
 
+def text_of_glyphs(glyphs: Column) -> Column:
+    """What ``page_text`` makes of a page, from all its glyphs as an array of ``x, y, w, s`` in order of ``seq``: a row each, no glyph is shuffled."""
+    # y descending, nulls last, nan first; then x, nulls first, then seq
+    down = lambda g: F.when(F.isnan(g["y"]), float("-inf")).otherwise(-g["y"])
+    keyed = F.transform(glyphs, lambda g, seq: F.struct(g["y"].isNull().alias("last"), down(g).alias("down"), g["x"].alias("x"), seq.alias("seq"), g["y"].alias("y"), g["w"].alias("w"), g["s"].alias("s")))
+
+    def parts(placed: Column) -> Column:
+        def part(g: Column, i: Column) -> Column:
+            before = F.get(placed, i - 1)
+            lead = F.when(before["y"] - g["y"] > 2, "\n").when(g["x"] - (before["x"] + before["w"]) > 1, " ")
+            return F.concat(F.coalesce(lead, F.lit("")), F.coalesce(g["s"], F.lit("")))
+
+        return F.array_join(F.transform(placed, part), "")
+
+    return F.transform(F.array(F.array_sort(keyed)), parts)[0]  # sorted once for all places
+
+
 def numbered(rows: DataFrame, key: str, groups: list[str] | None = None, span: int = 4096) -> DataFrame:
     """``rows`` with ``position`` from 1 in order of the integer ``key`` (per group): counts of stretches of ``span`` keys, and places in them.
 

@@ -6,6 +6,7 @@ group of files; a file that is broken gives one row with its ``problem`` instead
 
 from __future__ import annotations
 
+import io
 import json
 from collections.abc import Iterator
 
@@ -18,6 +19,7 @@ CASES = "path string, name string, agent_id string, prompt string, turns array<s
 REPORTS = "path string, name string, score double, reasoning string, metrics map<string,double>, problem string"
 
 
+GLYPH_PAGES = "path string, document_id long, page int, glyphs array<struct<x: double, y: double, w: double, s: string>>, problem string"
 GLYPH_KINDS = {"path": pa.string(), "document_id": pa.int64(), "page": pa.int32(), "seq": pa.int32(), "x": pa.float64(), "y": pa.float64(), "w": pa.float64(), "s": pa.string(), "problem": pa.string()}
 
 
@@ -64,6 +66,14 @@ class ColumnsReader(FilesReader):
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, GLYPH_KINDS.values(), strict=True)], list(GLYPH_KINDS))
 
 
+class BatchesReader(FilesReader):
+    """The same for sources that parse a file into Arrow batches: no row of it is a Python object for long."""
+
+    def shown(self, rows: list) -> Iterator[pa.RecordBatch]:
+        for row in rows:
+            yield row if isinstance(row, pa.RecordBatch) else _pages([row[:3]], [None], row[-1])
+
+
 class _Source(DataSource):
     columns, parse, reading = "", None, FilesReader
 
@@ -79,17 +89,49 @@ def _number(value) -> float | None:
     return None if value is None else float(value)
 
 
-def glyphs(path: str, data: bytes) -> Iterator[tuple]:
-    """A JSON object a line: ``document_id, page`` and ``glyphs``, a list of [x, y, w, s]; a page without glyphs has one null row."""
-    for line in data.decode("utf-8").splitlines():
+def _lines(path: str, data: bytes) -> Iterator[tuple[str, int | None, int, list]]:
+    """Path, document, page and glyphs of each line; only line feeds end a line, as a text may hold other separators."""
+    for line in io.BytesIO(data):
         if line.strip():
             page = json.loads(line)
-            own = (path, int(page["document_id"]), int(page["page"]))
-            marks = page.get("glyphs") or []
-            if not marks:
-                yield (*own, 0, 0.0, 0.0, 0.0, None, None)
-            for seq, (x, y, w, s) in enumerate(marks):
-                yield (*own, seq, _number(x), _number(y), _number(w), s, None)
+            document = page["document_id"]
+            yield path, None if document is None else int(document), int(page["page"]), page.get("glyphs") or []
+
+
+def glyphs(path: str, data: bytes) -> Iterator[tuple]:
+    """A JSON object a line: ``document_id, page`` and ``glyphs``, a list of [x, y, w, s]; a page without glyphs has one null row."""
+    for *own, marks in _lines(path, data):
+        if not marks:
+            yield (*own, 0, 0.0, 0.0, 0.0, None, None)
+        for seq, (x, y, w, s) in enumerate(marks):
+            yield (*own, seq, _number(x), _number(y), _number(w), s, None)
+
+
+def glyph_pages(path: str, data: bytes) -> Iterator[pa.RecordBatch]:
+    """The same lines, a row each, with their glyphs in a list."""
+    own, marks, held = [], [], 0
+    for *place, found in _lines(path, data):
+        own.append(place)
+        marks.append(found)
+        held += len(found)
+        if held > 10_000 or len(own) == 1000:
+            yield _pages(own, marks)
+            own, marks, held = [], [], 0
+    if own:
+        yield _pages(own, marks)
+
+
+def _pages(own: list, marks: list[list | None], problem: str | None = None) -> pa.RecordBatch:
+    """Rows of GLYPH_PAGES."""
+    flat = [m for page in marks for m in page or []]
+    x, y, w, s = zip(*flat, strict=True) if flat else ((),) * 4
+    parts = pa.StructArray.from_arrays([*(pa.array(c, pa.float64()) for c in (x, y, w)), pa.array(s, pa.string())], ["x", "y", "w", "s"])
+    ends = [0]
+    for page in marks:
+        ends.append(ends[-1] + len(page or []))
+    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), parts)
+    columns = [pa.array(c, k) for c, k in zip(zip(*own, strict=True), (pa.string(), pa.int64(), pa.int32()), strict=True)]
+    return pa.RecordBatch.from_arrays([*columns, lists, pa.array([problem] * len(own), pa.string())], ["path", "document_id", "page", "glyphs", "problem"])
 
 
 def cases(path: str, data: bytes) -> Iterator[tuple]:
@@ -119,6 +161,14 @@ class GlyphSource(_Source):
         return "lodestone_glyphs"
 
 
+class GlyphPageSource(_Source):
+    columns, parse, reading = GLYPH_PAGES, staticmethod(glyph_pages), BatchesReader
+
+    @classmethod
+    def name(cls) -> str:
+        return "lodestone_glyph_pages"
+
+
 class CaseSource(_Source):
     columns, parse = CASES, staticmethod(cases)
 

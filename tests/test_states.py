@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators import judge, traces, workflow
-from lodestone.sources import formats
+from lodestone.plans import queries
+from lodestone.sources import files, formats
 from lodestone.streaming import folds
 
 MINUTE = 60 * folds.SECOND
@@ -131,6 +132,42 @@ def test_files_as_data_sources(spark, tmp_path):
     assert [(r.name, r.score, r.metrics) for r in formats.read(spark, formats.ReportSource, str(tmp_path / "r")).collect()] == [("one", 4.0, {"hit1": 1.0, "mrr": 0.5})]
 
 
+def test_glyph_pages_are_rows_of_their_own(spark, tmp_path):
+    import gzip
+
+    nan = float("nan")
+    pages = [(1, 1, [[0, 9, 1, "a"], [5, 9, 1, "b\u2028\x85"], [0, 1, 1, None]]), (1, 2, []), (None, 3, [[3.5, 5, 1, "y"], [1, 5, 1, "x"], [1, 5, 1, "x2"], [2.5, 8, 0.5, "top"], [3.4, 8, 1, "on"]]), (2, 1, [[0, None, 1, "n"], [0, 2, None, "w"], [None, 2, 1, "v"], [9, nan, 1, "m"], [0, 0.5, 1, "near"], [9, 0.4, 1, "same"]])]
+    lines = [json.dumps({"document_id": i, "page": p, "glyphs": g}, ensure_ascii=False) for i, p, g in pages]
+    (tmp_path / "a.txt.gz").write_bytes(gzip.compress("\n".join(lines).encode()))
+    (tmp_path / "b.jsonl").write_text(lines[0] + "\n{broken")
+    rows = formats.read(spark, formats.GlyphPageSource, str(tmp_path), 1)
+    assert sorted((r.document_id or 0, r.page or 0, len(r.glyphs), r.problem is None) for r in rows.collect()) == [(0, 0, 0, False), (0, 3, 5, True), (1, 1, 3, True), (1, 2, 0, True), (2, 1, 6, True)]
+    own = rows.where("problem is null").select("document_id", "page", files.text_of_glyphs(F.col("glyphs")).alias("text"))
+    assert "Exchange" not in own._jdf.queryExecution().executedPlan().toString()
+    whole = files.page_text(formats.read(spark, formats.GlyphSource, str(tmp_path), 1).where("problem is null"))
+    got = {(r.document_id, r.page): r.text for r in own.collect()}
+    assert got == {(r.document_id, r.page): r.text for r in whole.collect()} and got[None, 3] == "topon\nxx2 y" and got[1, 2] == ""
+
+
+def test_glyph_file_pages_shuffle_no_glyph(spark, tmp_path):
+    texts = [(1, "a  b\n\nc"), (2, None), (3, "\n".join(f"w{i} x" for i in range(45))), (4, "sep\u2028a \x85b \t\"q\\"), (None, "no id"), (5, ""), (6, "twice"), (6, "\n\n more")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/some/documents.parquet")
+    spark.createDataFrame(texts[:6], "doc_id long, text string").write.parquet(f"{tmp_path}/once/documents.parquet")
+
+    def plain(rows):
+        out = {}
+        for i, t in rows:
+            for n, line in enumerate((t or "").split("\n")):
+                out.setdefault((i, n // 20 + 1), []).append((n, " ".join(w for w in line.split(" ") if w)))
+        return {k: "\n".join(x for _, x in sorted(v) if x) or None for k, v in out.items()}
+
+    for name, rows in (("once", texts[:6]), ("some", texts)):
+        found = queries.QUERIES["glyph_file_pages"](spark, f"{tmp_path}/{name}")
+        assert {(r.document_id, r.page): r.text for r in found.collect()} == plain(rows) and found.count() == len(plain(rows))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Window" not in plan
+
+
 def test_graphs_and_runs_over_tables(spark):
     edges = [(str(i), str(i + 1)) for i in range(12)] + [("12", "3"), ("x", "y"), ("5", None)]
     assert sorted(int(r.node) for r in workflow.reachable(spark.createDataFrame(edges, "src string, dst string"), "2").collect()) == list(range(2, 13))
